@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
 from .quality_rules import apply_quality_rules
+from .repeats import without_repeats
 from .simhash import simhash_components
 from .store import table
 
@@ -37,8 +38,20 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("_rep_spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return found.select(
+        "doc_id",
+        F.col("_rep_bytes").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("_rep_spans").cast("long").alias("n_spans"),
+        F.sha2("_rep_kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -72,9 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def popcount_vector(fp: Column) -> Column:
     """The 16 segment bit counts, each in a nibble of one long."""
-    m5, m3 = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
-    two = fp - F.shiftrightunsigned(fp, 1).bitwiseAND(m5)
-    return two.bitwiseAND(m3) + F.shiftrightunsigned(two, 2).bitwiseAND(m3)
+    ones = F.lit(0x1111111111111111)
+    return fp.bitwiseAND(ones) + sum((F.shiftrightunsigned(fp, k).bitwiseAND(ones) for k in (2, 3)), F.shiftrightunsigned(fp, 1).bitwiseAND(ones))
 
 
 def _cells(key: Column) -> Column:
