@@ -12,7 +12,8 @@ from .decontaminate import benchmark_matches
 from .quality_rules import apply_quality_rules
 from .repeats import without_repeats
 from .simhash import simhash_components
-from .store import table
+from .store import fresh_path, table
+from .token_files import read_token_files, write_token_files
 
 #: op number -> tokenizer or model file of the installed vocabulary package.
 VOCABULARY = {1: "piece_bpe_32k.model", 2: "byte_bpe_50k.json"}
@@ -24,6 +25,12 @@ def vocabulary_path(n: int) -> str:
     return str(public_tokenizers.path(VOCABULARY[n]))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), path, vocabulary_path(2))
+    return read_token_files(spark, path)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -51,7 +58,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
