@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
+from .pieces import digest, encode_nbest
 from .quality_rules import apply_quality_rules
 from .repeats import without_repeats
 from .simhash import simhash_components
@@ -25,6 +26,11 @@ def vocabulary_path(n: int) -> str:
     return str(public_tokenizers.path(VOCABULARY[n]))
 
 
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(encode_nbest(docs, vocabulary_path(1)), "doc_id")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path, vocabulary_path(2))
@@ -58,7 +64,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
