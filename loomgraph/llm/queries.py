@@ -12,6 +12,7 @@ from .decontaminate import benchmark_matches
 from .pieces import digest, encode_nbest
 from .quality_rules import apply_quality_rules
 from .repeats import without_repeats
+from .shards import shard_documents
 from .simhash import simhash_components
 from .store import fresh_path, table
 from .token_files import read_token_files, write_token_files
@@ -63,8 +64,12 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_balanced_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
