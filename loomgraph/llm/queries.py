@@ -17,6 +17,7 @@ from .shards import shard_documents
 from .simhash import simhash_components
 from .store import fresh_path, table
 from .token_files import read_token_files, write_token_files
+from .tool_calls import SCHEMAS, calls_of_turns, linked_calls
 
 #: op number -> tokenizer or model file of the installed vocabulary package.
 VOCABULARY = {1: "piece_bpe_32k.model", 2: "byte_bpe_50k.json"}
@@ -73,8 +74,13 @@ def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = calls_of_turns(table(spark, sf_dir, "conversations"))
+    return linked_calls(calls, results, SCHEMAS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_balanced_shards, op9_kernel_quality)}
+    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_balanced_shards, op9_kernel_quality, op10_tool_call_linking)}
 
 
 def oracle_sql() -> dict[str, str]:

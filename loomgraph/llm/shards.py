@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import ranked
 from .store import drop_written, written
 
 SHARDS = 24
@@ -84,24 +85,14 @@ def propagate(members: DataFrame, shards: int = SHARDS, rounds: int = 3, slack:
 def even_cuts(labelled: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame:
     """``labelled`` with ``shard`` and ``slot``: rows in ``order`` are cut into runs whose
     lengths differ by one at most. One range sort; only one count a partition meets the driver."""
-    spark = labelled.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = labelled.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    place = F.monotonically_increasing_id()  # partition in the upper bits, place in the lower 33
-    placed = written(ranged.withColumn("_at", place), "placed")
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, first, gone = sum(counts.values()), {}, 0
-    for p in sorted(counts):
-        first[p], gone = gone, gone + counts[p]
-    base = F.element_at(F.create_map(*[F.lit(x) for p, n in (first or {0: 0}).items() for x in (p, n)]), part.cast("int"))
-    rank = base.cast("long") + row
+    out, total = ranked(labelled, order, "_rank")
+    rank = F.col("_rank")
     small, extra = divmod(total, shards)  # the first ``extra`` shards have one row more
     edge = extra * (small + 1)
     shard = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - edge) / max(small, 1)))
-    out = placed.withColumn("_rank", rank).withColumn("shard", shard.cast("int"))
+    out = out.withColumn("shard", shard.cast("int"))
     start = F.col("shard") * small + F.least("shard", F.lit(extra))
-    return out.withColumn("slot", (F.col("_rank") - start).cast("long")).drop("_at", "_rank")
+    return out.withColumn("slot", (F.col("_rank") - start).cast("long")).drop("_rank")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
