@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
 from .kernel_quality import quality_scores
+from .maxent_lm import lm_scores
 from .pieces import digest, encode_nbest
 from .quality_rules import apply_quality_rules
 from .repeats import without_repeats
@@ -70,6 +71,10 @@ def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,7 +85,7 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_balanced_shards, op9_kernel_quality, op10_tool_call_linking)}
+    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_balanced_shards, op8_maxent_lm, op9_kernel_quality, op10_tool_call_linking)}
 
 
 def oracle_sql() -> dict[str, str]:
