@@ -46,6 +46,7 @@ class Repeats:
     gram: int = 32
     shard_bytes: int = 3_000_000
     hot_regions: int = 4_000  # regions of one anchor in one shard
+    merge_regions: int = 10_000  # regions of one anchor whose windows meet in one merge task
     stretch: int = 1 << 22  # bytes looked at together
 
 
@@ -123,15 +124,18 @@ def _runs(texts: DataFrame, p: Repeats) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInPandas(run, RUNS)
 
 
-#: A shard's finds: marked windows of a text, or single windows of a hot anchor's shard.
-FOUND = "k1 long, k2 long, off long, cnt int, anchor long, hash long, shard long"
+#: A shard's finds: marked windows of a text, or one of its sorted runs for a hot anchor.
+FOUND = "k1 long, k2 long, off long, cnt int, anchor long, range int, shard long, run binary, regions binary"
+#: An entry of a run: window hash, its region in ``regions``, place in it, whether single here.
+ENTRY = np.dtype([("hash", "<i8"), ("region", "<i4"), ("at", "<i4"), ("single", "?")])
 
 
 def _shard_windows(p: Repeats):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["anchor", "ra", "rb"]).sort_values(["anchor", "ra", "rb"])
         gap = bytes([GAP])
-        data = np.frombuffer(gap.join(rows["bytes"].tolist()), np.uint8)
+        raw = gap.join(rows["bytes"].tolist())
+        data = np.frombuffer(raw, np.uint8)
         sizes = rows["bytes"].map(len).to_numpy()
         begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
         sa, _ = suffix_array(data)
@@ -140,20 +144,26 @@ def _shard_windows(p: Repeats):
         again[sa] = tie | np.append(tie[1:], False)
         lead = np.zeros(len(data), bool)  # the first of each class of equal windows
         lead[sa] = ~tie
-        out = []
-        tail = sizes - p.length + 1
-        hot = rows["hot"].to_numpy()
-        raw = data.tobytes()
-        for a, w, k1, k2, off, n, anchor, is_hot, shard in zip(begin.tolist(), tail.tolist(), rows["k1"], rows["k2"], rows["off"], rows["n"], rows["anchor"], hot, rows["shard"], strict=True):
-            own = again[a : a + w]
+        out, entries = [], []
+        hot = bool(rows["hot"].iloc[0])  # a hot anchor's shard holds no other anchor
+        for i, (a, size, k1, k2, off, n) in enumerate(zip(begin.tolist(), sizes.tolist(), rows["k1"], rows["k2"], rows["off"], rows["n"], strict=True)):
+            own = again[a : a + size - p.length + 1]
             if n == 1:
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-                out += [(k1, k2, off + s, e - s, anchor, 0, -1) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-            if is_hot:  # a class that is repeated here (count 0: known) or single (count 1: to be marked if met)
-                for s in np.flatnonzero(lead[a : a + w]).tolist():
+                out += [(k1, k2, off + s, e - s, None, None, None, None, None) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+            if hot:
+                for s in np.flatnonzero(lead[a : a + len(own)]).tolist():
                     h = int.from_bytes(blake2b(raw[a + s : a + s + p.length], digest_size=8).digest(), "little", signed=True)
-                    out.append((k1, k2, off + s, 0 if own[s] or n > 1 else 1, anchor, h, shard))
-        return pd.DataFrame(out, columns=["k1", "k2", "off", "cnt", "anchor", "hash", "shard"])
+                    entries.append((h, i, s, not (own[s] or n > 1)))
+        if hot:
+            known = np.sort(np.array(entries, ENTRY), order="hash")
+            ranges, anchor, shard = (int(rows[c].iloc[0]) for c in ("ranges", "anchor", "shard"))
+            regions = rows[["k1", "k2", "off"]].to_numpy(np.int64).tobytes()
+            where = (known["hash"] % ranges).astype(int)
+            out += [(None, None, None, None, anchor, r, shard, known[where == r].tobytes(), regions) for r in range(ranges)]
+        columns = dict(zip(("k1", "k2", "off", "cnt", "anchor", "range", "shard", "run", "regions"), zip(*out, strict=True) if out else [()] * 9, strict=True))
+        # Nullable integers from the start: a detour over floats would round 64-bit keys.
+        return pd.DataFrame({c: pd.array(list(v), "Int64") if c not in ("run", "regions") else pd.Series(list(v), dtype=object) for c, v in columns.items()})
 
     return run
 
@@ -161,14 +171,16 @@ def _shard_windows(p: Repeats):
 def _merge_runs(rows: pd.DataFrame) -> pd.DataFrame:
     """Windows single in their shard that another shard of the same anchor holds too: each
     shard's sorted run is looked up in every other by binary search."""
-    runs = [r.sort_values("hash") for _, r in rows.groupby("shard", sort=True)]
-    keys = [np.ascontiguousarray(r["hash"].to_numpy()) for r in runs]
-    merged = np.sort(np.concatenate(keys))
+    runs = [np.frombuffer(x, ENTRY) for x in rows["run"]]
+    merged = np.sort(np.concatenate([r["hash"] for r in runs]))
     out = []
-    for r, k in zip(runs, keys, strict=True):
-        met = np.searchsorted(merged, k, side="right") - np.searchsorted(merged, k, side="left") > 1
-        out.append(r[met & (r["cnt"].to_numpy() == 1)])
-    return pd.concat(out)[["k1", "k2", "off", "cnt"]]
+    for r, regions in zip(runs, rows["regions"], strict=True):
+        keys = np.ascontiguousarray(r["hash"])
+        met = np.searchsorted(merged, keys, side="right") - np.searchsorted(merged, keys, side="left") > 1
+        hit = r[met & r["single"]]
+        at = np.frombuffer(regions, "<i8").reshape(-1, 3)[hit["region"]]
+        out.append(pd.DataFrame({"k1": at[:, 0], "k2": at[:, 1], "off": at[:, 2] + hit["at"], "cnt": np.ones(len(hit), np.int32)}))
+    return pd.concat(out)
 
 
 SPANS = "k1 long, k2 long, spans array<struct<s:long,e:long>>"
@@ -211,13 +223,11 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     part = F.ceil(F.col("kinds") / p.hot_regions)
     shard = F.when(hot, F.xxhash64("anchor", F.pmod(F.col("ra"), part)).bitwiseOR(F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     piece = F.expr(f"substring(cast(text as binary), cast(off + 1 as int), cast(cnt + {p.length - 1} as int))")
-    filled = texts.join(open_, ["k1", "k2"]).select("k1", "k2", "off", *region, "n", hot.alias("hot"), shard.alias("shard"), piece.alias("bytes"))
+    ranges = F.ceil(F.col("kinds") / p.merge_regions).cast("int")
+    filled = texts.join(open_, ["k1", "k2"]).select("k1", "k2", "off", *region, "n", hot.alias("hot"), shard.alias("shard"), ranges.alias("ranges"), piece.alias("bytes"))
     found = written(filled.groupBy("shard").applyInPandas(_shard_windows(p), FOUND), "found")
-    single = found.filter("shard <> -1")
-    ranges = max(1, -(-single.count() // 500_000))
-    by_range = single.groupBy("anchor", F.pmod("hash", F.lit(ranges)).alias("range"))
-    crossed = by_range.applyInPandas(_merge_runs, "k1 long, k2 long, off long, cnt int")
-    marks = whole.unionByName(found.filter("shard = -1").select("k1", "k2", "off", "cnt")).unionByName(crossed)
+    crossed = found.filter("shard IS NOT NULL").groupBy("anchor", "range").applyInPandas(_merge_runs, "k1 long, k2 long, off long, cnt int")
+    marks = whole.unionByName(found.filter("shard IS NULL").select("k1", "k2", "off", "cnt")).unionByName(crossed)
     return marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("off", "cnt")).alias("marks")).mapInPandas(_merge_spans(p), SPANS)
 
 
