@@ -1,19 +1,852 @@
-"""All registered queries of the corpus-graph operators and their DuckDB counterparts."""
+"""All registered queries of the corpus-graph operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import communities as C
+from ..operators import conversations as V
+from ..operators import entities as N
+from ..operators import folders as D
+from ..operators import graph as G
+from ..operators import ledger as L
+from ..operators import lookup as Q
+from ..operators import maintenance as I
+from ..operators import profile as K
+from ..operators import revisions as E
+from ..operators import search as S
+from ..operators import text as T
+from ..operators import triage as P
+from ..operators import vectors as M
+from ..sources import corpus as R
+from . import oracles
+from .fixtures import Tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+IGNORE = ["moc-*", "fr/src1", "*9.md"]
+
+
+def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    return f
+
+
+# --- sources and table maintenance -------------------------------------------------------
+
+
+@query
+def s2_ignore_filter(t):
+    return R.ignore_filter(t.notes().select("path"), IGNORE)
+
+
+@query
+def s3_corpus_from_table(t):
+    rows = R.corpus_from_table(t["pages"].withColumn("folder", F.lit("pages")), "page_id", "html", F.col("folder"))
+    return rows.select("path", "title", "folder", "content_hash", "version")
+
+
+@query
+def s5_merge_replace(t):
+    rows = t["events"].select("user_id", "event_type", F.col("event_id").alias("seq"), "value")
+    return R.merge_replace(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1"), ["user_id", "event_type"], "seq")
+
+
+@query
+def s6_merge_ignore(t):
+    rows = t["orders"].groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return R.merge_ignore(rows.filter("k % 3 = 0"), rows.withColumn("n", F.col("n") * 100), ["k"])
+
+
+@query
+def q3_file_stats(t):
+    return R.file_stats(t.notes())
+
+
+# --- text --------------------------------------------------------------------------------
+
+
+@query
+def t1_strip_frontmatter(t):
+    return t.notes().select("path", F.sha1(X.strip_frontmatter(F.col("content"))).alias("body_hash"))
+
+
+@query
+def t2_chunk_sections(t):
+    return T.chunk_sections(t.notes())
+
+
+@query
+def t3_significant_tokens(t):
+    return t["documents"].select("doc_id", F.array_join(X.significant_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def t4_word_tokens(t):
+    rows = t["documents"].select("doc_id", X.word_tokens(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n_words"), F.array_join("w", " ").alias("words"))
+
+
+@query
+def t5_word_count(t):
+    return t["documents"].select("doc_id", X.word_count(F.col("text")).alias("n_words"), X.first_words(F.col("text"), 12).alias("excerpt"))
+
+
+@query
+def t6_estimate_tokens(t):
+    return t["conversations"].groupBy("conv_id").agg(F.sum(X.estimate_tokens(F.col("text"))).alias("tokens"))
+
+
+@query
+def t7_frontmatter_table(t):
+    return T.frontmatter_table(t.notes())
+
+
+@query
+def t8_extract_tags(t):
+    return T.extract_tags(T.frontmatter_table(t.notes()))
+
+
+@query
+def t9_heading_outline(t):
+    return T.heading_outline(t.notes()).select("path", F.array_join("outline", "\n").alias("outline"))
+
+
+@query
+def t10_classify_note(t):
+    return t.notes().select("path", X.classify_note(F.col("path"), X.title_of(F.col("path")), F.lit(None).cast("string"), T.inline_tags(F.col("content"))).alias("kind"))
+
+
+@query
+def t11_file_rollup(t):
+    return T.file_rollup(t.sections(), t.files())
+
+
+@query
+def t12_prompt_rows(t):
+    return t["benchmark"].select("item_id", X.fill_template("Item {id}: {text} {other}", {"id": F.col("item_id"), "text": F.col("text")}).alias("prompt"))
+
+
+@query
+def t13_strip_model_wrapping(t):
+    wrapped = F.concat(F.lit("<think>plan\nmore</think>\n```markdown\n"), "text", F.lit("\n```"))
+    return t["conversations"].filter("role = 'assistant'").select("conv_id", "turn", F.sha1(X.strip_model_wrapping(wrapped)).alias("plain_hash"))
+
+
+@query
+def t14_note_view(t):
+    return T.note_view(t.notes()).select("path", "n_words", F.array_join("tags", ",").alias("tags"), F.size("outline").alias("n_outline"), "excerpt")
+
+
+# --- entities ----------------------------------------------------------------------------
+
+
+@query
+def n1_extract_entities(t):
+    return N.extract_entities(t.sections())
+
+
+@query
+def n2_entity_table(t):
+    return t.entities()[0]
+
+
+@query
+def n3_parse_extractions(t):
+    return N.parse_extractions(_completions(t))[1]
+
+
+def _completions(t: Tables) -> DataFrame:
+    """Completions in the extraction format, made of each assistant turn's words."""
+    w = F.filter(F.split(F.col("text"), r"[^A-Za-z]+"), lambda x: F.length(x) > 3)
+    rows = t["conversations"].filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("batch_id"), w.alias("w"))
+    ent = F.transform("w", lambda x: F.concat(F.lit("ENTITY|"), x, F.lit("|Term Kind")))
+    rel = F.transform("w", lambda x, i: F.concat(F.lit("REL|"), x, F.lit("|"), F.coalesce(F.get("w", i + 1), x), F.lit("|next to")))
+    return rows.select("batch_id", F.array_join(F.concat(ent, F.array(F.lit("junk line")), rel), "\n").alias("completion"))
+
+
+@query
+def n4_normalize_kinds(t):
+    return t["part"].select("p_partkey", X.normalize_type(F.col("p_type")).alias("kind"), X.normalize_relation(F.col("p_name")).alias("relation"))
+
+
+@query
+def n5_match_mentions(t):
+    docs = t["documents"].select(F.col("doc_id").cast("string").alias("node_key"), F.lit("").alias("heading_path"), "text")
+    names = t["benchmark"].select(F.col("text").alias("name"))
+    hits = N.match_mentions(names, docs)
+    items = t["benchmark"].select("item_id", F.col("text").alias("name"))
+    return hits.join(items, "name").select("item_id", F.col("section_key").cast("long").alias("doc_id"))
+
+
+@query
+def n6_ground_extractions(t):
+    entities, _, _ = N.ground_extractions(N.parse_extractions(_completions(t)), t.sections())
+    return entities
+
+
+@query
+def n7_refresh_mentions(t):
+    entities, pairs, _ = N.ground_extractions(N.parse_extractions(_completions(t)), t.sections())
+    return N.refresh_mentions(entities, T.unique_sections(T.chunk_sections(t.notes2())), pairs)
+
+
+@query
+def n8_sections_for_entities(t):
+    entities, mentions = t.entities()
+    return N.sections_for_entities(mentions, entities.filter("type = 'tag'"))
+
+
+@query
+def n9_extraction_batches(t):
+    return N.extraction_batches(t.sections(), 3000, 1).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("tokens").alias("tokens"))
+
+
+@query
+def n10_run_completions(t):
+    return N.run_completions(t["benchmark"].select("item_id", F.col("text").alias("prompt"))).select("item_id", "completion", "error")
+
+
+# --- vectors -----------------------------------------------------------------------------
+
+
+@query
+def v1_embed(t):
+    rows = M.embed(t["benchmark"].select("item_id", "text"), "text")
+    return rows.select("item_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+
+
+@query
+def v2_hash_embed(t):
+    rows = M.hash_embed(t["benchmark"], "item_id", "text").select("item_id", F.posexplode("embedding").alias("dim", "x"))
+    return rows.select("item_id", "dim", F.round("x", 6).alias("x"))
+
+
+def _vecs(t: Tables) -> DataFrame:
+    return t["embeddings"].select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+
+
+@query
+def v3_cosine(t):
+    rows = _vecs(t)
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(other, "vec_id").select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("next")), 4).alias("score"))
+
+
+@query
+def v4_vector_topk(t):
+    rows = _vecs(t)
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    return M.vector_topk(asked, rows.select(F.col("vec_id").alias("item_id"), "embedding"), 5, exclude_self=True)
+
+
+@query
+def v5_cached_embed(t):
+    rows = t.sections()
+    cache = M.embed(rows.filter("length(content_hash) > 0 AND content_hash < '8'").select("content_hash", "text").distinct(), "text").select("content_hash", "embedding")
+    return M.cached_embed(rows, cache).select("node_key", "content_hash", F.size("embedding").alias("dims"))
+
+
+@query
+def v6_similar_pairs(t):
+    return M.similar_pairs(_vecs(t).select(F.col("vec_id").alias("item_id"), "embedding"), 0.3, 3)
+
+
+@query
+def v6_inferred_edges(t):
+    return G.inferred_edges(t.vectors(), t.links())
+
+
+@query
+def v7_near_duplicates(t):
+    rows = t.vectors().select(F.col("node_key").alias("item_id"), "embedding")
+    return M.near_duplicates(rows, 0.97)
+
+
+# --- graph and search --------------------------------------------------------------------
+
+
+@query
+def g1_wikilink_edges(t):
+    return t.links()
+
+
+@query
+def g2_backlink_edges(t):
+    return G.backlink_edges(t.links())
+
+
+@query
+def g3_build_edges(t):
+    return G.build_edges(t.vectors(), t.files())
+
+
+@query
+def g4_edges_for_files(t):
+    return G.edges_for_files(t.edges(), t.files().filter("folder LIKE 'en/%'"), ["wikilink"])
+
+
+@query
+def g5_semantic_edges(t):
+    parsed = N.parse_extractions(_completions(t))
+    _, _, mentions = N.ground_extractions(parsed, t.sections())
+    return G.semantic_edges(parsed[1], mentions)
+
+
+@query
+def g6_unlinked_sections(t):
+    return G.unlinked_sections(t.sections(), t.links()).select("node_key")
+
+
+@query
+def g7_resolve_keys(t):
+    keys = t.links().select(F.col("dst_key").alias("key")).distinct()
+    return G.resolve_keys(keys, t.sections(), t.files()).select("key", "node_key")
+
+
+@query
+def g8_resolve_query_nodes(t):
+    entities, mentions = t.entities()
+    return S.resolve_query_nodes(t.questions(), t.sections(), entities, mentions)
+
+
+@query
+def g9_expand_neighbors(t):
+    seeds = t.sections().filter("heading_path NOT LIKE '%›%'").groupBy("file_id").agg(F.min("node_key").alias("node_key"))
+    asked = seeds.select(F.col("file_id").alias("q_id"), "node_key", F.lit(1).alias("pos"))
+    return G.expand_neighbors(asked, t.edges(), 2, 3)
+
+
+def _index(t: Tables) -> dict[str, DataFrame]:
+    entities, mentions = t.entities()
+    return {"files": t.files(), "sections": t.vectors(), "entities": entities, "section_entities": mentions, "edges": t.edges()}
+
+
+@query
+def g10_hybrid_rank(t):
+    rows = t["lineitem"].select(F.col("l_suppkey").alias("q_id"), F.col("l_partkey").cast("string").alias("node_key"), F.col("l_quantity").cast("double").alias("score"), F.col("l_orderkey").alias("pos"), "l_linenumber")
+    first = rows.groupBy("q_id", "node_key", "l_linenumber").agg(F.min(F.struct("pos", "score")).alias("m")).select("q_id", "node_key", "l_linenumber", "m.*")
+    return S.hybrid_rank(first.filter("l_linenumber = 1"), first.filter("l_linenumber = 2"))
+
+
+@query
+def g11_hybrid_search(t):
+    return S.hybrid_search(t.questions(), _index(t))
+
+
+@query
+def g12_verify_batch(t):
+    return S.verify_batch(t.questions(), _index(t))
+
+
+# --- communities -------------------------------------------------------------------------
+
+
+@query
+def c1_seed_table(t):
+    return C.seed_table(t.manifest()).select("community_id", "label", "text")
+
+
+@query
+def c2_embed_seeds(t):
+    return C.embed_seeds(C.seed_table(t.manifest())).select("community_id", F.size("embedding").alias("dims"))
+
+
+@query
+def c3_assign_seeded(t):
+    rows = _vecs(t)
+    seeds = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("ord"))
+    seeds = seeds.select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("community_id"), "ord", "embedding")
+    return C.assign_seeded(rows.select(F.col("vec_id").cast("string").alias("node_key"), "embedding"), seeds)
+
+
+@query
+def c4_leader_cluster(t):
+    return C.leader_cluster(t.vectors(), 0.5, 1).groupBy("community_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _clusters(t: Tables) -> DataFrame:
+    """Clusters by label of the embeddings table; every tenth row is left out."""
+    return t["embeddings"].filter("vec_id % 10 <> 0").select(F.col("vec_id").cast("string").alias("section_key"), F.concat(F.lit("auto-"), F.col("label").cast("string")).alias("community_id"))
+
+
+@query
+def c5_assign_auto(t):
+    return C.assign_auto(t["embeddings"].select(F.col("vec_id").cast("string").alias("node_key")), _clusters(t))
+
+
+def _membership(t: Tables) -> DataFrame:
+    """Sections as members of the community of their top folder."""
+    return t.sections().select(F.col("node_key").alias("section_key"), X.short_key(X.top_folder(F.col("file_id"))).alias("community_id"))
+
+
+@query
+def c6_community_members(t):
+    rows = C.community_members(_membership(t), t.sections(), t.files())
+    return rows.select("community_id", "section_key", "path", "title")
+
+
+@query
+def c7_prune_empty_auto(t):
+    all_ = t["embeddings"].select(F.concat(F.lit("auto-"), F.col("label").cast("string")).alias("community_id")).distinct().withColumn("seed_source", F.lit("auto"))
+    reports = all_.select("community_id", F.lit("r").alias("report"))
+    return C.prune_empty_auto(all_, _clusters(t).filter("community_id <> 'auto-3'"), reports)[1]
+
+
+@query
+def c8_membership_diff(t):
+    before = _clusters(t)
+    after = before.filter("NOT (community_id = 'auto-1' AND section_key LIKE '%5')")
+    reports = before.select("community_id").distinct().filter("community_id <> 'auto-2'")
+    return C.membership_diff(before, after, reports)
+
+
+@query
+def c9_context_pack(t):
+    rows = C.context_pack(t.sections().withColumn("folder", X.folder_of(F.col("file_id"))), "folder", 800)
+    return rows.select("folder", F.sha1("context").alias("context_hash"), "tokens", "n_sections")
+
+
+@query
+def c10_community_reports(t):
+    index = {"community_sections": _membership(t), "sections": t.sections(), "files": t.files()}
+    return C.community_reports(index).select("community_id", "report", "tokens")
+
+
+@query
+def c11_is_overview(t):
+    return t.questions().select("q_id", X.is_overview(F.col("question")).alias("overview"))
+
+
+@query
+def c12_global_search(t):
+    communities = _membership(t).groupBy("community_id").agg(F.min("section_key").alias("label"))
+    reports = C.context_pack(t.sections().join(_membership(t).withColumnRenamed("section_key", "node_key"), "node_key"), "community_id", 300).select("community_id", F.col("context").alias("report"))
+    return S.global_search(t.questions(), reports, communities).select("q_id", "mode", F.sha1("context").alias("context_hash"), "n_reports")
+
+
+# --- folders -----------------------------------------------------------------------------
+
+
+@query
+def f1_manifest_table(t):
+    return t.manifest().select("ord", "kind", "folder", "level", "parent", "purpose")
+
+
+@query
+def f2_content_type_defaults(t):
+    names = t["part"].select(F.lit("folder").alias("kind"), F.concat_ws("-", "p_name", "p_type").alias("folder"))
+    lists = t["supplier"].select(F.lit("folder").alias("kind"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Project "), "s_name")).otherwise(F.concat(F.lit("RULES "), "s_name")).alias("folder"))
+    return D.content_type_defaults(names.unionByName(lists))
+
+
+@query
+def f3_inherit_content_type(t):
+    folders = t.files().select("folder").distinct()
+    defaults = folders.filter("folder LIKE '%/src1%'").select("folder", F.lit("own").alias("content_type")).unionByName(folders.filter("folder <> ''").select(F.substring_index("folder", "/", 1).alias("folder"), F.lit("top").alias("content_type")).distinct().filter("folder <> 'de'"))
+    return D.inherit_content_type(t.files(), defaults)
+
+
+@query
+def f4_folder_files(t):
+    return D.folder_files(t.files()).select("folder", "n_files", F.array_join("names", ",").alias("names"))
+
+
+@query
+def f5_uncovered_folders(t):
+    return D.uncovered_folders(D.folder_files(t.files()).select("folder"), t.manifest())
+
+
+@query
+def f6_folder_top_links(t):
+    return D.folder_top_links(t.links(), t.files())
+
+
+@query
+def f7_folder_headings(t):
+    return D.folder_headings(t.sections(), t.files()).select("folder", "node_key", "heading_text")
+
+
+@query
+def f8_folder_digest(t):
+    return D.folder_digest(D.folder_files(t.files()), D.folder_top_links(t.links(), t.files()), D.folder_headings(t.sections(), t.files()))
+
+
+def _folders(t: Tables) -> DataFrame:
+    return D.folder_files(t.files()).select("folder").filter("folder <> ''")
+
+
+@query
+def f9_parse_purposes(t):
+    rows = _folders(t).groupBy(F.substring_index("folder", "/", 1).alias("batch_id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- "), F.upper("folder"), F.lit(" — notes of "), "folder"))), "\n").alias("completion"))
+    return D.parse_purposes(rows, _folders(t))
+
+
+def _answers(t: Tables) -> DataFrame:
+    dirs = _folders(t)
+    asked = F.concat(F.lit("Is the purpose of "), "folder", F.lit(' "collected notes"?'))
+    answer = F.when(F.length("folder") % 2 == 0, "yes").otherwise("  plain <!-- x --> notes ")
+    return dirs.select(F.col("folder").alias("q_id"), F.length("folder").alias("turn"), asked.alias("question"), answer.alias("answer"))
+
+
+@query
+def f10_match_folder_in_question(t):
+    return D.match_folder_in_question(_answers(t), _folders(t))
+
+
+@query
+def f11_resolve_purposes(t):
+    return D.resolve_purposes(_answers(t), _folders(t))
+
+
+# --- upkeep ------------------------------------------------------------------------------
+
+
+@query
+def i1_diff_corpus(t):
+    return I.diff_corpus(t.files(), R.file_rows(t.notes2()))
+
+
+def _changed(t: Tables) -> DataFrame:
+    return I.diff_corpus(t.files(), R.file_rows(t.notes2())).filter("change IN ('changed', 'deleted')").select("file_id")
+
+
+@query
+def i2_retire_files(t):
+    index = {"files": t.files(), "sections": t.sections(), "edges": t.edges()}
+    return I.retire_files(index, _changed(t))["edges"]
+
+
+@query
+def i3_retire_structural_edges(t):
+    edges = t.edges().withColumn("kind", F.when(F.col("weight") == 0.7, "semantic:file").otherwise(F.col("kind")))
+    return I.retire_structural_edges(edges, _changed(t))
+
+
+@query
+def i4_edges_for_changed(t):
+    sections = T.unique_sections(T.chunk_sections(t.notes2()))
+    return I.edges_for_changed(sections, _changed(t), R.file_rows(t.notes2()))
+
+
+@query
+def i5_apply_update(t):
+    from .build import apply_update, build_index
+
+    index = build_index(t.notes().select("path", "content"), blocks=16)
+    return apply_update(index, t.notes2().select("path", "content"))["sections"].select("node_key", "content_hash")
+
+
+@query
+def i6_apply_journal(t):
+    from .build import apply_journal, build_index
+
+    index = build_index(t.notes().select("path", "content"), blocks=16)
+    verdict = F.element_at(F.array(*[F.lit(v) for v in ("append", "revise", "cleaned", "move", "new")]), (F.col("event_id") % 5 + 1).cast("int"))
+    files = t.notes().select("doc_id", F.col("path").alias("file_id"))
+    journal = t["events"].select(F.col("event_id").alias("seq"), F.col("user_id").alias("doc_id"), verdict.alias("verdict")).join(files, "doc_id")
+    return apply_journal(index, journal, t.notes2().select("path", "content"))["files"].select("file_id", "content_hash")
+
+
+@query
+def i7_build_index(t):
+    from .build import build_index
+
+    index = build_index(t.notes().select("path", "content"))
+    return index["edges"].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- triage ------------------------------------------------------------------------------
+
+
+def _journal(t: Tables) -> DataFrame:
+    return P.units(t.notes(), t.inbox()).filter("unit_id LIKE '%8.md'").select("idempotency_key", F.lit("placed").alias("state"))
+
+
+@query
+def p1_units(t):
+    return P.units(t.notes(), t.inbox(), _journal(t)).select("unit_id", "idempotency_key")
+
+
+@query
+def p2_score_candidates(t):
+    return P.score_candidates(P.units(t.notes(), t.inbox()), t.vectors()).select("unit_id", "node_key", "score", "verdict")
+
+
+@query
+def p3_eligibility(t):
+    """The rules over candidates made of link edges with a score from the target's hash."""
+    links = t.links().withColumn("h", F.conv(F.substring(F.md5("dst_key"), 1, 4), 16, 10).cast("double") / 65535)
+    found = links.select(X.file_of(F.col("src_key")).alias("unit_id"), F.col("dst_key").alias("node_key"), X.file_of(F.col("dst_key")).alias("file_id"), F.round("h", 4).alias("score"))
+    source = t.files().filter("folder LIKE 'en/src2%'").select("file_id")
+    old = t.files().select("file_id", "content_hash").join(R.file_rows(t.notes2()).select("file_id", F.col("content_hash").alias("current_hash")), "file_id")
+    return P.eligibility(found, source, ["note-0", "moc-"], old).select("unit_id", "node_key", "score", "verdict")
+
+
+@query
+def p4_drop_ignored_candidates(t):
+    return P.drop_ignored_candidates(t.links().select("src_key", F.col("dst_key").alias("file_id")), ["note-0001*", "*5.md"])
+
+
+def _found(t: Tables) -> DataFrame:
+    rows = p3_eligibility(t)
+    return rows.withColumn("file_id", X.file_of(F.col("node_key")))
+
+
+@query
+def p5_decide(t):
+    return P.decide(t.notes().select(F.col("path").alias("unit_id")), _found(t))
+
+
+@query
+def p6_destination_context(t):
+    rows = t.sections().groupBy("file_id").agg(F.max("node_key").alias("node_key"))
+    return P.destination_context(rows.select(F.col("file_id").alias("unit_id"), "node_key", "file_id"), t.notes())
+
+
+@query
+def p7_triage_report(t):
+    return P.triage_report(p5_decide(t))
+
+
+@query
+def p8_unchanged_check(t):
+    return P.unchanged_check(t.files(), R.file_rows(t.notes2()))
+
+
+# --- revisions ---------------------------------------------------------------------------
+
+
+def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.notes().select("doc_id", "content"), t.notes2().select("doc_id", "content")
+
+
+@query
+def e1_words_conserved(t):
+    return E.words_conserved(*_versions(t)).select("doc_id", "ok", F.array_join("lost", " ").alias("lost"))
+
+
+@query
+def e2_headers_preserved(t):
+    return E.headers_preserved(*_versions(t))
+
+
+@query
+def e3_protected_spans(t):
+    return E.protected_spans(*_versions(t)).select("doc_id", "ok", "kind", F.array_join("lost", " ").alias("lost"))
+
+
+def _ops(t: Tables) -> DataFrame:
+    """Edit ops made of the documents: two valid ones and, on some, a faulty one."""
+    n = F.size(F.split("content", "\n"))
+    none = F.lit(None)
+    rows = t.notes().select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"))
+    op = F.element_at(F.array(*[F.lit(x) for x in ("join_lines", "insert_header", "collapse_blanks", "remove_span")]), F.col("seq") + 1)
+    ranged = F.col("seq") != 1
+    return rows.select("doc_id", "seq", op.alias("op"), F.when(F.col("doc_id") % 3 == 0, "tag").otherwise("other").alias("kind"), F.lit("## New part").alias("text"), none.cast("string").alias("reason"), F.when(ranged, F.least(F.lit(5), "n")).alias("start"), F.when(ranged, F.least(F.lit(6), "n") - (F.col("doc_id") % 7 == 0).cast("int") * 3).alias("end"), F.when(~ranged, F.lit(4)).alias("before_line"))
+
+
+@query
+def e4_join_punctuation(t):
+    return E.join_punctuation(_ops(t), _versions(t)[1])
+
+
+@query
+def e5_apply_edits(t):
+    edited, _ = E.apply_edits(_versions(t)[0], _ops(t))
+    return edited.select("doc_id", F.sha1("content").alias("content_hash"), "n_applied")
+
+
+@query
+def e6_receipts(t):
+    before = _versions(t)[0]
+    edited, _ = E.apply_edits(before, _ops(t))
+    return E.receipts(before, edited.select("doc_id", "content"), _ops(t)).withColumn("diff_stat", F.to_json("diff_stat"))
+
+
+@query
+def e7_rewrite_guard(t):
+    before, after = _versions(t)
+    cut = F.when(F.col("doc_id") % 5 == 0, F.substring("content", 1, 60)).otherwise(F.col("content"))
+    return E.rewrite_guard(before, after.withColumn("content", cut))
+
+
+@query
+def e8_collapse_blank_runs(t):
+    rows = E.collapse_blank_runs(_versions(t)[1].withColumn("content", F.regexp_replace("content", r"\. ", ".\n\n\n")))
+    return rows.select("doc_id", F.sha1("content").alias("content_hash"))
+
+
+@query
+def e9_line_diff(t):
+    before, after = _versions(t)
+    rows = E.line_diff(before.withColumnRenamed("content", "old").join(after.withColumnRenamed("content", "new"), "doc_id"))
+    return rows.groupBy("doc_id", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def e10_pending_proposals(t):
+    rows = t["events"].select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file_id"), F.col("event_type").alias("user"), F.col("ts").alias("created_at"), F.col("event_id").cast("string").alias("content_hash"))
+    docs = t["customer"].select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file_id"), F.col("c_custkey").cast("string").alias("content_hash"))
+    now = t["events"].agg(F.max("ts").alias("now"))
+    # The latest time is one row, joined as a column: no value passes through the driver.
+    return E.pending_proposals(rows.join(F.broadcast(now)), docs, F.col("now"), 60 * 24)
+
+
+# --- profile -----------------------------------------------------------------------------
+
+
+def _strata(t: Tables) -> DataFrame:
+    return t.files().groupBy("folder").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query
+def k1_allocate_sample(t):
+    return K.allocate_sample(_strata(t), 100)
+
+
+@query
+def k2_stride_sample(t):
+    return K.stride_sample(t.files(), K.allocate_sample(_strata(t), 100))
+
+
+@query
+def k3_per_file_budget(t):
+    return _strata(t).select("folder", K.per_file_budget(F.col("size"), 400).alias("budget"))
+
+
+@query
+def k4_folder_summary(t):
+    return K.folder_summary(K.note_facts(t.notes()))
+
+
+@query
+def k5_sample_corpus(t):
+    return K.sample_corpus(t.notes())
+
+
+@query
+def k6_coverage(t):
+    rows = K.sample_corpus(t.notes(), {"target": 2}).select(X.top_folder(F.col("path")).alias("folder"))
+    return K.coverage(rows, K.note_facts(t.notes()).select("folder"))
+
+
+@query
+def k7_profile_cache(t):
+    timed = lambda notes, k: notes.select("path", (F.lit("2020-01-01").cast("timestamp") + F.make_interval(days=F.col("doc_id") % k)).alias("modified_date"), "content")
+    old = timed(t.notes(), F.lit(7))
+    facts = K.note_facts(old).join(old.select("path", "modified_date"), "path")
+    rows = K.profile_cache(timed(t.notes2(), F.lit(14)), facts)
+    return rows.select("path", "hit", "n_words")
+
+
+@query
+def k8_profile_report(t):
+    return K.profile_report(K.sample_corpus(t.notes()), K.folder_summary(K.note_facts(t.notes())))
+
+
+# --- ledger, conversations, lookup -------------------------------------------------------
+
+
+@query
+def l1_fold_ledger(t):
+    return L.fold_ledger(t.ledger_events()).select("run_id", "id", "score", "status", F.size("contradicts").alias("n_links"))
+
+
+def _scores(t: Tables) -> DataFrame:
+    """A ledger of customers: score from the balance, links to the neighbours by key."""
+    score = F.round((F.col("c_acctbal").cast("double") + 1000) / 11000, 4)
+    return t["customer"].select(F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("run_id"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("id"), score.alias("score"), F.array(F.lpad((F.col("c_custkey") + 25).cast("string"), 8, "0"), F.lpad((F.col("c_custkey") + 3).cast("string"), 8, "0")).alias("contradicts"), F.col("c_mktsegment").alias("assumption"), F.lit("2020-01-01").cast("timestamp").alias("created_at"), F.lit("open").alias("status"))
+
+
+@query
+def l2_rank_ledger(t):
+    return L.rank_ledger(_scores(t), 5).select("run_id", "id", "score", "rank")
+
+
+@query
+def l3_contradicting_pairs(t):
+    return L.contradicting_pairs(_scores(t), 0.5)
+
+
+@query
+def l4_evaluate_status(t):
+    return L.evaluate_status(L.fold_ledger(t.ledger_events()), t.runs(), min_coverage=0.3)
+
+
+@query
+def l5_clarification_trigger(t):
+    status = l4_evaluate_status(t)
+    topics = t.runs().select("run_id", F.lit("src7").alias("topic")).filter("run_id <> 'r1'")
+    paths = t.runs().select("run_id").withColumn("path", F.concat(F.lit("en/"), F.when(F.col("run_id") == "r2", "src7").otherwise("src1")))
+    return L.clarification_trigger(status, t.runs(), topics, paths)
+
+
+@query
+def l6_summary_card(t):
+    runs = t.runs().join(l4_evaluate_status(t).select("run_id", "status"), "run_id")
+    dirs = t["events"].groupBy(F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")).alias("run_id"), F.col("event_type").alias("folder")).agg(F.count(F.lit(1)).alias("n_files"))
+    return L.summary_card(runs, L.fold_ledger(t.ledger_events()), dirs)
+
+
+@query
+def x1_recent_turns(t):
+    return V.recent_turns(t["conversations"], 3).select("conv_id", "turn", "role")
+
+
+@query
+def x2_reconstruct_answer(t):
+    return V.reconstruct_answer(t["conversations"])
+
+
+@query
+def x3_chat_context(t):
+    rows = t["conversations"].select(F.col("conv_id").alias("q_id"), F.col("turn").alias("rank"), F.concat("role", F.lit(".md")).alias("file_path"), F.when(F.col("turn") % 2 == 0, "Part").alias("heading_path"), F.col("turn").alias("line_start"), (F.col("turn") + 2).alias("line_end"), "text")
+    return V.chat_context(rows)
+
+
+@query
+def x4_number_citations(t):
+    said = t["conversations"].filter("role = 'assistant'")
+    marks = F.concat("text", F.lit(" ["), (F.col("turn") % 3 + 1).cast("string"), F.lit("] and [["), (F.col("turn") % 2 + 1).cast("string"), F.lit("]]"))
+    return V.number_citations(said.select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), marks.alias("text")))
+
+
+@query
+def x5_question_answer_pairs(t):
+    return V.question_answer_pairs(t["conversations"])
+
+
+@query
+def x6_compact_window(t):
+    return V.compact_window(t["conversations"], 300).select("conv_id", "turn")
+
+
+@query
+def q1_search_paths(t):
+    asked = t["documents"].select("source").distinct().select(F.col("source").alias("q_id"), F.concat(F.upper("source"), F.lit("/")).alias("query"))
+    return Q.search_paths(asked, t.files())
+
+
+@query
+def q2_resolve_path(t):
+    path = F.when(F.col("doc_id") % 3 == 0, F.col("path")).when(F.col("doc_id") % 3 == 1, F.upper("path")).otherwise(F.concat(F.lit("x/"), F.regexp_replace("path", "note-0", "nte-9")))
+    return Q.resolve_path(t.notes().select(F.col("doc_id").alias("q_id"), path.alias("query")), t.files())
+
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid search: vector top-k merged with graph expansion over the notes corpus."""
+    return g11_hybrid_search(Tables(spark, sf_dir))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.sql().items() if k in _QUERIES}
