@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import plain
 from ..functions.text import estimate_tokens, short_key, trimmed
 from .entities import offline_completion, run_completions
 from .vectors import PLACES, embed, hash_vectors, vector_topk
@@ -53,7 +54,7 @@ def assign_seeded(sections: DataFrame, seeds: DataFrame) -> DataFrame:
                 if len(ids) and v.shape[1] == q.shape[1]:
                     score = np.round(v @ q.T, PLACES)
                     top = score.argmax(axis=1)
-                    yield pd.DataFrame({"section_key": rows["item_id"], "ord": ids[top], "score": score[np.arange(len(top)), top]})
+                    yield pd.DataFrame({"section_key": rows["item_id"].astype(object), "ord": ids[top], "score": score[np.arange(len(top)), top]})
 
         found = items.mapInPandas(run, "section_key string, ord long, score double")
         best = found if best is None else best.unionByName(found)
@@ -102,7 +103,7 @@ def leader_cluster(sections: DataFrame, threshold: float = 0.5, blocks: int = 16
     dealt = rows.withColumn("block", F.lit(0)) if blocks == 1 else rows.repartitionByRange(blocks, "section_key").withColumn("block", F.spark_partition_id())
 
     def first(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("section_key")
+        df = plain(df).sort_values("section_key")
         at = np.array(_fold(df["section_key"].tolist(), df["embedding"].tolist(), [1] * len(df), threshold))
         anchor = df["section_key"].to_numpy()[[int(np.flatnonzero(at == c)[0]) for c in range(at.max() + 1)]]
         mean = np.stack([np.mean([np.asarray(v, float) for v in df["embedding"].to_numpy()[at == c]], axis=0) for c in range(at.max() + 1)])
@@ -112,7 +113,7 @@ def leader_cluster(sections: DataFrame, threshold: float = 0.5, blocks: int = 16
     if blocks > 1:
 
         def second(df: pd.DataFrame) -> pd.DataFrame:
-            df = df.sort_values("anchor")
+            df = plain(df).sort_values("anchor")
             at = np.array(_fold(df["anchor"].tolist(), df["mean"].tolist(), df["n"].tolist(), threshold))
             lead = df["anchor"].to_numpy()[[int(np.flatnonzero(at == c)[0]) for c in range(at.max() + 1)]]
             return pd.DataFrame({"anchor": df["anchor"], "lead": lead[at]})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import plain
 from ..functions.text import estimate_tokens, normalize_type, short_key, trimmed
 from ..sources.corpus import merge_ignore
 
@@ -107,7 +108,7 @@ def extraction_batches(sections: DataFrame, cap_tokens: int = 3000, blocks: int
         dealt = files.repartitionByRange(blocks, "file_id").withColumn("block", F.spark_partition_id())
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("file_id")
+        rows = plain(rows).sort_values("file_id")
         batch, held, out = 0, 0, []
         for t in rows["tokens"]:
             if held and held + t > cap_tokens:
@@ -148,6 +149,6 @@ def run_completions(prompts: DataFrame, complete_fn=offline_completion, batch: i
                         except Exception as e:  # noqa: BLE001
                             done.append("")
                             errors.append(str(e)[:200])
-            yield b.assign(completion=done, error=errors)
+            yield plain(b).assign(completion=done, error=errors)
 
     return prompts.mapInPandas(run, fields)

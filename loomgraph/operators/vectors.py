@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import plain
 from ..sources.corpus import append_cache
 
 PLACES = 4  # scores are rounded before they are ranked or compared
@@ -54,7 +55,7 @@ def embed(df: DataFrame, text_col: str, embed_fn=hash_vectors, dims: int = 64, b
                         except Exception:  # noqa: BLE001
                             got.append([])
                 done += [v if t else [0.0] * dims for t, v in zip(part, got, strict=True)]
-            yield b.assign(embedding=done)
+            yield plain(b).assign(embedding=done)
 
     return df.mapInPandas(run, fields)
 
