@@ -125,7 +125,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, exclude_self:
                     held.append(pd.DataFrame({"q_id": name, "item_id": ids[near], "score": s[near]}))
             if held:
                 all_ = pd.concat(held).sort_values(["q_id", "score", "item_id"], ascending=[True, False, True])
-                yield all_.groupby("q_id", sort=False).head(k)
+                yield plain(all_.groupby("q_id", sort=False).head(k))
 
         part_found = items.select("item_id", "embedding").filter(F.size("embedding") > 0).mapInPandas(run, schema)
         found = part_found if found is None else found.unionByName(part_found)
@@ -165,7 +165,7 @@ def _block_pairs(items: DataFrame, threshold: float, blocks: int) -> DataFrame:
                 i, j = i[keep], j[keep]
                 out.append(pd.DataFrame({"src": p[s + i], "dst": q[j], "score": score[i, j]}))
                 out.append(pd.DataFrame({"src": q[j], "dst": p[s + i], "score": score[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "score": []})
+        return plain(pd.concat(out)) if out else pd.DataFrame({"src": [], "dst": [], "score": []}, dtype=object)
 
     return dealt.groupBy("pair").applyInPandas(run, f"src {kind}, dst {kind}, score double")
 
