@@ -195,7 +195,7 @@ FINAL: dict[str, str] = {
     "i1_diff_corpus": "SELECT * FROM diff",
     "i2_retire_files": "SELECT * FROM edges WHERE split_part(src_key, '::', 1) NOT IN (SELECT file_id FROM gone) AND split_part(dst_key, '::', 1) NOT IN (SELECT file_id FROM gone)",
     "i3_retire_structural_edges": "SELECT * FROM (SELECT src_key, dst_key, CASE WHEN weight = 0.7 THEN 'semantic:file' ELSE kind END AS kind, weight FROM edges) WHERE kind = 'semantic:file' OR (split_part(src_key, '::', 1) NOT IN (SELECT file_id FROM gone) AND split_part(dst_key, '::', 1) NOT IN (SELECT file_id FROM gone))",
-    "p1_units": "SELECT unit_id, idempotency_key FROM units WHERE idempotency_key NOT IN (SELECT idempotency_key FROM units WHERE unit_id LIKE '%8.md')",
+    "p1_units": "SELECT unit_id, idempotency_key FROM units WHERE idempotency_key NOT IN (SELECT idempotency_key FROM units WHERE unit_id LIKE '%28.md')",
     "p3_eligibility": "SELECT * FROM eligible",
     "p4_drop_ignored_candidates": "SELECT src_key, dst_key AS file_id FROM links WHERE NOT (starts_with(dst_key, 'note-0001') OR ends_with(dst_key, '5.md'))",
     "p5_decide": "SELECT * FROM decided",

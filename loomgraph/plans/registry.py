@@ -564,7 +564,7 @@ def i7_build_index(t):
 
 
 def _journal(t: Tables) -> DataFrame:
-    return P.units(t.notes(), t.inbox()).filter("unit_id LIKE '%8.md'").select("idempotency_key", F.lit("placed").alias("state"))
+    return P.units(t.notes(), t.inbox()).filter("unit_id LIKE '%28.md'").select("idempotency_key", F.lit("placed").alias("state"))
 
 
 @query
