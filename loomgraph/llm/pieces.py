@@ -22,8 +22,10 @@ others; repeated rows are encoded alike; extra columns pass through.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -33,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import plain
+
 MARK = "▁"
 UNKNOWN_COST = 10.0
 LOW = float("-inf")
@@ -42,7 +46,7 @@ Path = tuple[float, tuple[int, ...]]
 class Pieces:
     """The lattice of one SentencePiece model file."""
 
-    ROOM = 300_000  # stretches remembered
+    ROOM = 500_000  # stretches remembered
 
     def __init__(self, path: str):
         import sentencepiece
@@ -62,12 +66,30 @@ class Pieces:
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(size) if own.is_byte(i)}
         self.unk = own.unk_id()
         self.bytes_of = [bytes([int(n[3:5], 16)]) if own.is_byte(i) else n.encode() if not (own.is_control(i) or own.is_unknown(i)) else b"" for i, n in enumerate(names)]
-        broken = any(re.search(f"[^{MARK}]{MARK}", names[i]) for i in plain)
-        lines = not any("\n" in names[i] for i in plain)
-        self.cut = None if broken else re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.cut = self._cuts([names[i] for i in plain])
         self.seen: dict[str, tuple[bytes, float, float]] = {}
         self.more: dict[tuple[str, int], list[Path]] = {}
 
+    @staticmethod
+    def _cuts(pieces: list[str]) -> re.Pattern | None:
+        """Where no piece can lie across: before a word mark that follows another character, at
+        line breaks, and between a letter and a mark such as a full stop, as far as no piece of
+        this model holds such a pair. None if a piece holds a word mark inside."""
+        pairs = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+        if any(b == MARK and a != MARK for a, b in pairs):
+            return None
+        if any("\n" in p for p in pieces):
+            return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        letter = re.compile(r"[^\W\d_]")
+        before: dict[str, set[str]] = {c: set() for c in ".,;:!?|*$%&#)\"'"}
+        for a, b in pairs:
+            if b in before and letter.match(a):
+                before[b].add(a)
+        marks = [c for c, found in before.items() if len(found) <= 8]  # a few odd letters are left out instead
+        odd = re.escape("".join(sorted(set().union(*(before[c] for c in marks)))))
+        ends = f"(?=[{re.escape(''.join(marks))}])" if marks else "(?!)"
+        return re.compile(f"{MARK}*[^\\W\\d_{odd}]+{ends}|{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+
     def stretches(self, text: str) -> list[str]:
         return self.cut.findall(text) if self.cut else [text] if text else []
 
@@ -94,9 +116,7 @@ class Pieces:
                     if e == s + 1:
                         single = True
             if not single:
-                char = text[s].encode("utf-8", "replace")
-                ids = tuple(self.byte_ids[b] for b in char) if self.byte_ids else (self.unk,)
-                into[s + 1].append((s, ids, self.unknown_score))
+                into[s + 1].append((s, self.unknown_ids(text[s]), self.unknown_score))
                 if here + self.unknown_score > best[s + 1]:
                     best[s + 1] = here + self.unknown_score
         return best, into
@@ -130,28 +150,48 @@ class Pieces:
         return found
 
     def first(self, text: str) -> tuple[bytes, float, float]:
-        """(ids, score, gap to the second best): the search up to its first result; the best
-        state that then waits is the second best, as the heuristic is exact."""
-        best, into = self.forward(text)
-        at, gone, second = len(text), 0.0, LOW
+        """(ids, score, gap to the second best): the search up to its first result. The state
+        that would be taken up next is the second best way into some node of the best path, as
+        the heuristic is exact, so the forward pass keeps just the two best ways into a node."""
+        size, root, longest = len(text), self.trie, self.longest
+        best, second = [LOW] * (size + 1), [LOW] * (size + 1)
+        best[0] = 0.0
+        back: list = [None] * (size + 1)
+        for s in range(size):
+            here, node, e, single = best[s], root, s, False
+            for c in text[s : s + longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                e += 1
+                if 0 in node:
+                    piece, score = node[0]
+                    score += here
+                    if score > best[e]:
+                        second[e], best[e], back[e] = best[e], score, (s, piece)
+                    elif score > second[e]:
+                        second[e] = score
+                    if e == s + 1:
+                        single = True
+            if not single:
+                score, e = here + self.unknown_score, s + 1
+                if score > best[e]:
+                    second[e], best[e], back[e] = best[e], score, (s, self.unknown_ids(text[s]))
+                elif score > second[e]:
+                    second[e] = score
+        at, gap = size, -LOW
         ids: list[int] = []
         while at:
-            top = LOW
-            for way in into[at]:
-                total = best[way[0]] + way[2]
-                if total > top:
-                    if top + gone > second:
-                        second = top + gone
-                    top, chosen = total, way
-                elif total + gone > second:
-                    second = total + gone
-            at = chosen[0]
-            gone += chosen[2]
-            if type(chosen[1]) is int:
-                ids.append(chosen[1])
+            gap = min(gap, best[at] - second[at])
+            at, piece = back[at]
+            if type(piece) is int:
+                ids.append(piece)
             else:
-                ids += chosen[1][::-1]
-        return np.array(ids[::-1], "<u4").tobytes(), best[-1], best[-1] - second
+                ids += piece[::-1]
+        return struct.pack(f"<{len(ids)}I", *ids[::-1]), best[-1], gap
+
+    def unknown_ids(self, char: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids[b] for b in char.encode("utf-8", "replace")) if self.byte_ids else (self.unk,)
 
     def encode(self, text: str | None, n: int = 4) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, bytes]]]]]:
         """(ids, score, others); others: (score, [(first token, tokens replaced, new ids)])."""
@@ -219,13 +259,14 @@ def encode_nbest(docs: DataFrame, model: str, n: int = 4, text_col: str = "text"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(model)
+        gc.disable()  # the lattice and its memory hold no cycles; scanning them again and again costs more than the search
         for b in batches:
             for k in range(0, len(b), 1000):
                 part = b.iloc[k : k + 1000]
                 found = [pieces.encode(t, n) for t in part[text_col]]
                 others = [[{"score": s, "changes": [{"first": f, "replaced": m, "ids": i} for f, m, i in c]} for s, c in x[2]] for x in found]
                 same = [pieces.decode(x[0]) == (t or "") for x, t in zip(found, part[text_col], strict=True)]
-                yield part[kept].assign(sp_ids=[x[0] for x in found], sp_score=[x[1] for x in found], sp_others=others, sp_same=same)
+                yield plain(part[kept]).assign(sp_ids=[x[0] for x in found], sp_score=[x[1] for x in found], sp_others=others, sp_same=same)
 
     return docs.mapInPandas(run, schema)
 
@@ -237,7 +278,7 @@ def decode_ids(rows: DataFrame, model: str, ids_col: str = "sp_ids", out_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(model)
         for b in batches:
-            yield b.assign(**{out_col: [None if x is None else pieces.decode(x) for x in b[ids_col]]})
+            yield plain(b).assign(**{out_col: [None if x is None else pieces.decode(x) for x in b[ids_col]]})
 
     return rows.mapInPandas(run, schema)
 
