@@ -20,6 +20,9 @@ ignored; an empty table makes no file.
 
 from __future__ import annotations
 
+import gc
+import itertools
+import os
 import re
 import struct
 import zlib
@@ -35,6 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAGIC = b"BITPLANE"
+BLANK = "\u0120"  # how a byte-level vocabulary writes a blank
 HEAD = struct.Struct("<8sIIIQII")
 
 
@@ -116,19 +120,28 @@ class Encoder:
     """The tokenizers library behind a word cache.
 
     Byte-level pre-tokens never reach over a single blank or line break between two other
-    characters, other than to start with it: such a text may be encoded piece by piece. Texts
-    with other white space, or with the text of a special token, go to the library whole."""
+    characters, other than to start with it, nor over the end of a run of letters that no digit
+    follows (the class here also holds a few odd numerals, hence the digits): such a text may be
+    encoded piece by piece. Texts with other white space, or with the text of a special token,
+    go to the library whole."""
 
-    PIECE = re.compile(r"[ \n]?\S+")
-    ROOM = 400_000  # pieces kept
+    PIECE = re.compile(r"[ \n]?[^\W\d_]++(?!\d)|[ \n]?\S+")
+    ROOM = 700_000  # pieces kept
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core already
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        vocabulary = self.own.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for t, i in vocabulary.items() if t.startswith(BLANK)]] = True
         self.seen: dict[str, bytes] = {}
 
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut: list[list[str] | None] = []
         for t in texts:
@@ -138,9 +151,21 @@ class Encoder:
         if len(self.seen) > self.ROOM:
             self.seen.clear()
         new = list(set().union(*(parts for parts in cut if parts)).difference(self.seen))
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            self.seen.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+        # Pieces with a leading blank are encoded many at a time, end to end: just the first token
+        # of each begins with the blank.
+        blank = [p for p in new if p[0] == " "]
+        runs = [blank[k : k + 500] for k in range(0, len(blank), 500)]
+        alone = [p for p in new if p[0] != " "]
+        for run, e in zip(runs, self._encoded(["".join(r) for r in runs]), strict=True):
+            first = np.append(np.flatnonzero(self.leads[e]), len(e)) * 4
+            if len(first) != len(run) + 1:
+                alone += run
+                continue
+            raw = e.tobytes()
+            self.seen.update(zip(run, [raw[i:j] for i, j in itertools.pairwise(first.tolist())], strict=True))
+        for k in range(0, len(alone), 4_000):  # encodings are large objects: few at a time
+            some = alone[k : k + 4_000]
+            self.seen.update(zip(some, [e.tobytes() for e in self._encoded(some)], strict=True))
         whole = [t for t, parts in zip(texts, cut, strict=True) if parts is None]
         rest = iter(self.own.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
         get = self.seen.__getitem__
@@ -164,6 +189,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     dealt = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # the cache holds no cycles
         encoder, shard, part = Encoder(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
@@ -175,8 +201,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for b in batches:
             names = [None if pd.isna(x) else int(x) for x in b["doc_id"]]
             texts = b["text"].tolist()
-            for k in range(0, len(texts), 500):
-                for name, ids in zip(names[k : k + 500], encoder.ids(texts[k : k + 500]), strict=True):
+            for k in range(0, len(texts), 200):
+                for name, ids in zip(names[k : k + 200], encoder.ids(texts[k : k + 200]), strict=True):
                     held.append((name, np.append(ids, end)))
                     size += len(held[-1][1])
                     if size >= fmt.file_ids:
