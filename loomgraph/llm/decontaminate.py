@@ -167,23 +167,25 @@ class Index:
         lap = 4 * self.lim.window
         gap = np.full(self.lim.window, GAP, np.uint64)
         parts: list[np.ndarray] = []
-        places: list[tuple[int, int, int]] = []  # where a piece starts here, which text it is of, its offset there
+        places: list[tuple[int, int, int, int]] = []  # where a piece starts here, which text it is of, its offset there, where it ends here
         used = 0
 
         def scan() -> Iterator[tuple[int, int, int, int, int]]:
             c = np.concatenate(parts)
             wins, diags = self.regions(c)
             if len(wins):
-                starts = np.array([x[0] for x in places])
+                ends = np.array([x[3] for x in places])
                 for i, a, b, e in self.aligned(c, wins, diags):
-                    at, text, offset = places[int(np.searchsorted(starts, a, side="right")) - 1]
-                    yield text, i, a - at + offset, b - at + offset, e
+                    # First or last letters that the piece lacks may be paid for with gap characters:
+                    # a begin in a gap belongs to the piece after it.
+                    at, text, offset, end = places[int(np.searchsorted(ends, a, side="right"))]
+                    yield text, i, max(a, at) - at + offset, min(b, end) - at + offset, e
 
         for n, text in enumerate(texts):
             c = codes(normalised(text))
             for s in range(0, max(1, len(c) - lap), self.lim.stretch):
                 piece = c[s : s + self.lim.stretch + lap]
-                places.append((used, n, s))
+                places.append((used, n, s, used + len(piece)))
                 parts += [piece, gap]
                 used += len(piece) + len(gap)
                 if used >= self.lim.stretch:

@@ -227,6 +227,17 @@ def test_matches_equal_full_alignment():
         assert got[n] == want, n
 
 
+def test_decontamination_names_the_text_with_the_match():
+    item = "the quick brown fox jumps over the lazy dog and runs far away from here, past the old stone mills"[:96]
+    index = decontaminate.Index([(1, item)], decontaminate.Limits())
+    for cut in (1, 5, 7):  # letters of the item that the text lacks at its begin or end
+        for kept in (item[cut:], item[:-cut], "so " + item[:-cut]):
+            for others in ([], ["some clean text of no interest"], ["clean", None, "", "x"]):
+                got = list(index.matches([*others, kept, "clean as well"]))
+                assert {m[0] for m in got} == {len(others)}, (cut, kept, others)
+                assert all(m[4] == cut and 0 <= m[2] < m[3] <= len(kept) for m in got)
+
+
 def test_decontamination_rows(spark, docs, empty):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs far away from here"), (2, None), (3, "short")], "item_id long, text string")
     dirty = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(77_777, "x " * 50 + "The quick brown  fox jumps over the lazy cog and runs far away from here " + "y " * 99), (77_777, None)], "doc_id long, text string"))
