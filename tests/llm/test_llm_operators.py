@@ -410,6 +410,25 @@ def test_lm_learns_context(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.1 * sum(r["n_tokens"] for r in got)
 
 
+def test_lm_table_grows_and_scores_equal_the_whole_table(spark, docs):
+    least = maxent_lm.Shape()
+    assert [least.sized(n).buckets for n in (0, 1 << 16, 4_000_000, 1 << 30)] == [1 << 13, 1 << 13, 1 << 19, 1 << 27]
+    rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    shape = maxent_lm.Shape(buckets=64, classes=16, singles=4, batch=700, chunk=900)
+    lex = maxent_lm.lexicon(maxent_lm.word_counts(rows, shape), shape)
+    lex.shape = shape.sized(lex.total)
+    assert lex.shape.buckets * shape.per_bucket >= lex.total
+    counts = maxent_lm.word_counts(rows, shape)
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score_texts(rows.withColumn("learn", F.lit(True)), lex, counts).collect()}
+    lex = maxent_lm.train(rows, lex)
+    reader = maxent_lm.Reader(lex)
+    for r in rows.collect():
+        t, sizes = reader.read([r["text"]])
+        p = maxent_lm.class_scores(reader.features(t, sizes), lex.weights, lex.bias)[np.arange(len(t)), reader.cls[t]]
+        want = (p / np.log(10) + np.log10(reader.count[t] + 0.1) - lex.class_cost[reader.cls[t]]).sum()
+        assert got[r["doc_id"]] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     shape = maxent_lm.Shape(classes=8, singles=2, buckets=64)
     rows = spark.createDataFrame([(1, "b a c a"), (2, "a b dd")], "doc_id long, text string")
