@@ -15,6 +15,7 @@ from ..sources.corpus import append_cache
 
 PLACES = 4  # scores are rounded before they are ranked or compared
 QUERY_BLOCK = 2048  # query vectors broadcast at a time
+BLOCK_ROWS = 8192  # of a block of vectors paired with another
 
 
 def hash_vectors(texts: list[str | None], dims: int = 64) -> list[list[float]]:
@@ -186,21 +187,48 @@ def _lsh_pairs(items: DataFrame, threshold: float, tables: int = 12, width: floa
     return near.select(F.col("datasetA.item_id").alias("src"), F.col("datasetB.item_id").alias("dst"), F.round(dot, PLACES).alias("score")).filter(F.col("score") >= threshold)
 
 
-def similar_pairs(items: DataFrame, threshold: float = 0.7, max_per_item: int | None = 3, exclude: DataFrame | None = None, method: str = "exact", blocks: int = 8) -> DataFrame:
+def _blocks(items: DataFrame) -> int:
+    """Blocks of at most about BLOCK_ROWS rows, so that what a task holds does not grow."""
+    return max(8, -(-items.count() // BLOCK_ROWS))
+
+
+def similar_pairs(items: DataFrame, threshold: float = 0.7, max_per_item: int | None = 3, exclude: DataFrame | None = None, method: str = "exact", blocks: int | None = None) -> DataFrame:
     """(src, dst, score): up to ``max_per_item`` most similar others of each item, best first with
     ties by dst; pairs in ``exclude`` (src, dst) are skipped in either direction. ``exact`` does
-    rows x blocks work, for up to some millions of rows; ``lsh`` is for more."""
-    pairs = _block_pairs(items, threshold, blocks) if method == "exact" else _lsh_pairs(items, threshold)
+    rows x blocks work, for up to some millions of rows; ``lsh`` is for more. ``blocks`` follows
+    from the number of rows if it is not given.
+
+    With a ``max_per_item``, only the first item of each group of equal vectors is paired; of a
+    group that is near, an item takes as many of the first members as could be among its best."""
     if exclude is not None:
         both = exclude.select("src", "dst").unionByName(exclude.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        pairs = pairs.join(both, ["src", "dst"], "left_anti")
+    search = lambda rows: _block_pairs(rows, threshold, blocks or _blocks(rows)) if method == "exact" else _lsh_pairs(rows, threshold)
     if max_per_item is None:
-        return pairs
+        pairs = search(items)
+        return pairs if exclude is None else pairs.join(both, ["src", "dst"], "left_anti")
+    rows = items.filter(F.size("embedding") > 0).select("item_id", "embedding")
+    firsts = rows.groupBy("embedding").agg(F.min("item_id").alias("rep"))
+    known = rows.join(firsts, "embedding").select("item_id", "rep", F.row_number().over(W.partitionBy("rep").orderBy("item_id")).alias("place"))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    own = firsts.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.when(squares > 0, 1.0).otherwise(0.0).alias("score")).filter(F.col("score") >= threshold)
+    near = search(firsts.select(F.col("rep").alias("item_id"), "embedding")).unionByName(own)
+    pairs = known.select(F.col("item_id").alias("src"), "rep").join(near.select(F.col("src").alias("rep"), F.col("dst").alias("group"), "score"), "rep").drop("rep")
+    members = known.select(F.col("rep").alias("group"), F.col("item_id").alias("dst"), "place")
+    room = max_per_item + 1  # the item itself may be among the first
+    few = members.filter(F.col("place") <= room)
+    if exclude is None:
+        pairs = pairs.join(few, "group").filter("src <> dst").select("src", "dst", "score")
+    else:
+        skipped = both.join(members, "dst").groupBy("src", "group").agg(F.count(F.lit(1)).alias("skipped"))
+        pairs = pairs.join(skipped, ["src", "group"], "left")
+        plenty = pairs.filter("skipped IS NULL").join(few, "group")
+        more = pairs.filter("skipped IS NOT NULL").join(members, "group").filter(F.col("place") <= F.col("skipped") + room)
+        pairs = plenty.unionByName(more).filter("src <> dst").select("src", "dst", "score").join(both, ["src", "dst"], "left_anti")
     best = W.partitionBy("src").orderBy(F.col("score").desc(), F.col("dst"))
     return pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max_per_item).drop("n")
 
 
-def near_duplicates(items: DataFrame, threshold: float = 0.97, method: str = "exact", blocks: int = 8) -> DataFrame:
+def near_duplicates(items: DataFrame, threshold: float = 0.97, method: str = "exact", blocks: int | None = None) -> DataFrame:
     """(item_id, twin, score): ``twin`` is the smallest item with the same vector (score 1), or a
     near one at the threshold. Equal vectors meet by one grouped minimum; only their first
     member takes part in the search, so a group of copies never makes its pairs."""

@@ -111,6 +111,28 @@ def test_lsh_pairs_find_what_exact_finds(spark):
     assert len(near) >= 0.9 * len(exact)
 
 
+def test_similar_pairs_of_equal_vectors_and_many_rows(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 4)).round(2).tolist() + [[0.0] * 4]
+    vectors = [base[i * i % 7] for i in range(70)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "item_id long, embedding array<double>")
+    skip = [(i, j) for i in range(0, 70, 3) for j in range(i + 1, min(70, i + 30))]
+    unit = np.array([np.array(v) / (np.linalg.norm(v) or 1) for v in vectors])
+    score, off = np.round(unit @ unit.T, 4), {*skip, *((j, i) for i, j in skip)}
+    handed, block_pairs = [], V._block_pairs
+    monkeypatch.setattr(V, "_block_pairs", lambda items, threshold, blocks: handed.append((items.count(), blocks)) or block_pairs(items, threshold, blocks))
+    for without in ((), off):
+        want = {(i, j) for i in range(70) for j in sorted((j for j in range(70) if j != i and score[i, j] >= 0.3 and (i, j) not in without), key=lambda j: (-score[i, j], j))[:3]}
+        exclude = spark.createDataFrame(skip, "src long, dst long") if without else None
+        assert {(r["src"], r["dst"]) for r in V.similar_pairs(rows, 0.3, 3, exclude).collect()} == want
+    assert handed[0][0] == len({tuple(v) for v in vectors})
+    monkeypatch.setattr(V, "BLOCK_ROWS", 5)
+    V.similar_pairs(rows, 0.3, None)
+    assert handed[-1] == (70, 14)
+
+
 def test_parse_and_ground(spark):
     text = "ENTITY|Acme|Big Org\njunk\nREL|Acme|Bolt|makes it\nREL|Acme|Acme|x\nENTITY||none"
     parsed = N.parse_extractions(spark.createDataFrame([("b", text)], "batch_id string, completion string"))
