@@ -186,9 +186,46 @@ def _diff(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]
     return out
 
 
+def _long_diff(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]]:
+    """The same steps as ``_diff``, with memory for some 2 * sqrt(len(a)) rows of its table: every
+    so many rows are kept, and those between are made again when the walk gets there."""
+    n, m = len(a), len(b)
+    every = max(1, int(n**0.5))
+
+    def above(i: int, under: list[int]) -> list[int]:
+        row = [0] * (m + 1)
+        for j in range(m - 1, -1, -1):
+            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
+        return row
+
+    row = [0] * (m + 1)
+    kept = {n: row}
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % every == 0:
+            kept[i] = row
+    out, i, j, best, end = [], 0, 0, {}, 0
+    while i < n or j < m:
+        if i < n and i + 1 > end:
+            end = min(n, (i // every + 1) * every)
+            best = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                best[k] = above(k, best[k + 1])
+        if i < n and j < m and a[i] == b[j]:
+            out.append(("same", i, j))
+            i, j = i + 1, j + 1
+        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
+            out.append(("delete", i, None))
+            i += 1
+        else:
+            out.append(("insert", None, j))
+            j += 1
+    return out
+
+
 def line_diff(pairs: DataFrame, max_cells: int = 2_000_000) -> DataFrame:
     """(doc_id, seq, op, line) of each pair (doc_id, old, new): equal ends are set aside, the rest
-    is diffed; where it exceeds ``max_cells`` all old lines are deleted and all new ones inserted."""
+    is diffed; where it exceeds ``max_cells`` the table is not held as a whole."""
     kind = pairs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +240,7 @@ def line_diff(pairs: DataFrame, max_cells: int = 2_000_000) -> DataFrame:
                 while t < min(len(a), len(b)) - h and a[-1 - t] == b[-1 - t]:
                     t += 1
                 x, y = a[h : len(a) - t], b[h : len(b) - t]
-                steps = _diff(x, y) if len(x) * len(y) <= max_cells else [("delete", i, None) for i in range(len(x))] + [("insert", None, j) for j in range(len(y))]
+                steps = _diff(x, y) if len(x) * len(y) <= max_cells else _long_diff(x, y)
                 seq = [("same", s) for s in a[:h]] + [(o, x[i] if i is not None else y[j]) for o, i, j in steps] + [("same", s) for s in a[len(a) - t :]]
                 out += [(d, k, o, s) for k, (o, s) in enumerate(seq)]
             yield pd.DataFrame(out, columns=["doc_id", "seq", "op", "line"])

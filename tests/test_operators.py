@@ -191,6 +191,16 @@ def test_line_diff_deletes_first(spark):
     assert [(r["op"], r["line"]) for r in rows] == [("same", "a"), ("delete", "b"), ("insert", "x"), ("same", "c")]
 
 
+def test_line_diff_of_long_pairs_is_the_same(spark):
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: "\n".join(rng.choice("abcd") for _ in range(n))
+    pairs = spark.createDataFrame([(str(i), text(i), text(rng.randrange(1, 40))) for i in range(1, 40)], "doc_id string, old string, new string")
+    steps = lambda cells: sorted(tuple(r) for r in E.line_diff(pairs, cells).collect())
+    assert steps(0) == steps(2_000_000)
+
+
 def test_ledger_clamps_each_step(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [("r", "h", 1, "add", 0.9, "it", None, None, t), ("r", "h", 2, "score", 0.5, None, "e", ["k"], t), ("r", "h", 3, "score", -0.3, None, None, ["k"], t), ("r", "g", 1, "add", 0.8, "x", None, ["h"], t), ("r", "z", 1, "add", 0.5, "x", None, None, t), ("r", "z", 2, "delete", None, None, None, None, t)]
