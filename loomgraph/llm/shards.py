@@ -6,7 +6,8 @@ members by shard, then members ask to move to the shard where most of their grou
 may move between two shards is bounded: as many rows one way as come back the other way, plus
 the room that is left under the quota; who goes is decided by a hash of the document, so a
 quota is met without ordering a shard in one task. Groups, moves and counts are summed on the
-map side: one group may hold any share of the rows.
+map side: one group may hold any share of the rows. A group above a quota has no shard to
+agree on; its rows are dealt to a run of neighbouring shards from the start and stay there.
 
 The last step makes the law ``rows`` exact: documents sorted by (shard, group, id) are cut into
 shards whose counts differ by one at most. A group is split only where a cut falls into it, and
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import ranked
-from .store import drop_written, written
+from .store import drop_written, joined_by_weight, written
 
 SHARDS = 24
 
@@ -36,18 +37,29 @@ def _share(*parts) -> Column:
 def propagate(members: DataFrame, shards: int = SHARDS, rounds: int = 3, slack: float = 0.02) -> DataFrame:
     """``members`` (node, hub, and what else they carry) with ``shard`` and ``linked`` (has a
     neighbour) after balanced label propagation."""
-    now = written(members.withColumn("shard", F.pmod(F.xxhash64("node", "hub"), F.lit(shards)).cast("int")), "labels")
-    quota = int(now.count() / shards * (1 + slack)) + 1
+    total = members.count()
+    quota = int(total / shards * (1 + slack)) + 1
+    groups = written(members.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    # Fewer than ``shards`` groups exceed a quota. They are laid end to end along the shards once,
+    # each row of them by its hash, and do not vote.
+    start, run, gone = F.lit(None).cast("double"), F.lit(None).cast("double"), 0
+    for r in groups.filter(F.col("n") > quota).orderBy("hub").collect():
+        start, run = F.when(F.col("hub") == r["hub"], float(gone)).otherwise(start), F.when(F.col("hub") == r["hub"], float(r["n"])).otherwise(run)
+        gone += r["n"]
+    spot = F.when(F.col("node").isNull(), F.rand(7)).otherwise(_share("node"))
+    own = F.least(F.floor((start + spot * run) * shards / max(total, 1)), F.lit(shards - 1))
+    first = F.coalesce(own, F.pmod(F.xxhash64("node", "hub"), F.lit(shards))).cast("int")
+    met = joined_by_weight(members, groups.withColumn("members", F.col("n")), ["hub"], "n", "left")
+    now = met.withColumns({"linked": F.col("members").isNotNull(), "placed": start.isNotNull(), "shard": first}).drop("members")
+    columns = [*members.columns, "linked", "placed"]
+    now = written(now.select(*columns, "shard"), "labels")
     for step in range(rounds):
-        votes = now.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+        votes = now.filter("linked AND NOT placed").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         # Ties go by a hash, not by the shard's number: else moves would drift one way.
         top = F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("top")
-        best = votes.groupBy("hub").agg(F.sum("n").alias("all"), top).filter("all > 1").select("hub", "all", F.col("top.shard").alias("first"))
-        # A group that exceeds a quota asks for as many neighbouring shards as it fills.
-        wide = F.ceil(F.col("all") / quota)
-        goal = F.pmod(F.col("first") + F.floor(_share("node") * wide), F.lit(shards)).cast("int")
-        asked = now.drop("linked").join(best, "hub", "left").withColumn("goal", F.coalesce(goal, "shard")).withColumn("linked", F.col("all").isNotNull())
-        asked = written(asked.select(*members.columns, "shard", "goal", "linked"), "asked")
+        best = written(votes.groupBy("hub").agg(F.sum("n").alias("all"), top).select("hub", "all", F.col("top.shard").alias("goal")), "best")
+        voters = joined_by_weight(now.filter("linked AND NOT placed"), best, ["hub"], "all").select(*columns, "shard", "goal")
+        asked = written(voters.unionByName(now.filter("NOT linked OR placed").withColumn("goal", F.col("shard"))), "asked")
         # At most shards x shards x 2 sums.
         flow = {(r["shard"], r["goal"], r["linked"]): r["n"] for r in asked.groupBy("shard", "goal", "linked").agg(F.count(F.lit(1)).alias("n")).collect()}
         size, alone, out, into = ([0.0] * shards for _ in range(4))
@@ -73,8 +85,9 @@ def propagate(members: DataFrame, shards: int = SHARDS, rounds: int = 3, slack:
         room = F.least(F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= u)), F.lit(shards - 1)).cast("int")
         target = F.when(F.col("linked"), F.col("goal")).otherwise(room)
         moves = _share("node", F.lit(f"go{step}")) < chance
-        after = written(asked.select(*members.columns, F.when(moves, target).otherwise(F.col("shard")).alias("shard"), "linked"), "labels")
+        after = written(asked.select(*columns, F.when(moves, target).otherwise(F.col("shard")).alias("shard")), "labels")
         drop_written(asked)
+        drop_written(best)
         drop_written(now)
         now = after
         if not sum(moved.values()):

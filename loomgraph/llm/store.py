@@ -6,16 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}  # application -> folder, where the session names none
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where it names none, as on one machine in tests, a
-    temporary folder is taken for the application."""
+    """The session's checkpoint folder. Only where it names none and all runs on one machine, as
+    in tests, a temporary folder is taken for the application; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -35,6 +37,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number of its own for each row, so that rows with equal, repeated or
+    null ids stay apart, and the name of that column: one that ``df`` does not have."""
+    column = "_n"
+    while column in (c.lower() for c in df.columns):
+        column += "_"
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def joined_by_weight(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key; ``weight``: how many of ``rows`` have it).
+    Keys that hold over 1 / (4 x shuffle partitions) of all rows, of which there are fewer than
+    4 x partitions, come by broadcast, so their rows stay where they are; all other keys are
+    shuffled. Both tables are read twice: they should be written ones. ``weight`` is dropped."""
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    limit = max(1000, -(-total // parts))
+    hot = table.filter(F.col(weight) > limit).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.filter(F.col(weight) <= limit).drop(weight), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by ``written`` (no other reader may be left)."""
     spark = df.sparkSession
