@@ -10,7 +10,7 @@ bit flip away, a group of which holds at most 65 fingerprints by construction. S
 ever expanded into all its pairs, however many near copies lie in it.
 
 Equal fingerprints are one node of the graph before any join, which makes groups of exact
-copies cost one row. Components run on fingerprints, then map to documents.
+copies cost one row; large groups meet their component by broadcast. Components run on fingerprints, then map to documents.
 
 Defined results: null and word-less texts have fingerprint 0, linked like any other; repeated
 rows share their component; a null doc_id keeps its row and takes its group's smallest id;
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import joined_by_weight, written
 
 SEED = 42
 CHUNK = 100_000
@@ -107,10 +107,10 @@ def links(prints: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
-    by_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    by_fp = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "by-fp")
     roots = components(links(prints))
     rooted = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = by_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = by_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n")
+    return joined_by_weight(prints, written(by_fp, "of-fp"), ["fp"], "n").select("doc_id", "fp", "component_id")

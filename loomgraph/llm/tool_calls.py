@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import ranked
-from .store import written
+from .store import joined_by_weight, written
 
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -131,8 +131,10 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict])
 
     shaped = rows.select("conv_id", "call_id", "name", "arguments", "result", "trouble", "linked", "depth", "copies").mapInPandas(run, "conv_id long, call_id string, depth long, name string, linked boolean, copies long, error string, message string")
     placed, _ = ranked(shaped, ["conv_id", "depth", "call_id"], "_rank")
-    first = placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("_rank").alias("_first"))
-    out = placed.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    first = written(placed.groupBy("conv_id").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n")), "first")
+    alone = first.filter("conv_id IS NULL").select(F.min("_first")).first()[0]  # null ids: one row at most
+    out = joined_by_weight(placed.filter("conv_id IS NOT NULL"), first.filter("conv_id IS NOT NULL"), ["conv_id"], "_n")
+    out = out.unionByName(placed.filter("conv_id IS NULL").withColumn("_first", F.lit(alone).cast("long")))
     return out.select("conv_id", (F.col("_rank") - F.col("_first")).alias("position"), "depth", "call_id", "name", "linked", F.col("error").isNull().alias("valid"), "error", "copies", "message")
 
 
