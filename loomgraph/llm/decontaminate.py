@@ -12,9 +12,11 @@ in blocks of a stated number of characters; one block is broadcast at a time, so
 grows with the benchmark. Documents are handled in stretches of a fixed length that overlap by
 more than a match can span: memory is bounded for texts of any length.
 
-Defined results: null or empty texts and items match nothing; items shorter than ``min_item``
-characters are skipped (no bound of the lemma is left); repeated document rows are reported
-once; a null doc_id is kept as null; empty tables give no rows; extra columns are ignored.
+Items shorter than ``min_item`` characters, for which the lemma has little bound left, are found
+verbatim, as whole words, by the hash of all their characters.
+
+Defined results: null or empty texts and items match nothing; repeated document rows are
+reported once; ties between equal matches go to the earlier window of the item; a null doc_id is kept as null; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = 1 << 40  # no character
+BLANK = 32
 SCHEMA = "doc_id long, item_id long, item_start int, doc_start long, doc_end long, edits int"
 
 
@@ -37,7 +40,7 @@ class Limits:
     window: int = 96
     budget: int = 7  # edits in a full window; shorter windows get a proportional share
     band: int = 16  # diagonals in a band besides the overlap of 2 * budget
-    min_item: int = 40
+    min_item: int = 40  # shorter items must be there verbatim
     stretch: int = 1 << 18  # characters of a document looked at together
     block_chars: int = 4_000_000  # benchmark characters broadcast at a time
 
@@ -73,9 +76,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], lim: Limits):
         self.lim, self.text, self.item, self.start, self.budget = lim, [], [], [], []
+        short: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             c = codes(normalised(text))
             if len(c) < lim.min_item:
+                if len(c):
+                    short.setdefault(len(c), []).append((item_id, c))
                 continue
             w = min(lim.window, len(c))
             for s in sorted({*range(0, len(c) - w, max(1, lim.window // 2)), len(c) - w}):
@@ -94,6 +100,28 @@ class Index:
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[(self.gram >> self.shift).astype(np.int64)] = True
 
+        # Short items are numbered after the windows: by length, their sorted hashes, numbers and characters.
+        self.short = []
+        for n, found in sorted(short.items()):
+            h = np.array([gram_hashes(c, n)[0] for _, c in found])
+            order = np.argsort(h, kind="stable").tolist()
+            self.short.append((n, h[order], [(len(self.item) + i, found[i][1]) for i in order]))
+            self.item += [item_id for item_id, _ in found]
+            self.start += [0] * len(found)
+
+    def verbatim(self, c: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(number, start, end) of the short items in ``c`` as whole words."""
+        for n, hashes, found in self.short:
+            h = gram_hashes(c, n)
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            at = np.flatnonzero(hashes[k] == h)
+            ahead, behind = c[np.maximum(at - 1, 0)], c[np.minimum(at + n, len(c) - 1)]
+            apart = ((at == 0) | (ahead == BLANK) | (ahead == GAP)) & ((at + n == len(c)) | (behind == BLANK) | (behind == GAP))
+            for s in at[apart].tolist():
+                for i in range(int(np.searchsorted(hashes, h[s])), int(np.searchsorted(hashes, h[s], side="right"))):
+                    if (found[i][1] == c[s : s + n]).all():
+                        yield found[i][0], s, s + n
+
     def regions(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, band start diagonal) of the bands of ``c`` that meet the lemma's bound."""
         none = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -161,31 +189,36 @@ class Index:
         return out
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(index of the text, window, start, end, edits). Texts are laid end to end with a gap
-        that no match can cross, and looked at a stretch at a time; each stretch repeats the
-        last ``lap`` characters of the one before, so that no match is cut."""
+        """(index of the text, window or short item, start, end, edits). Texts are laid end to end
+        with a gap that no match can cross, and looked at a stretch at a time; each stretch repeats
+        the last ``lap`` characters of the one before, so that no match is cut."""
         lap = 4 * self.lim.window
         gap = np.full(self.lim.window, GAP, np.uint64)
         parts: list[np.ndarray] = []
-        places: list[tuple[int, int, int, int]] = []  # where a piece starts here, which text it is of, its offset there, where it ends here
+        places: list[tuple[int, int, int, int, bool]] = []  # where a piece starts here, which text it is of, its offset there, where it ends here, whether the text does
         used = 0
 
         def scan() -> Iterator[tuple[int, int, int, int, int]]:
             c = np.concatenate(parts)
+            ends = np.array([x[3] for x in places])
+            for i, a, b in self.verbatim(c):
+                at, text, offset, end, last = places[int(np.searchsorted(ends, a, side="right"))]
+                # Where a long text is cut is no end of a word; the stretch beside it has all of it.
+                if (a > at or not offset) and (b < end or last):
+                    yield text, i, a - at + offset, b - at + offset, 0
             wins, diags = self.regions(c)
             if len(wins):
-                ends = np.array([x[3] for x in places])
                 for i, a, b, e in self.aligned(c, wins, diags):
                     # First or last letters that the piece lacks may be paid for with gap characters:
                     # a begin in a gap belongs to the piece after it.
-                    at, text, offset, end = places[int(np.searchsorted(ends, a, side="right"))]
+                    at, text, offset, end, _ = places[int(np.searchsorted(ends, a, side="right"))]
                     yield text, i, max(a, at) - at + offset, min(b, end) - at + offset, e
 
         for n, text in enumerate(texts):
             c = codes(normalised(text))
             for s in range(0, max(1, len(c) - lap), self.lim.stretch):
                 piece = c[s : s + self.lim.stretch + lap]
-                places.append((used, n, s, used + len(piece)))
+                places.append((used, n, s, used + len(piece), s + len(piece) == len(c)))
                 parts += [piece, gap]
                 used += len(piece) + len(gap)
                 if used >= self.lim.stretch:
@@ -199,7 +232,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, lim: Limits = Limit
     """One row per (document, item): where the closest window of the item lies in the
     normalised document, and its edits."""
     spark = docs.sparkSession
-    items = benchmark.filter(F.length("text") >= lim.min_item)
+    items = benchmark.filter(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // lim.block_chars) or 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
