@@ -27,6 +27,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -238,6 +239,12 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def worker_pieces(model: str) -> Pieces:
+    """One lattice a Python worker: its stretches outlive a task."""
+    return Pieces(model)
+
+
 def applied(ids: bytes, changes: list[tuple[int, int, bytes]]) -> bytes:
     """The ids of one of the ``others``."""
     out, at = [], 0
@@ -258,7 +265,7 @@ def encode_nbest(docs: DataFrame, model: str, n: int = 4, text_col: str = "text"
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("sp_ids", T.BinaryType()), T.StructField("sp_score", T.DoubleType()), T.StructField("sp_others", OTHERS), T.StructField("sp_same", T.BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model)
+        pieces = worker_pieces(model)
         gc.disable()  # the lattice and its memory hold no cycles; scanning them again and again costs more than the search
         for b in batches:
             for k in range(0, len(b), 1000):
@@ -267,6 +274,8 @@ def encode_nbest(docs: DataFrame, model: str, n: int = 4, text_col: str = "text"
                 others = [[{"score": s, "changes": [{"first": f, "replaced": m, "ids": i} for f, m, i in c]} for s, c in x[2]] for x in found]
                 same = [pieces.decode(x[0]) == (t or "") for x, t in zip(found, part[text_col], strict=True)]
                 yield plain(part[kept]).assign(sp_ids=[x[0] for x in found], sp_score=[x[1] for x in found], sp_others=others, sp_same=same)
+        gc.freeze()  # what stays is not scanned again
+        gc.enable()
 
     return docs.mapInPandas(run, schema)
 
@@ -276,7 +285,7 @@ def decode_ids(rows: DataFrame, model: str, ids_col: str = "sp_ids", out_col: st
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model)
+        pieces = worker_pieces(model)
         for b in batches:
             yield plain(b).assign(**{out_col: [None if x is None else pieces.decode(x) for x in b[ids_col]]})
 

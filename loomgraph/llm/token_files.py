@@ -28,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -178,6 +179,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """One encoder a Python worker: its words outlive a task."""
+    return Encoder(path)
+
+
 FILES = "shard int, part int, docs long, ids long, payload binary"
 
 
@@ -190,7 +197,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.disable()  # the cache holds no cycles
-        encoder, shard, part = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, part = worker_encoder(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
         end = np.array([end_id], np.uint32)
@@ -210,6 +217,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                         held, size, part = [], 0, part + 1
         if held:
             yield file()
+        gc.freeze()  # what stays is not scanned again
+        gc.enable()
 
     dealt.mapInPandas(run, FILES).write.parquet(path)
 
