@@ -13,7 +13,7 @@ from .kernel_quality import quality_scores
 from .maxent_lm import lm_scores
 from .pieces import digest, encode_nbest
 from .quality_rules import apply_quality_rules
-from .repeats import without_repeats
+from .repeats import cut_text, without_repeats
 from .shards import shard_documents
 from .simhash import simhash_components
 from .store import fresh_path, table
@@ -64,6 +64,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("_rep_spans").cast("long").alias("n_spans"),
         F.sha2("_rep_kept", 256).alias("kept_sha256"),
+        cut_text(F.coalesce("text", F.lit("")), F.col("_rep_spans")).alias("kept_text"),
     )
 
 

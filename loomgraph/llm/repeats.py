@@ -6,8 +6,9 @@ is in four steps, each a Spark job over all texts.
 1. Anchors. Every window of ``length`` bytes picks the position of the smallest hash of the
    ``gram``-byte strings in it: a function of the window's bytes, so equal windows pick equal
    anchors. Runs of windows with one anchor, and the bytes they span (a region), are counted by
-   anchor and by content. A region seen twice is repeated as a whole; an anchor seen once holds
-   no repeat. Counting uses map-side sums, so a passage in a third of all texts costs nothing.
+   anchor and by content. A region seen twice is repeated as a whole; an anchor with one region
+   holds no other repeat. Counting uses map-side sums, and frequent regions and anchors are
+   joined by broadcast, so a passage in a third of all texts costs nothing.
 2. Shards. Only anchors with several different regions are open. One copy of each such region
    is dealt to a shard of bounded size by its anchor, so equal windows meet in one shard. In
    each shard a suffix array (Larsson-Sadakane, numpy) and its common prefixes (Kasai) tell
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import joined_by_weight, written
 from .suffixes import byte_words, common_prefixes, suffix_array
 
 GAP = 0xFF  # in no UTF-8 text
@@ -210,13 +211,15 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     runs = written(_runs(texts, p), "runs")
     region = ["anchor", "ra", "rb"]
     # Rows of the same id and text share a key: their runs are counted as often as they occur.
-    regions = runs.groupBy(*region).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "off", "cnt")).alias("rep"))
-    anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("anchor")
-    seen = written(regions.join(anchors, "anchor"), "regions")
-    kinds = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    whole = runs.join(seen.filter("n > 1").select(*region), region).select("k1", "k2", "off", "cnt")
-
-    open_ = seen.filter("n = 1 OR n > 1").join(kinds, "anchor").select(*region, "n", "kinds", "rep.*")
+    often = written(runs.groupBy(*region).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    whole = joined_by_weight(runs, often, region, "n").select("k1", "k2", "off", "cnt")
+
+    ends = F.min("ra").alias("lo"), F.max("ra").alias("hi")
+    crowded = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), *ends).filter("lo <> hi").select("anchor", "total"), "crowded")
+    one_each = F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "off", "cnt")).alias("rep")
+    seen = written(joined_by_weight(runs, crowded, ["anchor"], "total").groupBy(*region).agg(*one_each), "regions")
+    kinds = written(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).withColumn("weight", F.col("kinds")), "kinds")
+    open_ = joined_by_weight(seen, kinds, ["anchor"], "weight").select(*region, "n", "kinds", "rep.*")
     size = open_.agg(F.sum(F.col("cnt") + p.length)).first()[0] or 0
     shards = max(1, -(-size // p.shard_bytes))
     hot = F.col("kinds") > p.hot_regions
@@ -231,6 +234,22 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     return marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("off", "cnt")).alias("marks")).mapInPandas(_merge_spans(p), SPANS)
 
 
+def cut_text(text: Column, spans: Column) -> Column:
+    """``text`` without the byte ranges ``spans``, each widened to whole characters: what a range
+    leaves of a character that it cuts goes as well, and every other character stays."""
+    raw = text.cast("binary")
+    size = F.octet_length(text).cast("long")
+    inside = lambda i: F.substring(raw, (i + 1).cast("int"), F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    begin = lambda s: s - F.when(~inside(s), 0).when(~inside(s - 1), 1).when(~inside(s - 2), 2).otherwise(3)
+    end = lambda e: e + F.when(~inside(e), 0).when(~inside(e + 1), 1).when(~inside(e + 2), 2).otherwise(3)
+    gaps = F.zip_with(
+        F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: end(x["e"]))),
+        F.concat(F.transform(spans, lambda x: begin(x["s"])), F.array(size)),
+        lambda a, b: F.substring(raw, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).cast("string"),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(gaps, ""))
+
+
 def without_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``_rep_bytes`` (length), ``_rep_spans`` and ``_rep_kept`` (what is left)."""
     k1, k2 = _row_key(id_col, text_col)
