@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, near-dedup, repeat removal, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet
-and reads again as the next stage's docs. All but the last return the columns of documents."""
+and reads again as the next stage's docs. All but the last return the columns of documents.
+
+Decisions are on rows, not on ids: rows with null or repeated ids are judged by their own texts.
+Null texts count as empty ones; empty tables give empty results; further columns pass through
+the first four stages, whatever their names."""
 
 from __future__ import annotations
 
@@ -14,44 +18,52 @@ from loomgraph.llm.decontaminate import benchmark_matches
 from loomgraph.llm.pieces import digest, encode_nbest
 from loomgraph.llm.quality_rules import apply_quality_rules
 from loomgraph.llm.queries import vocabulary_path
-from loomgraph.llm.repeats import without_repeats
+from loomgraph.llm.repeats import Repeats, cut_text, without_repeats
 from loomgraph.llm.simhash import simhash_components
-from loomgraph.llm.store import table, written
+from loomgraph.llm.store import numbered, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of a repeat: a little under what 51 words take in the four languages of the tables, as
+#: the stage is after passages of over 50 words.
+PASSAGE = Repeats(length=240)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base tests and the learned decision list keep."""
-    judged, _ = apply_quality_rules(docs, table(spark, sf_dir, "labels"))
-    bad = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the base tests and the learned decision list keep. Null and empty texts fail
+    the base test; equal texts have the same verdict."""
+    whole = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
+    judged, _ = apply_quality_rules(whole, table(spark, sf_dir, "labels"), carried=("_doc",))
+    return judged.filter("kept").select("_doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest id."""
-    found = simhash_components(docs)
-    copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    # Repeated rows of one id are one group too; texts are only dealt anew where there are any.
-    if found.groupBy("doc_id", "fp").count().filter("count > 1").limit(1).count():
-        left = left.withColumn("_fp", F.xxhash64("text")).dropDuplicates(["doc_id", "_fp"]).drop("_fp")
-    return left
+    """One row of each group of linked fingerprints: that with the smallest id, of these the one
+    with the least text hash, of equal rows any one; rows without an id give way to rows with one.
+    Texts without a word are one group."""
+    rows, n = numbered(docs, "numbered")
+    found = simhash_components(rows, id_col=n).select(F.col("doc_id").alias(n), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", F.xxhash64("text").alias("h"), F.col(n).alias("n"))
+    stays = found.join(rows.select(n, order.alias("_o")), n).groupBy("_group").agg(F.min("_o").alias("_o")).select(F.col("_o.n").alias(n))
+    return rows.join(stays, n, "left_semi").select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long byte strings that they repeat; texts with nothing left go. Bytes of
-    a character that a removed string cut in two go as well."""
-    found = without_repeats(docs)
-    text = F.when(F.size("_rep_spans") == 0, F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("_rep_kept").cast("string")), "\uFFFD", ""))
-    left = found.withColumn("text", text).filter((F.size("_rep_spans") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.when(F.size("_rep_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    """Texts without the byte strings of ``PASSAGE.length`` that they repeat, in whole characters;
+    texts of which nothing but white space is left go. Texts without repeats stay as they are."""
+    found = without_repeats(docs, PASSAGE)
+    touched = F.size("_rep_spans") > 0
+    left = found.withColumn("text", cut_text(F.col("text"), F.col("_rep_spans"))).filter(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    leaks = benchmark_matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds no window of a benchmark item."""
+    rows, n = numbered(docs, "numbered")
+    leaks = benchmark_matches(rows, table(spark, sf_dir, "benchmark"), id_col=n).select(F.col("doc_id").alias(n)).distinct()
+    return rows.join(leaks, n, "left_anti").select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

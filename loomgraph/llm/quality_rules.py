@@ -63,15 +63,17 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 6, F.lit(0)).otherwise(_let(words, lambda w: F.when(repeats(w), exact(w)).otherwise(F.lit(0))))
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the five base counts, and what the further features need; one narrow pass."""
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the five base counts, and what the further features need; one narrow pass. Columns
+    named in ``carried`` pass through."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), t.alias("_t"), words_of(t).alias("_w"), F.split(t, "\n").alias("_lines"))
+    base = docs.select(F.col(id_col).alias("doc_id"), *carried, t.alias("_t"), words_of(t).alias("_w"), F.split(t, "\n").alias("_lines"))
     lines = F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     removed = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
     digits = "0123456789"
     return base.select(
         "doc_id",
+        *carried,
         F.size("_w").cast("long").alias("n_words"),
         F.coalesce(F.length(F.regexp_replace("_t", SPACE, "")), F.lit(0)).cast("long").alias("word_chars"),
         removed(SYMBOLS).cast("long").alias("n_symbols"),
@@ -245,9 +247,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]:
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DecisionList]:
     """Statistics, verdict columns and the learned list. Rules are learned from labelled
     documents that pass the base test, as only those depend on them."""
-    stats = written(features(text_statistics(docs)), "stats").withColumn("base_failed", base_failed())
+    stats = written(features(text_statistics(docs, carried=carried)), "stats").withColumn("base_failed", base_failed())
     rules = learn_decision_list(with_labels(stats.filter("NOT base_failed"), labels))
     return stats.withColumn("rule", F.when(F.col("base_failed"), -1).otherwise(rules.matched())).withColumn("kept", ~F.col("base_failed") & rules.verdict()), rules

@@ -522,3 +522,59 @@ def test_pipeline_stages(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     clean = [i for i in ids[0] if labels.get(i) == 1 and plain_stats(rows[i])[0] >= 10 and plain_stats(rows[i])[4] * 5 <= plain_stats(rows[i])[0]]
     assert len(set(clean) & ids[1]) >= 0.99 * len(clean)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids, repeated ids with other texts, U+FFFD, planted passages, clashing columns, empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randrange(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    passage, a, b, c, d = prose(52), prose(80), prose(90), prose(70), prose(60)
+    rows = [
+        (1, a), (2, a), (None, a), (1, b), (None, None), (None, ""), (3, "one two"), (3, c), (4, "w " * 60), (4, d),
+        (5, prose(40) + " � " + passage + " " + prose(40)), (6, prose(40) + " " + passage + "�é " + prose(40)),
+        (None, prose(30) + " " + item + " " + prose(30)), (7, prose(30) + " " + item + " " + prose(30)), (7, prose(50)), (None, prose(45)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), n, 2) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _n int, n_words int").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name, rows: collections.Counter((r["doc_id"], r["text"]) for r in stages[name](spark, rows, DATA).collect())
+    whole = collections.Counter(rows)
+    short = collections.Counter([(None, None), (None, ""), (3, "one two"), (4, "w " * 60)])
+    assert left("quality rules", docs) == whole - short
+    near = left("simhash near-dedup", docs)
+    assert near == whole - collections.Counter([(2, a), (None, a), (None, None)]) or near == whole - collections.Counter([(2, a), (None, a), (None, "")])
+    got = left("suffix-array dedup", docs)
+    texts = [t for _, t in got if t]
+    assert not any(passage[20:-20] in t for t in texts)
+    assert sum(t.count("�") for t in texts) == 2
+    assert all((i, t) in got for i, t in [(1, b), (None, None), (3, "one two"), (3, c), (4, d)])
+    assert {i for i, t in rows if t == a and (i, t) in got} == set()  # a whole text that occurs elsewhere goes
+    assert left("benchmark decontamination", docs) == whole - collections.Counter([rows[12], rows[13]])
+    assert stages["sentencepiece encoding"](spark, docs, DATA).count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), DATA)
+        assert out.count() == 0
+        assert name == "sentencepiece encoding" or out.columns == docs.columns
+
+
+def test_short_items_are_found_verbatim():
+    lim = decontaminate.Limits(stretch=500)
+    index = decontaminate.Index([(7, "Tiny  item here"), (8, "x"), (9, "a thirty-nine character item, so to say"), (10, ""), (11, None)], lim)
+    docs = ["so tiny item here.", "the tiny item here is", "tiny item heres", "x", "axa b", "bb " * 600 + "TINY item\nhere", "q " * 160 + "x " * 3, "a thirty-nine character item, so to say", "a thirty-nine character item, so to sax", None]
+    got = {(n, index.item[i]) for n, i, *_ in index.matches(docs)}
+    assert got == {(1, 7), (3, 8), (5, 7), (6, 8), (7, 9)}
+    long = " ".join(f"w{i}x x{i}" for i in range(400))  # x at the ends of words only
+    assert list(index.matches([long])) == []
+
+
+def test_joined_by_weight_equals_a_join(spark):
+    from loomgraph.llm.store import joined_by_weight
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(4000)], "i int, k string")
+    table = rows.filter("i % 7 <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top"))
+    for how in ("inner", "left"):
+        want = collections.Counter(rows.join(table.drop("n"), "k", how).select("i", "k", "top").collect())
+        assert collections.Counter(joined_by_weight(rows, table, ["k"], "n", how).select("i", "k", "top").collect()) == want
