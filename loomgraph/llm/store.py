@@ -50,13 +50,18 @@ def joined_by_weight(rows: DataFrame, table: DataFrame, keys: list[str], weight:
     """``rows`` joined with ``table`` (one row a key; ``weight``: how many of ``rows`` have it).
     Keys that hold over 1 / (4 x shuffle partitions) of all rows, of which there are fewer than
     4 x partitions, come by broadcast, so their rows stay where they are; all other keys are
-    shuffled. Both tables are read twice: they should be written ones. ``weight`` is dropped."""
+    shuffled. Where there are frequent keys, both tables are read twice: they should be written
+    ones. ``weight`` is dropped."""
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = table.agg(F.sum(weight)).first()[0] or 0
     limit = max(1000, -(-total // parts))
-    hot = table.filter(F.col(weight) > limit).drop(weight)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.filter(F.col(weight) <= limit).drop(weight), keys, how)
-    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+    hashed = F.xxhash64(*keys)  # of two keys with one hash both count as frequent
+    frequent = [r[0] for r in table.filter(F.col(weight) > limit).select(hashed).distinct().collect()]
+    if not frequent:
+        return rows.join(table.drop(weight), keys, how)
+    hot = hashed.isin(frequent)
+    some = rows.filter(hot).join(F.broadcast(table.filter(hot).drop(weight)), keys, how)
+    return some.unionByName(rows.filter(~hot).join(table.filter(~hot).drop(weight), keys, how))
 
 
 def drop_written(df: DataFrame) -> None:
