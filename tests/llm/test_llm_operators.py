@@ -387,7 +387,7 @@ def test_shards_are_even_and_keep_groups(spark, docs, texts, empty):
 
 
 def test_lm_base_and_normalisation(spark, docs, texts, empty):
-    shape = maxent_lm.Shape(head=50, buckets=256, batch=512)
+    shape = maxent_lm.Shape(head=50, buckets=256, chunk=512, range_tokens=64)
     rows = [(i, t) for i, t in texts]
     got = maxent_lm.lm_scores(docs, shape).collect()
     tok = lambda t: [*WORD.findall((t or "").translate(ASCII_LOW)), ""]
@@ -410,40 +410,134 @@ def test_lm_learns_context(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.1 * sum(r["n_tokens"] for r in got)
 
 
-def test_lm_table_grows_and_scores_equal_the_whole_table(spark, docs):
+def test_lm_table_grows():
     least = maxent_lm.Shape()
-    assert [least.sized(n).buckets for n in (0, 1 << 16, 4_000_000, 1 << 30)] == [1 << 13, 1 << 13, 1 << 19, 1 << 27]
+    assert [least.sized(n).buckets for n in (0, 1 << 16, 10**10, 1 << 40)] == [1 << 13, 1 << 13, 1 << 14, 1 << 16]
+    assert [least.range_bits(n) for n in (0, 1 << 27, 1 << 30)] == [6, 6, 9]
+
+
+def plain_class_weights(texts, lex):
+    """The class factor of a list of texts, by loops over all tokens in one array."""
+    reader = maxent_lm.Reader(lex)
+    t, sizes = reader.read(texts)
+    words = reader.words()
+    f, cls = maxent_lm.features(words.hash.view(np.uint64)[t], sizes, lex.shape), words.cls[t]
+    prior = lex.shape.prior * np.exp(lex.bias.astype(float)) / np.exp(lex.bias.astype(float)).sum()
+    seen = np.zeros((maxent_lm.FEATURES * lex.shape.buckets, lex.shape.classes))
+    for k in range(maxent_lm.FEATURES):
+        np.add.at(seen, (f[:, k], cls), 1)
+    w = np.log1p(seen / prior) / 4
+    for _ in range(lex.shape.rounds):
+        x = np.exp(w[f].sum(axis=1) + lex.bias)
+        p, expected = x / x.sum(axis=1, keepdims=True), np.zeros_like(seen)
+        for k in range(maxent_lm.FEATURES):
+            np.add.at(expected, f[:, k], p)
+        w = w + np.log((seen + prior) / (expected + prior)) / 4
+    return w
+
+
+def test_lm_scores_equal_plain_loops(spark, docs):
+    """Small chunks, ranges and heads against one pass over all tokens with dictionaries."""
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    shape = maxent_lm.Shape(buckets=64, classes=16, singles=4, batch=700, chunk=900)
+    shape = maxent_lm.Shape(head=300, buckets=64, classes=16, singles=4, chunk=900, range_tokens=50, rounds=2)
     lex = maxent_lm.lexicon(maxent_lm.word_counts(rows, shape), shape)
-    lex.shape = shape.sized(lex.total)
-    assert lex.shape.buckets * shape.per_bucket >= lex.total
-    counts = maxent_lm.word_counts(rows, shape)
-    got = {r["doc_id"]: r["score"] for r in maxent_lm.score_texts(rows.withColumn("learn", F.lit(True)), lex, counts).collect()}
-    lex = maxent_lm.train(rows, lex)
-    reader = maxent_lm.Reader(lex)
-    for r in rows.collect():
-        t, sizes = reader.read([r["text"]])
-        p = maxent_lm.class_scores(reader.features(t, sizes), lex.weights, lex.bias)[np.arange(len(t)), reader.cls[t]]
-        want = (p / np.log(10) + np.log10(reader.count[t] + 0.1) - lex.class_cost[reader.cls[t]]).sum()
-        assert got[r["doc_id"]] == pytest.approx(want, rel=1e-4, abs=1e-3)
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score_texts(rows.withColumn("learn", F.lit(True)), lex).collect()}
+    rows = rows.collect()
+    weights = plain_class_weights([r["text"] for r in rows], lex)
+    letters = maxent_lm.Letters(shape)
+    cls = lambda w: lex.single.get(maxent_lm.word_hash(w), letters[w[:2] if w[:2].isascii() else w[:8]])
+    text = {r["doc_id"]: maxent_lm.tokens_of(r["text"]) for r in rows}
+    c = collections.Counter(w for ws in text.values() for w in ws)
+    pair = collections.Counter(x for ws in text.values() for x in itertools.pairwise([None, *ws]))
+    context = collections.Counter((a, cls(b)) for ws in text.values() for a, b in itertools.pairwise([None, *ws]))
+    for i, ws in text.items():
+        h = np.array([maxent_lm.word_hash(w) for w in ws], np.int64).view(np.uint64)
+        x = weights[maxent_lm.features(h, np.array([len(ws)]), shape)].sum(axis=1) + lex.bias
+        want = 0.0
+        for k, (a, b) in enumerate(itertools.pairwise([None, *ws])):
+            n = cls(b)
+            p0 = (c[b] + 0.1) / 10 ** lex.class_cost[n]
+            p = p0 if n < shape.singles else (shape.kappa * p0 + pair[a, b]) / (shape.kappa + context[a, n])
+            want += math.log10(p) + (x[k, n] - np.log(np.exp(x[k]).sum())) / math.log(10)
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-3), (i, len(ws), ws[:5])
 
 
 def test_lm_probabilities_sum_to_one(spark):
     shape = maxent_lm.Shape(classes=8, singles=2, buckets=64)
-    rows = spark.createDataFrame([(1, "b a c a"), (2, "a b dd")], "doc_id long, text string")
-    lex = maxent_lm.train(rows, maxent_lm.lexicon(maxent_lm.word_counts(rows, shape), shape))
-    reader = maxent_lm.Reader(lex)
-    t, sizes = reader.read(["a b"])
-    p = np.exp(maxent_lm.class_scores(reader.features(t, sizes), lex.weights, lex.bias))
-    assert p.sum(axis=1) == pytest.approx(1.0)
-    inside = np.zeros(8)
-    reader.read(["a b c dd"])
-    for w in (b"a", b"b", b"c", b"dd", maxent_lm.END):
-        k = reader.ids[w]
-        inside[reader.cls[k]] += (reader.count[k] + 0.1) / 10 ** lex.class_cost[reader.cls[k]]
-    unseen = 0.1 / 10**lex.class_cost
-    assert inside + unseen == pytest.approx(1.0)
+    words = ["a", "b", "c", "dd"]
+    train = [(1, "b a c a"), (2, "a b dd")]
+    contexts = ["", "a", "b a", "dd c", "new", "new b"]
+    tests = [(100 + k, f"{x} {w}") for k, (x, w) in enumerate(itertools.product(contexts, words))]
+    rows = spark.createDataFrame([(i, t, True) for i, t in train] + [(i, t, False) for i, t in tests] + [(200 + k, x, False) for k, x in enumerate(contexts)], "doc_id long, text string, learn boolean")
+    lex = maxent_lm.lexicon(maxent_lm.word_counts(rows.filter("learn"), shape), shape)
+    passed = maxent_lm.digested(rows, lex).collect()
+    lex = maxent_lm.train(spark.createDataFrame([tuple(r) for r in passed], maxent_lm.PASS), lex)
+    mixed = {r["at"]: r["data"] for r in maxent_lm.answers(spark.createDataFrame([tuple(r) for r in passed], maxent_lm.PASS)).collect()}
+    assert mixed
+    # p of each word, of the end and of one unseen word a class, after each context.
+    for context in contexts:
+        reader = maxent_lm.Reader(lex)
+        before = maxent_lm.tokens_of(context)[:-1]
+        letters = maxent_lm.Letters(shape)
+        cls = lambda w: lex.single.get(maxent_lm.word_hash(w), letters[w[:2]])  # noqa: B023, E731
+        seen = [maxent_lm.tokens_of(t) for _, t in train]
+        last = before[-1] if before else None
+        total = 0.0
+        known = [w.encode() for w in words] + [maxent_lm.END]
+        count = collections.Counter(w for ws in seen for w in ws)
+        pair = collections.Counter(x for ws in seen for x in itertools.pairwise([None, *ws]))
+        whole = collections.Counter()
+        for (a, b), n in pair.items():
+            whole[a, cls(b)] += n
+        inside = collections.Counter()
+        for w in known:
+            n = cls(w)
+            p0 = (count[w] + 0.1) / 10 ** lex.class_cost[n]
+            inside[n] += p0 if n < shape.singles else (shape.kappa * p0 + pair[last, w]) / (shape.kappa + whole[last, n])
+        for n in range(shape.classes):
+            p0 = 0.1 / 10 ** lex.class_cost[n]
+            inside[n] += p0 if n < shape.singles else shape.kappa * p0 / (shape.kappa + whole[last, n])
+            assert inside[n] == pytest.approx(1.0)
+        t, sizes = reader.read([context])
+        h = reader.words().hash.view(np.uint64)[t]
+        p = np.exp(maxent_lm.class_scores(maxent_lm.features(h, sizes, shape), lex.weights, lex.bias))
+        assert p.sum(axis=1) == pytest.approx(1.0)
+        total += p[-1].sum()
+        assert total == pytest.approx(1.0)
+
+
+def plain_bigram(texts, held):
+    """Mean log10 score of held-out tokens by an interpolated bigram of the other texts."""
+    tok = lambda t: maxent_lm.tokens_of(t)
+    train = [tok(t) for i, t in texts if i not in held]
+    c, n = collections.Counter(w for ws in train for w in ws), sum(map(len, train))
+    pair, first = collections.Counter(), collections.Counter()
+    for ws in train:
+        for a, b in itertools.pairwise([None, *ws]):
+            pair[a, b] += 1
+            first[a] += 1
+    score = count = 0
+    for i, t in texts:
+        if i in held:
+            for a, b in itertools.pairwise([None, *tok(t)]):
+                p0 = (c[b] + 0.1) / (n + 0.1 * (len(c) + 1))
+                score, count = score + math.log10((2 * p0 + pair[a, b]) / (2 + first[a])), count + 1
+    return score / count
+
+
+def test_lm_gains_as_a_bigram_does_whatever_the_tasks(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    texts = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    scores = []
+    for parts in (1, 3, 8):
+        got = maxent_lm.lm_scores(rows.repartition(parts, "doc_id"), maxent_lm.Shape(chunk=20_000)).collect()
+        scores.append({r["doc_id"]: r["score"] for r in got})
+        held = [r for r in got if r["held_out"]]
+    n = sum(r["n_tokens"] for r in held)
+    base, model = sum(r["base_score"] for r in held) / n, sum(r["score"] for r in held) / n
+    assert model - base >= 0.5 * (plain_bigram(texts, {r["doc_id"] for r in held}) - base) > 0
+    for other in scores[1:]:
+        assert all(other[i] == pytest.approx(x, rel=1e-4, abs=1e-3) for i, x in scores[0].items())
 
 
 # --- 9 ---------------------------------------------------------------------------------------
