@@ -418,9 +418,9 @@ def test_lm_table_grows():
 
 def plain_class_weights(texts, lex):
     """The class factor of a list of texts, by loops over all tokens in one array."""
-    reader = maxent_lm.Reader(lex)
+    reader = maxent_lm.Reader(lex.shape)
     t, sizes = reader.read(texts)
-    words = reader.words()
+    words = maxent_lm.Words.known(*reader.words(), lex)
     f, cls = maxent_lm.features(words.hash.view(np.uint64)[t], sizes, lex.shape), words.cls[t]
     prior = lex.shape.prior * np.exp(lex.bias.astype(float)) / np.exp(lex.bias.astype(float)).sum()
     seen = np.zeros((maxent_lm.FEATURES * lex.shape.buckets, lex.shape.classes))
@@ -470,13 +470,11 @@ def test_lm_probabilities_sum_to_one(spark):
     tests = [(100 + k, f"{x} {w}") for k, (x, w) in enumerate(itertools.product(contexts, words))]
     rows = spark.createDataFrame([(i, t, True) for i, t in train] + [(i, t, False) for i, t in tests] + [(200 + k, x, False) for k, x in enumerate(contexts)], "doc_id long, text string, learn boolean")
     lex = maxent_lm.lexicon(maxent_lm.word_counts(rows.filter("learn"), shape), shape)
-    passed = maxent_lm.digested(rows, lex).collect()
-    lex = maxent_lm.train(spark.createDataFrame([tuple(r) for r in passed], maxent_lm.PASS), lex)
-    mixed = {r["at"]: r["data"] for r in maxent_lm.answers(spark.createDataFrame([tuple(r) for r in passed], maxent_lm.PASS)).collect()}
-    assert mixed
+    passed = maxent_lm.written(maxent_lm.tokenised(rows, shape), "tokens")
+    lex = maxent_lm.train(passed, lex)
     # p of each word, of the end and of one unseen word a class, after each context.
     for context in contexts:
-        reader = maxent_lm.Reader(lex)
+        reader = maxent_lm.Reader(shape)
         before = maxent_lm.tokens_of(context)[:-1]
         letters = maxent_lm.Letters(shape)
         cls = lambda w: lex.single.get(maxent_lm.word_hash(w), letters[w[:2]])  # noqa: B023, E731
@@ -499,7 +497,7 @@ def test_lm_probabilities_sum_to_one(spark):
             inside[n] += p0 if n < shape.singles else shape.kappa * p0 / (shape.kappa + whole[last, n])
             assert inside[n] == pytest.approx(1.0)
         t, sizes = reader.read([context])
-        h = reader.words().hash.view(np.uint64)[t]
+        h = reader.words()[0].view(np.uint64)[t]
         p = np.exp(maxent_lm.class_scores(maxent_lm.features(h, sizes, shape), lex.weights, lex.bias))
         assert p.sum(axis=1) == pytest.approx(1.0)
         total += p[-1].sum()
