@@ -58,16 +58,41 @@ def _haystack():
     return F.lower(F.concat(F.coalesce("heading_path", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
 
 
-def match_mentions(names: DataFrame, sections: DataFrame, min_len: int = 4) -> DataFrame:
-    """(name, section_key) of every section that holds a name, in any case. A section is joined
-    with the names that begin with one of its ``min_len``-character strings, then checked, so
-    no name meets a section without that start."""
+NEEDLE_CHARS = 16_000_000  # of names searched for by broadcast
+
+
+def match_mentions(names: DataFrame, sections: DataFrame, min_len: int = 4, needle_chars: int = NEEDLE_CHARS) -> DataFrame:
+    """(name, section_key) of every section that holds a name, in any case. Names of up to
+    ``needle_chars`` characters in all go to every task as one automaton, and each text is read
+    once where it lies; only hits are shuffled. More names than that meet the texts in a join on
+    the ``min_len`` characters they begin with."""
     needles = names.select("name", F.lower(trimmed(F.col("name"))).alias("needle")).filter(F.length("needle") >= min_len).distinct()
-    needles = needles.withColumn("gram", F.substring("needle", 1, min_len))
     hay = sections.select(F.col("node_key").alias("section_key"), _haystack().alias("hay")).filter(F.length("hay") >= min_len)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hay") - min_len + 1), lambda i: F.substring(F.col("hay"), i, F.lit(min_len))))
+    if (needles.agg(F.sum(F.length("needle"))).first()[0] or 0) > needle_chars:
+        return _mentions_by_join(needles, hay, min_len)
+    shared = sections.sparkSession.sparkContext.broadcast([r["needle"] for r in needles.select("needle").distinct().collect()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, needle in enumerate(shared.value):
+            automaton.add_word(needle, k)
+        automaton.make_automaton()
+        for b in batches:
+            hits = [(key, k) for key, text in zip(b["section_key"], b["hay"], strict=True) for k in {k for _, k in automaton.iter(text)}] if len(automaton) else []
+            yield plain(pd.DataFrame({"section_key": [key for key, _ in hits], "needle": [shared.value[k] for _, k in hits]}, dtype=object))
+
+    met = hay.mapInPandas(run, "section_key string, needle string")
+    return met.join(needles, "needle").select("name", "section_key").distinct()
+
+
+def _mentions_by_join(needles: DataFrame, hay: DataFrame, min_len: int) -> DataFrame:
+    needles = needles.withColumn("gram", F.substring("needle", 1, min_len))
+    chars = F.split("hay", "")  # once: places in a string are counted from its begin each time
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - min_len), lambda i: F.concat(*[F.get(c, i + k) for k in range(min_len)])))
     # Only (key, gram) is dealt; the text is fetched again for the few pairs whose start is met.
-    met = hay.select("section_key", F.explode(grams).alias("gram")).join(needles, "gram").select("section_key", "name", "needle")
+    met = hay.select("section_key", F.explode(F.transform(F.array(chars), grams)[0]).alias("gram")).join(needles, "gram").select("section_key", "name", "needle")
     return met.join(hay, "section_key").filter(F.col("hay").contains(F.col("needle"))).select("name", "section_key").distinct()
 
 

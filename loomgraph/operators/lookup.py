@@ -22,7 +22,10 @@ def search_paths(queries: DataFrame, files: DataFrame, limit: int = 20) -> DataF
 def resolve_path(queries: DataFrame, files: DataFrame, max_distance: int = 4) -> DataFrame:
     """(q_id, path, how): exact, then any case, then the nearest base name within
     ``max_distance`` edits (ties: distance, then path). Base names are blocked by length, and by
-    one of max_distance + 1 pieces that must survive unchanged somewhere near its place."""
+    one of max_distance + 1 pieces that must survive unchanged somewhere near its place. A wanted
+    name with fewer characters than that meets the short base names that share one of them; of
+    those that share none, which differ by all the longer one's characters, the first path of each
+    length will do."""
     asked = queries.select("q_id", "query")
     names = files.select("path", F.lower("path").alias("low"), F.lower(F.element_at(F.split("path", "/"), -1)).alias("base"))
     exact = asked.join(names.select(F.col("path").alias("query"), "path"), "query").select("q_id", "path", F.lit(0).alias("rank"), F.lit(0).alias("dist"))
@@ -31,13 +34,21 @@ def resolve_path(queries: DataFrame, files: DataFrame, max_distance: int = 4) ->
     left = left.withColumn("want", F.lower(F.element_at(F.split("query", "/"), -1)))
     n = max_distance + 1
     # A base name within the distance keeps one of n pieces of the wanted name whole.
-    part = F.greatest(F.floor(F.length("want") / n), F.lit(1)).cast("int")
+    part = F.floor(F.length("want") / n).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(F.col("want"), k * part + 1, part))
-    want = left.select("q_id", "want", F.explode(F.array_distinct(pieces)).alias("piece"), part.alias("size"))
-    sizes = want.select("size").filter("size <= 51").distinct()  # file names have 255 bytes at most
-    bases = names.select("base").distinct().join(F.broadcast(sizes))
-    have = bases.filter(F.length("base") >= F.col("size")).select("base", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("base") - F.col("size") + 1), lambda i: F.substring(F.col("base"), i, F.col("size"))))).alias("piece"))
-    near = want.join(have, ["piece", "size"]).select("q_id", "want", "base").distinct()
+    want = left.filter(F.length("want") >= n).select("q_id", "want", F.explode(F.array_distinct(pieces)).alias("piece"), part.alias("size"))
+    bases = names.select("base").distinct()
+    # Lengths differ by max_distance at most, so three sizes of pieces will do for a base name.
+    least, most = (F.greatest(F.floor((F.length("base") + d) / n), F.lit(1)).cast("int") for d in (-max_distance, max_distance))
+    sized = bases.withColumn("size", F.explode(F.sequence(least, most))).filter(F.length("base") >= F.col("size"))
+    have = sized.select("base", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("base") - F.col("size") + 1), lambda i: F.substring(F.col("base"), i, F.col("size"))))).alias("piece"))
+    near = want.join(have, ["piece", "size"]).select("q_id", "want", "base")
+    few = left.filter(F.length("want") < n)
+    letters = lambda c: F.explode(F.array_distinct(F.split(c, ""))).alias("letter")
+    alike = few.select("q_id", "want", letters("want")).join(bases.filter(F.length("base") < n + max_distance).select("base", letters("base")), "letter").filter("letter <> ''")
+    firsts = names.filter(F.length("base") < n).groupBy(F.length("base").alias("len")).agg(F.min_by("base", "path").alias("base"))
+    other = few.select("q_id", "want", F.explode(F.sequence(F.lit(0), F.lit(max_distance))).alias("len")).join(firsts, "len")
+    near = near.unionByName(alike.select("q_id", "want", "base")).unionByName(other.select("q_id", "want", "base")).distinct()
     near = near.withColumn("dist", F.levenshtein("want", "base", max_distance)).filter("dist >= 0")
     fuzzy = near.join(names.select("base", "path"), "base").select("q_id", "path", F.lit(2).alias("rank"), "dist")
     best = exact.unionByName(cased).unionByName(fuzzy).groupBy("q_id").agg(F.min(F.struct("rank", "dist", "path")).alias("m"))

@@ -134,6 +134,37 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, exclude_self:
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def best_queries(queries: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(item_id, q_id, score): the k best queries of each item at the threshold or above, ties by
+    query. Queries are broadcast in blocks of a stated size; an item is scored where it lies and
+    sends k rows a block at most."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    kinds = items.schema["item_id"].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()
+    found: DataFrame | None = None
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        known = sorted((r["q_id"], list(r["embedding"])) for r in part.select("q_id", "embedding").filter(F.size("embedding") > 0).collect())
+        shared = queries.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names = np.array([q for q, _ in shared.value], dtype=object)
+            q = _unit([v for _, v in shared.value])
+            for b in batches:
+                v = _unit(b["embedding"].tolist())
+                if not len(names) or v.shape[1] != q.shape[1]:
+                    continue
+                score = np.round(v @ q.T, PLACES)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # names are in order: so are ties
+                value = np.take_along_axis(score, top, 1)
+                i, j = np.nonzero(value >= threshold)
+                yield plain(pd.DataFrame({"item_id": b["item_id"].to_numpy()[i], "q_id": names[top[i, j]], "score": value[i, j]}))
+
+        part_found = items.select("item_id", "embedding").filter(F.size("embedding") > 0).mapInPandas(run, f"item_id {kinds[0]}, q_id {kinds[1]}, score double")
+        found = part_found if found is None else found.unionByName(part_found)
+    best = W.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("q_id"))
+    return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
+
+
 def cached_embed(sections: DataFrame, cache: DataFrame, embed_fn=hash_vectors, dims: int = 64, cache_path: str | None = None, model: str = "hash") -> DataFrame:
     """``sections`` plus ``embedding``: known hashes from ``cache``, each missing hash embedded once."""
     missing = sections.select("content_hash", "text").dropDuplicates(["content_hash"]).join(cache.select("content_hash"), "content_hash", "left_anti")

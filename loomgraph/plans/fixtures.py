@@ -13,7 +13,7 @@ from ..operators.text import chunk_sections, unique_sections
 from ..operators.vectors import hash_embed
 from ..sources.corpus import file_rows, notes_from_documents
 
-OVERVIEW_QUESTIONS = ((100, "Give me an overview of the main topics"), (101, "What is this vault about?"))
+OVERVIEW_QUESTIONS = ((-1, "Give me an overview of the main topics"), (-2, "What is this vault about?"))
 
 
 class Tables:
@@ -62,7 +62,7 @@ class Tables:
 
     def questions(self) -> DataFrame:
         first = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-        rows = self["benchmark"].filter("item_id < 20").select(F.col("item_id").alias("q_id"), first.alias("question"))
+        rows = self["benchmark"].select(F.col("item_id").alias("q_id"), first.alias("question"))
         return rows.unionByName(self.spark.createDataFrame(OVERVIEW_QUESTIONS, "q_id long, question string"))
 
     def manifest(self) -> DataFrame:

@@ -68,8 +68,8 @@ SELECT src AS src_key, dst AS dst_key, 'inferred' AS kind, score AS weight FROM
 WHERE score >= 0.7 AND NOT EXISTS (SELECT 1 FROM links l WHERE (l.src_key = src AND l.dst_key = dst) OR (l.src_key = dst AND l.dst_key = src))
 QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 3"""
 PARTS["questions"] = """
-SELECT item_id AS q_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS question FROM benchmark WHERE item_id < 20
-UNION ALL VALUES (100, 'Give me an overview of the main topics'), (101, 'What is this vault about?')"""
+SELECT item_id AS q_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS question FROM benchmark
+UNION ALL VALUES (-1, 'Give me an overview of the main topics'), (-2, 'What is this vault about?')"""
 PARTS["tokens"] = f"""
 SELECT q_id, question, list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), lambda w: length(w) >= 2 AND w NOT IN ({STOP})) AS toks FROM questions"""
 PARTS["notes2"] = f"""

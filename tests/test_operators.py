@@ -247,6 +247,74 @@ def test_update_equals_rebuild(spark):
     assert links(updated) == links(rebuilt)
 
 
+MANIFEST = [("m", "# vault\n## n/ <!-- notes of all kinds -->\n### essays/ <!-- opinion pieces and fresh words -->")]
+
+
+@pytest.mark.parametrize("seeded", [False, True])
+def test_update_equals_rebuild_in_all_tables(spark, seeded):
+    frame = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    manifest = D.manifest_table(spark.createDataFrame(MANIFEST, "manifest_id string, content string")) if seeded else None
+    old, new = frame(NOTES), frame(NOTES[1:4] + [(NOTES[4][0], "# Other\nfresh words about subject 1 and [[note-6]]")] + NOTES[5:] + [("n/extra.md", "# Extra\nSome words about subject 2 and [[note-1]]")])
+    index = build_index(old, blocks=1, manifest=manifest)
+    semantic = spark.createDataFrame([("n/note-4.md::Title 4", "n/note-5.md::Title 5", "semantic:uses", 1.0), ("n/note-0.md::Title 0", "n/note-5.md::Title 5", "semantic:uses", 1.0)], "src_key string, dst_key string, kind string, weight double")
+    index["edges"] = index["edges"].unionByName(semantic)
+    updated, rebuilt = apply_update(index, new, blocks=1, manifest=manifest), build_index(new, blocks=1, manifest=manifest)
+    journal = spark.createDataFrame([("n/note-0.md", "move", 1), ("n/note-4.md", "revise", 1), ("n/extra.md", "new", 1)], "file_id string, verdict string, seq long")
+    told = apply_journal(index, journal, new, blocks=1, manifest=manifest)
+    for table, columns in (("sections", ["node_key", "content_hash"]), ("files", ["file_id", "content_hash", "rollup_summary"] + ["content_type"] * seeded), ("section_entities", ["section_key", "entity_id"]), ("community_sections", ["section_key", "community_id"]), ("communities", ["community_id", "label"])):
+        rows = lambda ix: sorted((tuple(r) for r in ix[table].select(*columns).distinct().collect()), key=str)  # noqa: E731, B023
+        assert rows(updated) == rows(told) == rows(rebuilt), table
+    edges = lambda ix, kinds: sorted(tuple(r) for r in ix["edges"].filter(F.col("kind").isin(*kinds)).select("src_key", "dst_key", "kind", F.round("weight", 4)).collect())
+    for kinds in (("wikilink", "backlink"), ("inferred",)):
+        assert edges(updated, kinds) == edges(told, kinds) == edges(rebuilt, kinds)
+    assert len(edges(rebuilt, ("inferred",))) > 3
+    assert [e[0] for e in edges(updated, ("semantic:uses",))] == ["n/note-4.md::Title 4"]
+
+
+def test_update_with_another_manifest_assigns_all(spark):
+    rows = spark.createDataFrame(NOTES, "path string, content string")
+    table = lambda text: D.manifest_table(spark.createDataFrame([("m", text)], "manifest_id string, content string"))
+    index = build_index(rows, manifest=table(MANIFEST[0][1]))
+    other = table("# vault\n## n/ <!-- subject words -->\n## z/ <!-- parts with more text -->")
+    got = apply_update(index, rows, manifest=other)
+    want = build_index(rows, manifest=other)
+    for name in ("communities", "community_sections"):
+        assert sorted(map(tuple, got[name].select(*sorted(want[name].columns)).collect())) == sorted(map(tuple, want[name].select(*sorted(want[name].columns)).collect()))
+
+
+def test_mentions_by_automaton_and_by_join(spark):
+    names = spark.createDataFrame([(n,) for n in ("Alpha beta", "ALPHA BETA", " gamma ", "tau", "a.b*c", "ÄÖÜ ß", "beta gamma", None, "")], "name string")
+    sections = spark.createDataFrame([("k1", "Alpha", "beta gamma"), ("k2", None, "x a.b*c äöü SS"), ("k3", "", None), ("k4", "alpha beta gamma", "alpha beta"), (None, "gamma", "tau"), ("k5", "", "äöü ß")], "node_key string, heading_path string, text string")
+    want = {(n[0], k) for n in names.collect() for k, h, t in sections.collect() if n[0] and len(n[0].strip()) >= 4 and n[0].strip().lower() in f"{h or ''} {t or ''}".lower()}
+    for size in (N.NEEDLE_CHARS, 3):
+        got = [tuple(r) for r in N.match_mentions(names, sections, needle_chars=size).collect() if r["section_key"]]
+        assert len(got) == len(set(got))
+        assert set(got) == {(n, k) for n, k in want if k}
+
+
+def test_short_names_are_resolved(spark):
+    from loomgraph.operators import lookup as Q
+
+    paths = ["a/bcd", "a/xyzw.md", "b/q", "b/abcdefgh", "c/abcdefghi", "c/zz", "d/note-name.md", "e/" + "l" * 300]
+    asked = ["xy", "q", "", "abcd", "k", "note-nam.md", "x/" + "l" * 298, "qqqqqqqqqq", "yyyyw"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row = row, [i] + [0] * len(b)
+            for j, d in enumerate(b, 1):
+                row[j] = min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    want = {}
+    for q in asked:
+        near = sorted((edits(q.split("/")[-1].lower(), p.split("/")[-1].lower()), p) for p in paths)
+        if near[0][0] <= 4:
+            want[q] = near[0][1]
+    got = Q.resolve_path(spark.createDataFrame([(q, q) for q in asked], "q_id string, query string"), spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert {r["q_id"]: r["path"] for r in got.collect()} == want
+
+
 def test_journal_moves_and_revisions(spark):
     index = build_index(spark.createDataFrame(NOTES, "path string, content string"), blocks=1)
     entries = spark.createDataFrame([("n/note-1.md", "new", 1), ("n/note-1.md", "move", 2), ("n/note-2.md", "revise", 1)], "file_id string, verdict string, seq long")
