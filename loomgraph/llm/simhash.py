@@ -10,7 +10,9 @@ bit flip away, a group of which holds at most 65 fingerprints by construction. S
 ever expanded into all its pairs, however many near copies lie in it.
 
 Equal fingerprints are one node of the graph before any join, which makes groups of exact
-copies cost one row; large groups meet their component by broadcast. Components run on fingerprints, then map to documents.
+copies cost one row; large groups meet their component by broadcast. Components run on
+fingerprints, then map to documents. ``simhash_groups`` does the same over several independent
+fingerprints a text.
 
 Defined results: null and word-less texts have fingerprint 0, linked like any other; repeated
 rows share their component; a null doc_id keeps its row and takes its group's smallest id;
@@ -34,18 +36,31 @@ SEED = 42
 CHUNK = 100_000
 
 
-def fingerprint_of(text: str | None, shingle: int = 3) -> int:
-    """Majority bits of the XXH64 hashes of a text's word shingles (0 without a word)."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash values as the ``k``-th of several independent hash functions gives them (0: as they are)."""
+    if k == 0:
+        return h
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints_of(text: str | None, shingle: int = 3, count: int = 1) -> np.ndarray:
+    """Majority bits of the XXH64 hashes of a text's word shingles (0 without a word), and of
+    ``count`` - 1 further hash functions of them."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII case and space only
     if not words:
-        return 0
+        return np.zeros(count, dtype=np.uint64)
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    counts, n, part = np.zeros(64, dtype=np.int64), 0, []
+    sums, n, part = np.zeros((count, 64), dtype=np.int64), 0, []
 
     def add() -> None:
-        nonlocal counts, n
-        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-        counts += bits.sum(axis=0, dtype=np.int64)
+        nonlocal n
+        h = np.array(part, dtype="<u8")
+        for k in range(count):
+            bits = np.unpackbits(_mixed(h, k).view(np.uint8), bitorder="little").reshape(-1, 64)
+            sums[k] += bits.sum(axis=0, dtype=np.int64)
         n += len(part)
         part.clear()
 
@@ -56,18 +71,24 @@ def fingerprint_of(text: str | None, shingle: int = 3) -> int:
             add()
     if part:
         add()
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * sums > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint_of(text: str | None, shingle: int = 3) -> int:
+    return int(fingerprints_of(text, shingle)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one narrow pass; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, count: int = 1) -> DataFrame:
+    """(doc_id, fp), or with a ``count`` over one (doc_id, fps): one narrow pass; a fingerprint's
+    64 bits are a signed long."""
+    name, kind = ("fp", "long") if count == 1 else ("fps", "array<long>")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((fingerprint_of(t, shingle) for t in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            found = np.array([fingerprints_of(t, shingle, count) for t in b["text"]], dtype=np.uint64).reshape(len(b), count).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), name: found[:, 0] if count == 1 else list(found)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"doc_id long, {name} {kind}")
 
 
 def popcount_vector(fp: Column) -> Column:
@@ -87,20 +108,21 @@ def _cells(key: Column) -> Column:
     return F.filter(F.array(*out), lambda c: c.isNotNull())
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all distinct ``fp`` values at Hamming distance 2 or less."""
-    keyed = prints.select("fp").distinct().withColumn("key", popcount_vector(F.col("fp")))
-    grid = keyed.select("fp", F.explode(_cells(F.col("key"))).alias("c")).select("fp", "c.cell", "c.step")
-    cells = written(grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "cells")
+def links(prints: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (a, b) that connect all distinct ``fp`` values at Hamming distance 2 or less; with
+    columns ``by`` only fingerprints that agree in them."""
+    keyed = prints.select(*by, "fp").distinct().withColumn("key", popcount_vector(F.col("fp")))
+    grid = keyed.select(*by, "fp", F.explode(_cells(F.col("key"))).alias("c")).select(*by, "fp", "c.cell", "c.step")
+    cells = written(grid.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "cells")
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= 2
-    pairs = cells.filter(F.col("n") == 2).filter(near).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    members = grid.join(cells.filter("n > 2").select("cell"), "cell")
+    pairs = cells.filter(F.col("n") == 2).filter(near).select(*by, F.col("lo").alias("a"), F.col("hi").alias("b"))
+    members = grid.join(cells.filter("n > 2").select(*by, "cell"), [*by, "cell"])
     # In a full cell: the fingerprints one flip away whose vector is the cell (its own at step 0).
     bits = [F.expr(f"shiftleft(1L, cast((abs(step) - 1) * 4 + {k} as int))") for k in range(4)]
     flips = [F.when((F.col("fp").bitwiseAND(b) != 0) == (F.col("step") < 0), F.col("fp").bitwiseXOR(b)) for b in bits]
     hubs = F.when(F.col("step") == 0, F.array("fp")).otherwise(F.filter(F.array(*flips), lambda x: x.isNotNull()))
-    hub = members.select("fp", F.explode(hubs).alias("hub")).groupBy("hub").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = hub.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b")
+    hub = members.select(*by, "fp", F.explode(hubs).alias("hub")).groupBy(*by, "hub").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    stars = hub.select(*by, F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -114,3 +136,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     by_fp = by_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n")
     return joined_by_weight(prints, written(by_fp, "of-fp"), ["fp"], "n").select("doc_id", "fp", "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, count: int = 4) -> DataFrame:
+    """(doc_id, component_id) by ``count`` independent fingerprints a text: two rows are linked if
+    any one of these differs in 2 or fewer bits, so a near copy that one hash function misses has
+    ``count`` - 1 further chances, while unrelated texts stay as far apart as with one. Ids must
+    be unique and not null. Rows with equal fingerprints are one node; a fingerprint that several
+    nodes share links each to the least of them, never all pairs."""
+    prints = written(fingerprints(docs, id_col, text_col, shingle, count), "prints")
+    nodes = written(prints.groupBy("fps").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    each = written(nodes.select("node", F.posexplode("fps").alias("k", "fp")), "each")
+    least = written(each.groupBy("k", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "least")
+    shared = joined_by_weight(each, least.filter("n > 1"), ["k", "fp"], "n").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(least, ("k",))
+    for side in ("a", "b"):
+        near = near.join(least.select("k", F.col("fp").alias(side), F.col("first").alias(f"of_{side}")), ["k", side])
+    roots = components(shared.unionByName(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    rooted = nodes.join(roots, "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"), "n")
+    return joined_by_weight(prints, written(rooted, "of-fps"), ["fps"], "n").select("doc_id", "component_id")

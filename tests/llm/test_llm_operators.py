@@ -307,6 +307,32 @@ def test_components_of_crowded_fingerprints(spark, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_groups_by_several_fingerprints(spark, texts, empty):
+    """Against all pairs of rows: equal texts, near copies, texts without words."""
+    rng = random.Random(5)
+    made = [t for _, t in texts if t is None or len(t) < 3000][:60] + ["", " \n"]
+    for t in [t for t in made if t and len(t.split()) > 60][:12]:
+        for _ in range(6):
+            words = t.split(" ")
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = "edited"
+            made.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    prints = [[int(x) for x in simhash.fingerprints_of(t, 3, 4)] for t in made]
+    assert [p[0] for p in prints] == [plain_fingerprint(t) for t in made]
+    assert all(len(set(p)) == 4 for p in prints if p[0])
+    low = list(range(len(made)))
+    near = [(i, j) for i, j in itertools.combinations(range(len(made)), 2) if any((a ^ b).bit_count() <= 2 for a, b in zip(prints[i], prints[j], strict=True))]
+    for _ in made:
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+    one = simhash.simhash_components(rows).select("component_id").distinct().count()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(rows).collect()}
+    assert [got[i] for i in range(len(made))] == low
+    assert len(set(low)) < one
+    assert simhash.simhash_groups(empty).count() == 0
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 
