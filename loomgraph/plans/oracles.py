@@ -123,6 +123,39 @@ PARTS["defaults"] = "SELECT DISTINCT folder, 'own' AS t FROM files WHERE folder
 PARTS["sampled"] = "SELECT f.folder, f.path FROM (SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY path) - 1 AS i FROM files) f JOIN (SELECT DISTINCT folder, CASE WHEN quota >= size THEN k ELSE least(size - 1, floor(k * size / CAST(quota AS DOUBLE) + 0.5)) END AS i FROM (SELECT *, unnest(range(quota)) AS k FROM quotas WHERE quota > 0)) q ON q.folder = f.folder AND q.i = f.i"
 
 
+def _second(name: str) -> str:
+    """A named query over the first version of the notes as one over the second version."""
+    import re
+
+    text = PARTS[name].replace("string_split(body,", "string_split(regexp_replace(content, '^---\\n[^\\n]*\\n---\\n', ''),")
+    return re.sub(r"\b(notes|lines|marked|sections)\b", r"\g<1>2", text)
+
+
+for _name in ("lines", "marked", "sections", "secu"):
+    PARTS[f"{_name}2"] = _second(_name)
+PARTS["ledger_fold"] = """
+SELECT 'r' || user_id % 5 AS run_id, 'h' || user_id AS id, 'h' || (user_id * 7 + 1) % 50 AS other, bool_or(event_type = 'error') AS linked, min(ts) AS created_at,
+  list_reduce(list_prepend(CAST(0.5 AS DOUBLE), list(amount ORDER BY ts, event_id)), lambda s, x: greatest(0.0, least(1.0, round(s + x, 4)))) AS score
+FROM (SELECT *, CAST(CASE event_type WHEN 'purchase' THEN 0.2 WHEN 'click' THEN 0.1 WHEN 'error' THEN -0.1 WHEN 'signup' THEN -0.3 ELSE 0 END AS DOUBLE) AS amount FROM events) GROUP BY user_id"""
+PARTS["ledger_rows"] = "SELECT *, CASE WHEN score >= 0.8 THEN 'confirmed' WHEN score <= 0 THEN 'refuted' ELSE 'open' END AS status FROM ledger_fold"
+PARTS["ledger_runs"] = "SELECT 'r' || user_id % 5 AS run_id, count(*) FILTER (value > 50) / CAST(count(*) AS DOUBLE) AS coverage, count(*) % 3 AS rounds, max(value) > 0 AS reachable, count(*) % 60 AS calls FROM events GROUP BY ALL"
+PARTS["ledger_status"] = """
+SELECT run_id, coverage, calls, top_score, CASE WHEN met THEN 'conflicted' WHEN NOT reachable AND rounds > 0 OR coverage < 0.3 OR top_score IS NULL THEN 'insufficient_evidence'
+    WHEN rounds >= 1 THEN CASE WHEN top_score >= 0.8 THEN 'confirmed' ELSE 'low_confidence' END ELSE 'needs_verification' END AS status,
+  CASE WHEN met THEN 'contradiction' WHEN NOT reachable AND rounds > 0 THEN 'index unavailable' WHEN coverage < 0.3 THEN 'coverage' WHEN top_score IS NULL THEN 'no assumptions'
+    WHEN rounds >= 1 THEN CASE WHEN top_score >= 0.8 THEN 'verified' ELSE 'verified below threshold' END WHEN top_score >= 0.8 THEN 'not verified' ELSE 'below threshold' END AS reason
+FROM (SELECT r.*, (SELECT max(score) FROM ledger_fold l WHERE l.run_id = r.run_id) AS top_score,
+    EXISTS (SELECT 1 FROM ledger_fold a JOIN ledger_fold b ON a.run_id = b.run_id AND b.id = a.other WHERE a.run_id = r.run_id AND a.linked AND a.id <> b.id AND a.score >= 0.7 AND b.score >= 0.7) AS met FROM ledger_runs r)"""
+PARTS["asked_folders"] = """
+SELECT folder, 'Is the purpose of ' || folder || ' "collected notes"?' AS question FROM (SELECT DISTINCT folder FROM dirs WHERE folder <> '')"""
+PARTS["folder_hits"] = """
+SELECT q_id, folder FROM (
+  SELECT a.folder AS q_id, d.folder, 0 AS rk FROM asked_folders a JOIN asked_folders d ON contains(a.question, d.folder)
+  UNION ALL
+  SELECT a.folder, d.folder, 1 FROM asked_folders a JOIN (SELECT regexp_replace(folder, '^.*/', '') AS base, min(folder) AS folder FROM asked_folders GROUP BY base HAVING count(*) = 1) d ON contains(a.question, d.base))
+QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY rk, length(folder) DESC, folder) = 1"""
+
+
 def _lost(pattern: str) -> str:
     return f"list_sort(list_filter(list_distinct(regexp_extract_all(old, {pattern})), lambda x: NOT list_contains(regexp_extract_all(new, {pattern}), x)))"
 
@@ -226,6 +259,44 @@ FINAL: dict[str, str] = {
 }
 
 
+FINAL |= {
+    "t14_note_view": "SELECT f.path, CAST(f.n_words AS INTEGER) AS n_words, array_to_string(f.tags, ',') AS tags, CAST(least(30, l.n) AS INTEGER) AS n_outline, array_to_string(list_slice(f.ws, 1, 200), ' ') AS excerpt FROM facts f JOIN (SELECT path, count(*) FILTER (regexp_matches(x, '^#{1,6}\\s+')) AS n FROM lines GROUP BY path) l USING (path)",
+    "n3_parse_extractions": """
+        WITH said AS (SELECT conv_id || '-' || turn AS batch_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) > 3) AS w FROM conversations WHERE role = 'assistant'),
+        pairs_said AS (SELECT DISTINCT batch_id, w[i] AS src, w[i + 1] AS dst, 'next to' AS relation FROM (SELECT batch_id, w, unnest(range(1, len(w))) AS i FROM said))
+        SELECT * FROM pairs_said WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY src, dst, relation) <= 30""",
+    "n10_run_completions": f"SELECT item_id, coalesce(substring(list_filter(list_transform(string_split(text, {NL}), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1], 1, 200), '') AS completion, CAST(NULL AS VARCHAR) AS error FROM benchmark",
+    "v1_embed": f"SELECT item_id, CAST(count(*) AS INTEGER) AS dims, round(sum(x * x), 4) AS norm FROM ({FINAL['v2_hash_embed']}) GROUP BY item_id",
+    "v5_cached_embed": "SELECT node_key, content_hash, CAST(64 AS INTEGER) AS dims FROM secu",
+    "c2_embed_seeds": "SELECT substr(md5(lower(path)), 1, 16) AS community_id, CAST(64 AS INTEGER) AS dims FROM seeds",
+    "f1_manifest_table": """
+        WITH langs AS (SELECT DISTINCT lang FROM documents)
+        SELECT 0 AS ord, 'root' AS kind, 'vault' AS folder, 1 AS level, CAST(NULL AS VARCHAR) AS parent, '' AS purpose
+        UNION ALL SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER), 'folder', folder, level, parent, purpose FROM (
+          SELECT lang || '0' AS k, lang AS folder, 2 AS level, CAST(NULL AS VARCHAR) AS parent, lang || ' collection' AS purpose FROM langs
+          UNION ALL SELECT lang || '1' || s, 'src' || s, 3, lang, 'notes of src' || s FROM langs, (SELECT unnest(range(10)) AS s))""",
+    "f9_parse_purposes": "SELECT folder, 'notes of ' || folder AS purpose FROM asked_folders",
+    "f10_match_folder_in_question": "SELECT q_id, folder FROM folder_hits",
+    "f11_resolve_purposes": "SELECT folder, CASE WHEN length(q_id) % 2 = 0 THEN 'collected notes' ELSE 'plain x notes' END AS purpose FROM folder_hits QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(q_id) DESC) = 1",
+    "i5_apply_update": "SELECT node_key, content_hash FROM secu2",
+    "k7_profile_cache": """
+        SELECT n.path, f.path IS NOT NULL AS hit, CAST(coalesce(f.n_words, len(list_filter(regexp_split_to_array(regexp_replace(n.content, '^---\\n[^\\n]*\\n---\\n', ''), '\\s+'), lambda w: w <> ''))) AS INTEGER) AS n_words
+        FROM notes2 n LEFT JOIN facts f ON f.path = n.path AND n.doc_id % 14 = n.doc_id % 7""",
+    "l1_fold_ledger": "SELECT run_id, id, score, status, CAST(CASE WHEN linked THEN 1 ELSE 0 END AS INTEGER) AS n_links FROM ledger_rows",
+    "l4_evaluate_status": "SELECT run_id, status, reason, top_score FROM ledger_status",
+    "l5_clarification_trigger": """
+        SELECT run_id, CASE WHEN status IN ('conflicted', 'insufficient_evidence') THEN 'mandatory' WHEN hot THEN 'optional' WHEN late THEN 'mandatory' ELSE 'none' END AS action,
+          CASE WHEN status IN ('conflicted', 'insufficient_evidence') THEN status WHEN hot THEN 'hot_topic' WHEN late THEN 'budget' ELSE 'no_trigger' END AS reason
+        FROM (SELECT run_id, status, run_id = 'r2' AS hot, calls / 60.0 >= 0.8 AND status = 'needs_verification' AS late FROM ledger_status)""",
+    "l6_summary_card": f"""
+        WITH lead AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, created_at, id) AS rk FROM ledger_rows QUALIFY rk <= 5),
+        said AS (SELECT run_id, string_agg('- [' || status || '] ' || printf('%.2f', score) || ' ' || id, {NL} ORDER BY rk) AS l FROM lead GROUP BY run_id),
+        seen AS (SELECT run_id, string_agg('- ' || event_type || ': ' || n, {NL} ORDER BY event_type) AS d FROM (SELECT 'r' || user_id % 5 AS run_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY run_id)
+        SELECT s.run_id, concat_ws({NL}, 'status: ' || s.status || ' (coverage ' || printf('%.2f', s.coverage) || ')', 'assumptions:', said.l, 'folders:', seen.d) AS card
+        FROM ledger_status s LEFT JOIN said USING (run_id) LEFT JOIN seen USING (run_id)""",
+}
+
+
 def _needs(text: str) -> set[str]:
     import re
 
