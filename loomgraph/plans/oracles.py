@@ -128,11 +128,34 @@ def _second(name: str) -> str:
     import re
 
     text = PARTS[name].replace("string_split(body,", "string_split(regexp_replace(content, '^---\\n[^\\n]*\\n---\\n', ''),")
-    return re.sub(r"\b(notes|lines|marked|sections)\b", r"\g<1>2", text)
+    return re.sub(r"\b(notes|lines|marked|sections|secu|targets|files)\b", r"\g<1>2", text)
 
 
-for _name in ("lines", "marked", "sections", "secu"):
+for _name in ("lines", "marked", "sections", "secu", "targets", "links"):
     PARTS[f"{_name}2"] = _second(_name)
+
+# As an index embeds its sections: with line breaks as blanks.
+PARTS["grams_flat"] = PARTS["grams"].replace("secu", f"(SELECT * REPLACE (replace(text, {NL}, ' ') AS text) FROM secu)")
+PARTS["vectors_flat"] = PARTS["vectors"].replace("FROM grams", "FROM grams_flat")
+PARTS["inferred_flat"] = PARTS["inferred"].replace("FROM vectors", "FROM vectors_flat").replace("JOIN vectors", "JOIN vectors_flat")
+
+
+def _profile(target: int) -> str:
+    """The notes of a profile with so many sampled ones, each with its number of excerpt words."""
+    return f"""
+WITH sizes AS (SELECT folder, count(*) AS size FROM facts WHERE kind = 'regular' GROUP BY folder),
+shares AS (SELECT folder, size, least(size, base + CASE WHEN base + 1 <= size AND rk <= lft THEN 1 ELSE 0 END) AS quota FROM (
+  SELECT *, row_number() OVER (PARTITION BY base + 1 <= size ORDER BY round(exact - base, 12) DESC, folder) AS rk, {target} - sum(base) OVER () AS lft FROM (
+    SELECT folder, size, size / CAST(sum(size) OVER () AS DOUBLE) * {target} AS exact, floor(size / CAST(sum(size) OVER () AS DOUBLE) * {target}) AS base FROM sizes))),
+picks AS (SELECT DISTINCT folder, CASE WHEN quota >= size THEN k ELSE least(size - 1, floor(k * size / CAST(quota AS DOUBLE) + 0.5)) END AS i FROM (SELECT *, unnest(range(CAST(quota AS BIGINT))) AS k FROM shares WHERE quota > 0)),
+regular AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) - 1 AS i FROM facts WHERE kind = 'regular') SEMI JOIN picks USING (folder, i)),
+own AS (SELECT greatest(1, least(40, floor(4000 / greatest(count(*), 1)))) AS most FROM regular)
+SELECT path, folder, kind, n_words, list_slice(ws, 1, CAST(CASE kind WHEN 'root' THEN 200 WHEN 'moc' THEN 120 ELSE most END AS BIGINT)) AS shown
+FROM (SELECT path, folder, kind, n_words, ws FROM facts WHERE kind <> 'regular' UNION ALL SELECT path, folder, kind, n_words, ws FROM regular), own"""
+
+
+PARTS["profile_long"] = _profile(20)
+PARTS["profile_short"] = _profile(2)
 PARTS["ledger_fold"] = """
 SELECT 'r' || user_id % 5 AS run_id, 'h' || user_id AS id, 'h' || (user_id * 7 + 1) % 50 AS other, bool_or(event_type = 'error') AS linked, min(ts) AS created_at,
   list_reduce(list_prepend(CAST(0.5 AS DOUBLE), list(amount ORDER BY ts, event_id)), lambda s, x: greatest(0.0, least(1.0, round(s + x, 4)))) AS score
@@ -297,6 +320,29 @@ FINAL |= {
 }
 
 
+FINAL |= {
+    "c10_community_reports": f"""
+        SELECT community_id, substring(regexp_replace(string_split(min_by('### ' || coalesce(nullif(heading_path, ''), node_key), node_key), {NL})[1], '\\s+$', ''), 1, 200) AS report, CAST(sum(n) AS INTEGER) AS tokens
+        FROM (SELECT *, sum(n) OVER (PARTITION BY community_id ORDER BY node_key ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT m.community_id, s.node_key, s.heading_path, ceil(length(s.text) / 4.0) AS n FROM members m JOIN secu s ON s.node_key = m.section_key)) WHERE run <= 3000 GROUP BY community_id""",
+    "i4_edges_for_changed": """
+        WITH edited AS (SELECT file_id FROM diff WHERE change IN ('changed', 'deleted')),
+        kept AS (SELECT * FROM links2 WHERE split_part(src_key, '::', 1) IN (SELECT file_id FROM edited) OR split_part(dst_key, '::', 1) IN (SELECT file_id FROM edited))
+        SELECT * FROM kept UNION ALL SELECT src_key, dst_key, 'backlink', CAST(max(weight) AS DOUBLE) FROM (
+          SELECT dst_key AS src_key, src_key AS dst_key, 0.8 AS weight FROM kept UNION ALL SELECT dst_key, split_part(src_key, '::', 1), 0.7 FROM kept WHERE contains(src_key, '::')) GROUP BY 1, 2""",
+    "i7_build_index": "SELECT kind, count(*) AS n FROM (SELECT kind FROM edges UNION ALL SELECT kind FROM inferred_flat) GROUP BY kind",
+    "p6_destination_context": f"""
+        SELECT unit_id, node_key, CASE WHEN spot = 0 THEN '' ELSE array_to_string(list_slice(l, greatest(spot - 5, 1), spot - 1), {NL}) END AS before, CASE WHEN spot = 0 THEN '' ELSE array_to_string(list_slice(l, spot + 1, spot + 5), {NL}) END AS after
+        FROM (SELECT *, CASE WHEN head = '' THEN 1 ELSE coalesce(list_position(list_transform(l, lambda x: contains(x, head)), true), 0) END AS spot FROM (
+          SELECT s.file_id AS unit_id, s.node_key, string_split(string_split(s.node_key, '::')[-1], {SEP})[-1] AS head, string_split(n.front || n.body, {NL}) AS l
+          FROM (SELECT file_id, max(node_key) AS node_key FROM secu GROUP BY file_id) s JOIN notes n ON n.path = s.file_id))""",
+    "k5_sample_corpus": "SELECT path, kind, CAST(n_words AS INTEGER) AS n_words, array_to_string(shown, ' ') AS excerpt, CAST(len(shown) AS INTEGER) AS excerpt_words FROM profile_long",
+    "k6_coverage": "SELECT count(DISTINCT p.folder) / CAST(count(DISTINCT f.folder) AS DOUBLE) AS coverage FROM facts f LEFT JOIN profile_short p ON p.folder = f.folder",
+    "k8_profile_report": f"""
+        SELECT CAST(0 AS INTEGER) AS part, folder AS key, folder || '/: ' || n_files || ' notes, ' || mean_words || ' words on average, tags ' || tags AS line FROM ({FINAL['k4_folder_summary']})
+        UNION ALL SELECT 1, path, path || ' [' || kind || ', ' || n_words || ' words]: ' || array_to_string(shown, ' ') FROM profile_long""",
+}
+
+
 def _needs(text: str) -> set[str]:
     import re
 
