@@ -31,6 +31,9 @@ PASSAGE = Repeats(length=240)
 #: Fingerprints a text: one misses most near copies with a similarity of 0.8 to 0.95.
 FINGERPRINTS = 4
 
+#: Words of a shingle: an edit changes fewer of the short ones, so more near copies stay within 2 bits.
+SHINGLE = 2
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base tests and the learned decision list keep. Null and empty texts fail
@@ -41,11 +44,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that ``FINGERPRINTS`` independent fingerprints link: that with the smallest id, of these the one
-    with the least text hash, of equal rows any one; rows without an id give way to rows with one.
-    Texts without a word are one group."""
+    """One row of each group of texts that ``FINGERPRINTS`` independent fingerprints link: that
+    with the smallest id, of these the one with the least text hash, of equal rows any one; rows
+    without an id give way to rows with one. Texts without a word are one group."""
     rows, n = numbered(docs, "numbered")
-    found = simhash_groups(rows, id_col=n, count=FINGERPRINTS).select(F.col("doc_id").alias(n), F.col("component_id").alias("_group"))
+    found = simhash_groups(rows, id_col=n, shingle=SHINGLE, count=FINGERPRINTS).select(F.col("doc_id").alias(n), F.col("component_id").alias("_group"))
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", F.xxhash64("text").alias("h"), F.col(n).alias("n"))
     stays = found.join(rows.select(n, order.alias("_o")), n).groupBy("_group").agg(F.min("_o").alias("_o")).select(F.col("_o.n").alias(n))
     return rows.join(stays, n, "left_semi").select(*docs.columns)
