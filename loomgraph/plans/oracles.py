@@ -258,8 +258,20 @@ FINAL: dict[str, str] = {
     "p7_triage_report": "SELECT action, count(*) AS n, action || ': ' || count(*) AS line FROM decided GROUP BY action",
     "p8_unchanged_check": "SELECT count(*) AS n_compared, count(*) FILTER (WHERE b.content_hash IS DISTINCT FROM a.content_hash) AS n_changed FROM files a LEFT JOIN files2 b USING (file_id)",
     "e1_words_conserved": "SELECT doc_id, len(lost) = 0 AS ok, array_to_string(lost, ' ') AS lost FROM (SELECT doc_id, list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS lost FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(old, '[^A-Za-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(regexp_replace(new, '[^A-Za-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS b FROM pairs))",
+    "e2_headers_preserved": """
+        SELECT doc_id, bool_and(missing IS NULL) AS ok, max(missing) AS missing FROM (WITH RECURSIVE
+          hs AS (SELECT doc_id, regexp_extract_all(old, '(?m)^(#+ .+)$', 1) AS a, regexp_extract_all(new, '(?m)^(#+ .+)$', 1) AS b FROM pairs),
+          walk AS (SELECT doc_id, 0 AS i, 0 AS reached, CAST(NULL AS VARCHAR) AS missing FROM hs
+            UNION ALL SELECT doc_id, i + 1, reached + place, CASE WHEN place = 0 THEN h END FROM (
+              SELECT w.doc_id, w.i, w.reached, hs.a[w.i + 1] AS h, CAST(coalesce(list_position(hs.b[w.reached + 1:], hs.a[w.i + 1]), 0) AS INTEGER) AS place
+              FROM walk w JOIN hs ON hs.doc_id = w.doc_id WHERE w.missing IS NULL AND w.i < len(hs.a)))
+          SELECT * FROM walk) GROUP BY doc_id""",
     "e3_protected_spans": "SELECT doc_id, len(w) = 0 AND len(u) = 0 AS ok, CASE WHEN len(w) > 0 THEN 'wikilink' WHEN len(u) > 0 THEN 'url' END AS kind, array_to_string(CASE WHEN len(w) > 0 THEN w[1:3] ELSE u[1:3] END, ' ') AS lost FROM (SELECT doc_id, " + _lost("'\\[\\[[^\\]]+\\]\\]'") + " AS w, " + _lost("'https?://[^\\s()<>\"'']+'") + " AS u FROM pairs)",
     "e7_rewrite_guard": "SELECT doc_id, CASE WHEN regexp_replace(old, '^\\s+|\\s+$', '', 'g') = regexp_replace(nw, '^\\s+|\\s+$', '', 'g') THEN 'unchanged' WHEN len(list_filter(regexp_split_to_array(nw, '\\s+'), lambda x: x <> '')) < len(list_filter(regexp_split_to_array(old, '\\s+'), lambda x: x <> '')) * 0.2 THEN 'rejected' ELSE 'accepted' END AS verdict FROM (SELECT doc_id, old, CASE WHEN doc_id % 5 = 0 THEN substring(new, 1, 60) ELSE new END AS nw FROM pairs)",
+    "e4_join_punctuation": f"""
+        SELECT doc_id, 0 AS seq, ends_with(regexp_replace(joined, '^\\s+|\\s+$', '', 'g'), '.') AS ok FROM (
+          SELECT doc_id, CASE WHEN e < s THEN '' ELSE coalesce(array_to_string(list_transform(l[s:e], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), ' '), '') END AS joined FROM (
+            SELECT doc_id, least(5, n) AS s, least(6, n) - CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END AS e, string_split(new, {NL}) AS l FROM (SELECT doc_id, new, len(string_split(old, {NL})) AS n FROM pairs)))""",
     "e8_collapse_blank_runs": f"SELECT doc_id, sha1(string_agg(CASE WHEN b THEN '' ELSE x END, {NL} ORDER BY i)) AS content_hash FROM (SELECT *, regexp_matches(x, '^\\s*$') AS b, coalesce(lag(regexp_matches(x, '^\\s*$')) OVER (PARTITION BY doc_id ORDER BY i), false) AS pb FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(content, '\\. ', '.' || {NL} || {NL} || {NL}, 'g'), {NL}) AS l FROM notes2))) WHERE NOT (b AND pb) GROUP BY doc_id",
     "e10_pending_proposals": "SELECT file_id, user, created_at, fresh FROM (SELECT 'f' || user_id AS file_id, event_type AS user, ts AS created_at, CAST(event_id AS VARCHAR) AS h, coalesce(CAST(event_id AS VARCHAR) = CAST(c.c_custkey AS VARCHAR), false) AS fresh FROM events LEFT JOIN customer c ON c.c_custkey = user_id QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR)) = 1) WHERE created_at + INTERVAL 1440 MINUTE > (SELECT max(ts) FROM events)",
     "k1_allocate_sample": "SELECT * FROM quotas",
@@ -335,6 +347,10 @@ FINAL |= {
         FROM (SELECT *, CASE WHEN head = '' THEN 1 ELSE coalesce(list_position(list_transform(l, lambda x: contains(x, head)), true), 0) END AS spot FROM (
           SELECT s.file_id AS unit_id, s.node_key, string_split(string_split(s.node_key, '::')[-1], {SEP})[-1] AS head, string_split(n.front || n.body, {NL}) AS l
           FROM (SELECT file_id, max(node_key) AS node_key FROM secu GROUP BY file_id) s JOIN notes n ON n.path = s.file_id))""",
+    "f8_folder_digest": f"""
+        SELECT d.folder, concat_ws({NL}, CASE WHEN d.folder = '' THEN '(root)' ELSE d.folder END || '/', 'files: ' || coalesce(array_to_string(string_split(d.names, ',')[1:20], ', '), ''), 'links: ' || l.shown, h.shown) AS digest
+        FROM dirs d LEFT JOIN (SELECT folder, string_agg(dst_key, ', ' ORDER BY n DESC, dst_key) AS shown FROM ({FINAL['f6_folder_top_links']}) GROUP BY folder) l ON l.folder = d.folder
+        LEFT JOIN (SELECT folder, string_agg('- ' || heading_text || ': ' || substring(regexp_replace(s.text, '\\s+', ' ', 'g'), 1, 100), {NL} ORDER BY node_key) AS shown FROM heads JOIN (SELECT node_key, text FROM secu) s USING (node_key) GROUP BY folder) h ON h.folder = d.folder""",
     "k5_sample_corpus": "SELECT path, kind, CAST(n_words AS INTEGER) AS n_words, array_to_string(shown, ' ') AS excerpt, CAST(len(shown) AS INTEGER) AS excerpt_words FROM profile_long",
     "k6_coverage": "SELECT count(DISTINCT p.folder) / CAST(count(DISTINCT f.folder) AS DOUBLE) AS coverage FROM facts f LEFT JOIN profile_short p ON p.folder = f.folder",
     "k8_profile_report": f"""

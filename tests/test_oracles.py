@@ -17,6 +17,7 @@ CHOSEN = [
     "e3_protected_spans", "e8_collapse_blank_runs", "e10_pending_proposals", "k2_stride_sample", "k4_folder_summary", "l3_contradicting_pairs",
     "x4_number_citations", "x6_compact_window", "q2_resolve_path", "l1_fold_ledger", "l4_evaluate_status", "l6_summary_card", "k5_sample_corpus",
     "k7_profile_cache", "n3_parse_extractions", "f1_manifest_table", "f11_resolve_purposes", "i4_edges_for_changed", "p6_destination_context",
+    "e2_headers_preserved", "e4_join_punctuation", "f8_folder_digest",
 ]
 
 
@@ -26,7 +27,7 @@ def plain(v):
 
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert len(SQL) >= 103
+    assert len(SQL) >= 106
 
 
 @pytest.mark.parametrize("name", CHOSEN)
