@@ -251,9 +251,9 @@ def test_decontamination_rows(spark, docs, empty):
 # --- 5 ---------------------------------------------------------------------------------------
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, shingle=3):
     words = WORD.findall((text or "").translate(ASCII_LOW))
-    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    grams = [" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or ([" ".join(words)] if words else [])
     h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -307,7 +307,8 @@ def test_components_of_crowded_fingerprints(spark, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
-def test_groups_by_several_fingerprints(spark, texts, empty):
+@pytest.mark.parametrize("shingle", [3, 2])
+def test_groups_by_several_fingerprints(spark, texts, empty, shingle):
     """Against all pairs of rows: equal texts, near copies, texts without words."""
     rng = random.Random(5)
     made = [t for _, t in texts if t is None or len(t) < 3000][:60] + ["", " \n"]
@@ -318,16 +319,16 @@ def test_groups_by_several_fingerprints(spark, texts, empty):
                 words[rng.randrange(len(words))] = "edited"
             made.append(" ".join(words))
     rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
-    prints = [[int(x) for x in simhash.fingerprints_of(t, 3, 4)] for t in made]
-    assert [p[0] for p in prints] == [plain_fingerprint(t) for t in made]
+    prints = [[int(x) for x in simhash.fingerprints_of(t, shingle, 4)] for t in made]
+    assert [p[0] for p in prints] == [plain_fingerprint(t, shingle) for t in made]
     assert all(len(set(p)) == 4 for p in prints if p[0])
     low = list(range(len(made)))
     near = [(i, j) for i, j in itertools.combinations(range(len(made)), 2) if any((a ^ b).bit_count() <= 2 for a, b in zip(prints[i], prints[j], strict=True))]
     for _ in made:
         for i, j in near:
             low[i] = low[j] = min(low[i], low[j])
-    one = simhash.simhash_components(rows).select("component_id").distinct().count()
-    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(rows).collect()}
+    one = simhash.simhash_components(rows, shingle=shingle).select("component_id").distinct().count()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(rows, shingle=shingle).collect()}
     assert [got[i] for i in range(len(made))] == low
     assert len(set(low)) < one
     assert simhash.simhash_groups(empty).count() == 0
