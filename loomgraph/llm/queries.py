@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import centroid_clusters, cluster_report
 from .decontaminate import benchmark_matches
 from .kernel_quality import quality_scores
+from .licenses import license_report, license_scan
 from .maxent_lm import lm_scores
+from .merkle import FIELDS, folded, leaf_hash, merkle_manifest, proof_digest
 from .pieces import digest, encode_nbest
 from .quality_rules import apply_quality_rules
 from .repeats import cut_text, without_repeats
@@ -85,8 +88,26 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_calls(calls, results, SCHEMAS)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = leaf_hash([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in FIELDS])
+    shown = F.when((F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull(), altered)
+    found = merkle_manifest(docs, carried={"doc_id": F.col("doc_id"), "shown": shown}).rows
+    back = folded(F.col("path"), F.coalesce("shown", "leaf"))
+    rows = found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), back.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(centroid_clusters(table(spark, sf_dir, "embeddings")))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(license_scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_balanced_shards, op8_maxent_lm, op9_kernel_quality, op10_tool_call_linking)}
+    return {f.__name__: f for f in (op1_sentencepiece_nbest, op2_token_files, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_balanced_shards, op8_maxent_lm, op9_kernel_quality, op10_tool_call_linking, op11_merkle_manifest, op12_centroid_clusters, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
