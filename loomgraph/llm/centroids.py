@@ -195,14 +195,14 @@ def centroid_clusters(vectors: DataFrame, k: int = 40, rounds: int = 5, factor:
         centroids = [[s // sizes[c] for s in sums[c]] if c in sums else old for c, old in enumerate(centroids)]
     final = _planes(centroids)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                at, far = nearest(widened(b["planes"].tolist()), final)
-                far = pd.array([int(x) if x < LONG else None for x in far], dtype="Int64")
-                yield pd.DataFrame({"vec_id": b["vec_id"], "cluster": at.astype(np.int32), "distance": far})
+            if b.num_rows:
+                at, far = nearest(widened(b.column("planes").to_pylist()), final)
+                far = pa.array([int(x) if x < LONG else None for x in far], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(at.astype(np.int32)), far], ["vec_id", "cluster", "distance"])
 
-    assigned = written(rows.mapInPandas(run, f"vec_id {kind}, cluster int, distance long"), "assigned")
+    assigned = written(rows.mapInArrow(run, f"vec_id {kind}, cluster int, distance long"), "assigned")
     total = F.sum(F.col("distance").cast("decimal(38,0)"))
     found = {r[0]: int(r[1]) if r[1] is not None and r[2] == 0 else None for r in assigned.groupBy("cluster").agg(total, F.count(F.when(F.col("distance").isNull(), 1))).collect()}
     inertia = [_long(found.get(c, 0)) for c in range(len(centroids))]

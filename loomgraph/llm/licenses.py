@@ -117,7 +117,7 @@ def document_counts(docs: DataFrame, text_col: str, vocabulary: frozenset[str])
             held[""] += len(b)
             for t in b["text"]:
                 held.update(vocabulary.intersection(words_of(t)))
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        yield pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": list(held.values())})
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = {r["word"]: r["n"] for r in rows.collect()}
