@@ -38,14 +38,14 @@ def backlink_edges(wikilinks: DataFrame) -> DataFrame:
     return back.unionByName(file).groupBy("src_key", "dst_key").agg(F.max("weight").alias("weight")).select("src_key", "dst_key", F.lit("backlink").alias("kind"), "weight")
 
 
-def inferred_edges(sections: DataFrame, linked: DataFrame, threshold: float = 0.7, max_per_section: int = 3, method: str = "exact") -> DataFrame:
+def inferred_edges(sections: DataFrame, linked: DataFrame, threshold: float = 0.7, max_per_section: int = 3, method: str = "cells") -> DataFrame:
     items = sections.select(F.col("node_key").alias("item_id"), "embedding")
     skip = linked.select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst"))
     pairs = similar_pairs(items, threshold, max_per_section, skip, method)
     return pairs.select(F.col("src").alias("src_key"), F.col("dst").alias("dst_key"), F.lit("inferred").alias("kind"), F.col("score").alias("weight"))
 
 
-def build_edges(sections: DataFrame, files: DataFrame, threshold: float = 0.7, max_per_section: int = 3, method: str = "exact") -> DataFrame:
+def build_edges(sections: DataFrame, files: DataFrame, threshold: float = 0.7, max_per_section: int = 3, method: str = "cells") -> DataFrame:
     """All structural edges: links, backlinks and, where sections have vectors, inferred ones."""
     links = wikilink_edges(sections, files)
     out = links.unionByName(backlink_edges(links))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import plain
 from ..sources.corpus import append_cache
+from ..sources.scratch import written
+from .cells import cell_pairs
 
 PLACES = 4  # scores are rounded before they are ranked or compared
 QUERY_BLOCK = 2048  # query vectors broadcast at a time
@@ -225,47 +227,80 @@ def _blocks(items: DataFrame) -> int:
 
 def similar_pairs(items: DataFrame, threshold: float = 0.7, max_per_item: int | None = 3, exclude: DataFrame | None = None, method: str = "exact", blocks: int | None = None) -> DataFrame:
     """(src, dst, score): up to ``max_per_item`` most similar others of each item, best first with
-    ties by dst; pairs in ``exclude`` (src, dst) are skipped in either direction. ``exact`` does
-    rows x blocks work, for up to some millions of rows; ``lsh`` is for more. ``blocks`` follows
-    from the number of rows if it is not given.
+    ties by dst; pairs in ``exclude`` (src, dst) are skipped in either direction. ``cells`` and
+    ``exact`` give the same rows: the first partitions by cells, keeps the best inside its tasks and
+    is the form for large tables; the second deals rows to pairs of blocks (work rows x blocks) and
+    sends every pair. ``lsh`` is linear and misses some. ``blocks`` (of ``exact``) follows from the
+    number of rows if it is not given.
 
     With a ``max_per_item``, only the first item of each group of equal vectors is paired; of a
     group that is near, an item takes as many of the first members as could be among its best."""
     if exclude is not None:
         both = exclude.select("src", "dst").unionByName(exclude.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    search = lambda rows: _block_pairs(rows, threshold, blocks or _blocks(rows)) if method == "exact" else _lsh_pairs(rows, threshold)
     if max_per_item is None:
-        pairs = search(items)
+        found = items.filter(F.size("embedding") > 0)
+        if method == "cells":
+            return cell_pairs(found.select("item_id", "embedding", F.lit(None).cast("int").alias("room")), threshold, None if exclude is None else exclude)
+        pairs = _block_pairs(items, threshold, blocks or _blocks(items)) if method == "exact" else _lsh_pairs(items, threshold)
         return pairs if exclude is None else pairs.join(both, ["src", "dst"], "left_anti")
-    rows = items.filter(F.size("embedding") > 0).select("item_id", "embedding")
-    firsts = rows.groupBy("embedding").agg(F.min("item_id").alias("rep"))
-    known = rows.join(firsts, "embedding").select("item_id", "rep", F.row_number().over(W.partitionBy("rep").orderBy("item_id")).alias("place"))
+    rows = items.filter(F.size("embedding") > 0).select("item_id", "embedding", F.xxhash64("embedding").alias("h"))
+    if method == "cells":  # read several times: vectors are made once
+        rows = written(rows, "vectors")
+    firsts = rows.groupBy("h", "embedding").agg(F.min("item_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    room = max_per_item + 1  # the item itself may be among the first
+    if method == "cells":
+        both = None if exclude is None else written(both, "left-out")
+        firsts = written(firsts, "first-vectors")
+    known = rows.join(firsts, ["h", "embedding"]).select("item_id", "rep", "size")
+    if method == "cells":
+        known = written(known, "equal-vectors")
+        near = written(_near_groups(firsts, known, threshold, max_per_item, None if exclude is None else both), "near")
+    else:
+        asked = firsts.select(F.col("rep").alias("item_id"), "embedding")
+        near = _block_pairs(asked, threshold, blocks or _blocks(asked)) if method == "exact" else _lsh_pairs(asked, threshold)
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     own = firsts.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.when(squares > 0, 1.0).otherwise(0.0).alias("score")).filter(F.col("score") >= threshold)
-    near = search(firsts.select(F.col("rep").alias("item_id"), "embedding")).unionByName(own)
+    near = near.unionByName(own)
     pairs = known.select(F.col("item_id").alias("src"), "rep").join(near.select(F.col("src").alias("rep"), F.col("dst").alias("group"), "score"), "rep").drop("rep")
-    members = known.select(F.col("rep").alias("group"), F.col("item_id").alias("dst"), "place")
-    room = max_per_item + 1  # the item itself may be among the first
-    few = members.filter(F.col("place") <= room)
+    place = F.row_number().over(W.partitionBy("rep").orderBy("item_id"))
+    few = known.withColumn("place", place).filter(F.col("place") <= room).select(F.col("rep").alias("group"), F.col("item_id").alias("dst"))
     if exclude is None:
         pairs = pairs.join(few, "group").filter("src <> dst").select("src", "dst", "score")
     else:
+        members = known.select(F.col("rep").alias("group"), F.col("item_id").alias("dst"))
         skipped = both.join(members, "dst").groupBy("src", "group").agg(F.count(F.lit(1)).alias("skipped"))
         pairs = pairs.join(skipped, ["src", "group"], "left")
         plenty = pairs.filter("skipped IS NULL").join(few, "group")
-        more = pairs.filter("skipped IS NOT NULL").join(members, "group").filter(F.col("place") <= F.col("skipped") + room)
-        pairs = plenty.unionByName(more).filter("src <> dst").select("src", "dst", "score").join(both, ["src", "dst"], "left_anti")
+        placed = members.join(skipped.select("group").distinct(), "group").withColumn("place", F.row_number().over(W.partitionBy("group").orderBy("dst")))
+        more = pairs.filter("skipped IS NOT NULL").join(placed, "group").filter(F.col("place") <= F.col("skipped") + room)
+        pairs = plenty.drop("skipped").unionByName(more.drop("skipped", "place")).filter("src <> dst").select("src", "dst", "score").join(both, ["src", "dst"], "left_anti")
     best = W.partitionBy("src").orderBy(F.col("score").desc(), F.col("dst"))
     return pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max_per_item).drop("n")
 
 
-def near_duplicates(items: DataFrame, threshold: float = 0.97, method: str = "exact", blocks: int | None = None) -> DataFrame:
+def _near_groups(firsts: DataFrame, known: DataFrame, threshold: float, k: int, both: DataFrame | None) -> DataFrame:
+    """(src, dst, score) of first members: the best ``k`` groups of each, and one more for each
+    group with copies that some member's pairs to leave out touch. Where neither side has copies
+    such a pair is left out inside the task, so a name with many links keeps ``k`` all the same."""
+    asked = firsts.select(F.col("rep").alias("item_id"), "embedding", F.lit(k).alias("room"))
+    if both is None:
+        return cell_pairs(asked, threshold)
+    of = lambda name: known.select(F.col("item_id").alias(name), F.col("rep").alias(f"{name}_rep"), F.col("size").alias(f"{name}_n"))
+    met = both.join(of("src"), "src").join(of("dst"), "dst")
+    single = (F.col("src_n") == 1) & (F.col("dst_n") == 1)
+    more = met.filter(~single).groupBy(F.col("src_rep").alias("item_id")).agg(F.count_distinct("dst_rep").cast("int").alias("more"))
+    asked = asked.join(more, "item_id", "left").select("item_id", "embedding", (F.col("room") + F.coalesce("more", F.lit(0))).alias("room"))
+    return cell_pairs(asked, threshold, met.filter(single & (F.col("src") < F.col("dst"))).select("src", "dst"))
+
+
+def near_duplicates(items: DataFrame, threshold: float = 0.97, method: str = "cells", blocks: int | None = None) -> DataFrame:
     """(item_id, twin, score): ``twin`` is the smallest item with the same vector (score 1), or a
-    near one at the threshold. Equal vectors meet by one grouped minimum; only their first
-    member takes part in the search, so a group of copies never makes its pairs."""
-    rows = items.filter(F.size("embedding") > 0).withColumn("h", F.xxhash64("embedding"))
-    firsts = rows.groupBy("h").agg(F.min("item_id").alias("twin"))
-    same = rows.join(firsts, "h").filter("item_id <> twin").select("item_id", "twin", F.lit(1.0).alias("score"))
-    reps = rows.join(firsts.select(F.col("twin").alias("item_id")), "item_id", "left_semi").select("item_id", "embedding")
+    near one at the threshold. Equal vectors meet by one grouped minimum over their hash and
+    numbers; only their first member takes part in the search, so a group of copies never makes
+    its pairs."""
+    rows = written(items.filter(F.size("embedding") > 0).select("item_id", "embedding", F.xxhash64("embedding").alias("h")), "vectors")
+    firsts = written(rows.groupBy("h", "embedding").agg(F.min("item_id").alias("twin")), "first-vectors")
+    same = rows.join(firsts, ["h", "embedding"]).filter("item_id <> twin").select("item_id", "twin", F.lit(1.0).alias("score"))
+    reps = firsts.select(F.col("twin").alias("item_id"), "embedding")
     near = similar_pairs(reps, threshold, None, None, method, blocks).select(F.col("src").alias("item_id"), F.col("dst").alias("twin"), "score")
     return same.unionByName(near)

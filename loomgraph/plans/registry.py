@@ -253,7 +253,7 @@ def v5_cached_embed(t):
 
 @query
 def v6_similar_pairs(t):
-    return M.similar_pairs(_vecs(t).select(F.col("vec_id").alias("item_id"), "embedding"), 0.3, 3)
+    return M.similar_pairs(_vecs(t).select(F.col("vec_id").alias("item_id"), "embedding"), 0.3, 3, method="cells")
 
 
 @query
