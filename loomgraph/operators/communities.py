@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,9 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import plain
 from ..functions.text import estimate_tokens, short_key, trimmed
+from ..sources.scratch import written
 from .entities import offline_completion, run_completions
+from .ranges import positioned
 from .vectors import PLACES, embed, hash_vectors, vector_topk
 
+GROUP_ROWS = 8192  # of a sequential fold
+PIVOTS = 256  # cells at most of means that key order does not bring together
+
 
 def seed_table(manifest: DataFrame) -> DataFrame:
     """(community_id, seed_source, label, path, text, ord) of the first two levels of a folder
@@ -93,37 +100,83 @@ def _fold(keys: list[str], vectors: list, counts: list[int], threshold: float) -
     return out
 
 
-def leader_cluster(sections: DataFrame, threshold: float = 0.5, blocks: int = 16) -> DataFrame:
+def _merged(df: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """One fold over weighted means in the order of their anchors: for each row the anchor and label
+    of the cluster it joins, and on that cluster's first row its mean and size."""
+    df = plain(df).sort_values("anchor")
+    n = df["n"].to_numpy()
+    at = np.array(_fold(df["anchor"].tolist(), df["mean"].tolist(), n.tolist(), threshold))
+    _, first = np.unique(at, return_index=True)
+    v = np.stack([np.asarray(x, float) for x in df["mean"]])
+    sums, sizes = np.zeros((len(first), v.shape[1])), np.zeros(len(first), dtype=np.int64)
+    np.add.at(sums, at, v * n[:, None])
+    np.add.at(sizes, at, n)
+    means = (sums / sizes[:, None]).tolist()
+    return pd.DataFrame({"anchor": df["anchor"], "lead": df["anchor"].to_numpy()[first][at], "label": df["label"].to_numpy()[first][at], "mean": [means[c] for c in at], "n": sizes[at]})
+
+
+def leader_cluster(sections: DataFrame, threshold: float = 0.5, blocks: int | None = None, rows_a_group: int = GROUP_ROWS) -> DataFrame:
     """(section_key, community_id, label): order-dependent leader clustering in key order.
 
-    Runs of consecutive keys are folded by block, then the blocks' means are folded the same way
-    and members follow theirs. One block gives the sequential result (small inputs only); more
-    blocks are a two-level approximation whose second fold sees one row a block cluster."""
-    rows = sections.filter(F.size("embedding") > 0).select(F.col("node_key").alias("section_key"), "heading_path", "embedding")
-    dealt = rows.withColumn("block", F.lit(0)) if blocks == 1 else rows.repartitionByRange(blocks, "section_key").withColumn("block", F.spark_partition_id())
-
-    def first(df: pd.DataFrame) -> pd.DataFrame:
-        df = plain(df).sort_values("section_key")
-        at = np.array(_fold(df["section_key"].tolist(), df["embedding"].tolist(), [1] * len(df), threshold))
-        anchor = df["section_key"].to_numpy()[[int(np.flatnonzero(at == c)[0]) for c in range(at.max() + 1)]]
-        mean = np.stack([np.mean([np.asarray(v, float) for v in df["embedding"].to_numpy()[at == c]], axis=0) for c in range(at.max() + 1)])
-        return pd.DataFrame({"section_key": df["section_key"], "heading_path": df["heading_path"], "anchor": anchor[at], "mean": [mean[c].tolist() for c in at]})
-
-    local = dealt.groupBy("block").applyInPandas(first, "section_key string, heading_path string, anchor string, mean array<double>")
-    if blocks > 1:
-
-        def second(df: pd.DataFrame) -> pd.DataFrame:
-            df = plain(df).sort_values("anchor")
-            at = np.array(_fold(df["anchor"].tolist(), df["mean"].tolist(), df["n"].tolist(), threshold))
-            lead = df["anchor"].to_numpy()[[int(np.flatnonzero(at == c)[0]) for c in range(at.max() + 1)]]
-            return pd.DataFrame({"anchor": df["anchor"], "lead": lead[at]})
-
-        means = local.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.first("mean").alias("mean"))
-        leads = means.groupBy(F.lit(0).alias("one")).applyInPandas(second, "anchor string, lead string")
-        local = local.join(leads, "anchor").select("section_key", "heading_path", F.col("lead").alias("anchor"))
-    names = local.filter("section_key = anchor").select("anchor", F.coalesce(F.nullif("heading_path", F.lit("")), F.col("anchor")).alias("label")).distinct()
-    cid = F.concat(F.lit("auto-"), F.substring(F.md5("anchor"), 1, 16))
-    return local.join(names, "anchor").select("section_key", cid.alias("community_id"), "label")
+    Up to ``rows_a_group`` sections are one sequential fold. Beyond that runs of so many consecutive
+    keys are folded, each by itself, and leave weighted means; these are merged by the same fold
+    in a tree, again in runs of so many, until one run holds all. Where a level in key order
+    merges less than a tenth, the next one takes means that lie in one cell of a Voronoi
+    partition together, and where that does not help either the clusters stay as they are. Runs are
+    cut by position, so the result does not hang on partitions, and no task sees more than a run.
+    ``blocks`` cuts the sections into so many runs instead."""
+    rows = sections.filter(F.size("embedding") > 0).select(F.col("node_key").alias("section_key"), "heading_path", F.col("embedding").cast("array<double>").alias("embedding"))
+    placed, n = positioned(rows, ["section_key", "heading_path"], "sections")
+    size = max(1, -(-n // blocks)) if blocks else rows_a_group
+    schema = "anchor string, lead string, label string, mean array<double>, n long"
+
+    def leaf(df: pd.DataFrame) -> pd.DataFrame:
+        return _merged(df.rename(columns={"section_key": "anchor", "heading_path": "label", "embedding": "mean"}).assign(n=1), threshold)
+
+    leaves = written(placed.withColumn("run", F.expr(f"pos div {size}")).groupBy("run").applyInPandas(leaf, schema), "leaves")
+    follow = leaves.select(F.col("anchor").alias("section_key"), F.col("lead").alias("anchor"))
+    now = leaves.filter("anchor = lead").select("anchor", "label", "mean", "n")
+    known = now.select("anchor", F.col("anchor").alias("lead"), "label")
+    left, by_cell = now.count(), False
+    while left > 1 and (n > size):
+        if by_cell:
+            runs = _by_cell(now, rows_a_group, min(PIVOTS, -(-left // rows_a_group)))
+        else:
+            at, left = positioned(now, ["anchor"], "means")
+            runs = at.withColumn("run", F.expr(f"pos div {rows_a_group}").cast("string"))
+        level = written(runs.groupBy("run").applyInPandas(lambda df: _merged(df, threshold), schema), "level")
+        step = level.select("anchor", F.col("lead").alias("to"), F.col("label").alias("to_label"))
+        known = written(known.select("anchor", F.col("lead").alias("was")).join(step.withColumnRenamed("anchor", "was"), "was").select("anchor", F.col("to").alias("lead"), F.col("to_label").alias("label")), "leads")
+        now = level.filter("anchor = lead").select("anchor", "label", "mean", "n")
+        before, left = left, now.count()
+        if before <= rows_a_group and not by_cell:
+            break
+        if left > 0.9 * before:
+            if by_cell:
+                break
+            by_cell = True
+        else:
+            by_cell = False
+    cid = F.concat(F.lit("auto-"), F.substring(F.md5("lead"), 1, 16))
+    return follow.join(known, "anchor").select("section_key", cid.alias("community_id"), F.coalesce(F.nullif("label", F.lit("")), F.col("lead")).alias("label"))
+
+
+def _by_cell(means: DataFrame, most: int, cells: int) -> DataFrame:
+    """``means`` with ``run``: those nearest to one of so many pivots, in runs of ``most``."""
+    pivots = means.select("mean", F.md5("anchor").alias("h")).orderBy("h").limit(cells).collect()
+    p = np.array([r["mean"] for r in pivots], dtype=float)
+    norm = np.sqrt((p * p).sum(axis=1, keepdims=True))
+    p = np.divide(p, norm, out=np.zeros_like(p), where=norm > 0)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield plain(b).assign(cell=[int((p @ np.asarray(v, float)).argmax()) for v in b["mean"]])
+
+    celled = means.mapInPandas(nearest, "anchor string, label string, mean array<double>, n long, cell int")
+    placed, _ = positioned(celled, ["cell", "anchor"], "celled")
+    first = placed.groupBy("cell").agg(F.min("pos").alias("first"))
+    run = F.concat_ws("-", "cell", ((F.col("pos") - F.col("first")) / most).cast("long"))
+    return placed.join(F.broadcast(first), "cell").select("anchor", "label", "mean", "n", run.alias("run"))
 
 
 def assign_auto(sections: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.frames import plain
 from ..functions.text import estimate_tokens, normalize_type, short_key, trimmed
 from ..sources.corpus import merge_ignore
+from .ranges import positioned
 
+RANGE_FILES = 100_000  # packed in one task
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 TAG = r"(?:^|\s)(#[a-zA-Z][a-zA-Z0-9_-]*)"
 PHRASE = r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:\s[A-Z][a-z]+)*(?![A-Za-z0-9_])"
@@ -120,30 +124,79 @@ def sections_for_entities(mentions: DataFrame, entity_ids: DataFrame) -> DataFra
     return mentions.join(entity_ids.select("entity_id").distinct(), "entity_id", "left_semi").select("section_key", "entity_id")
 
 
-def extraction_batches(sections: DataFrame, cap_tokens: int = 3000, blocks: int = 16) -> DataFrame:
+def extraction_batches(sections: DataFrame, cap_tokens: int = 3000, blocks: int | None = None) -> DataFrame:
     """(file_id, batch_id, tokens): each file's sections within the cap, files packed in id order
-    until the next would not fit (an oversize file stands alone). Runs of consecutive files are
-    packed by block; one block gives the sequential result."""
+    until the next would not fit (an oversize file stands alone).
+
+    Next-fit is exact over any number of ranges of files. All that a range needs to know of those
+    before it is how full their last batch is, so each range first says how full its own will be
+    for every such number: a step function with one step a file that the open batch may still
+    take. These are followed from range to range, and each range is then packed by itself, with
+    the number of batches before it. ``blocks`` is the number of ranges (about ``RANGE_FILES``
+    files each if it is not given); the driver sees one step function and two numbers a range."""
     texts = sections.filter("trim(text) <> ''").withColumn("tok", estimate_tokens(trimmed(F.col("text"))))
     run = F.sum("tok").over(W.partitionBy("file_id").orderBy("node_key").rowsBetween(W.unboundedPreceding, 0))
     files = texts.withColumn("run", run).filter(F.col("run") <= cap_tokens).groupBy("file_id").agg(F.sum("tok").alias("tokens"))
-    if blocks == 1:
-        dealt = files.withColumn("block", F.lit(0))
-    else:
-        dealt = files.repartitionByRange(blocks, "file_id").withColumn("block", F.spark_partition_id())
+    return next_fit(files, cap_tokens, blocks)
+
+
+def packed(tokens: list[int], cap: int, held: int) -> tuple[list[int], int]:
+    """Next-fit: the batch of each file (0: the one that ``held`` tokens are in already) and how full
+    the last one is. More than ``cap`` counts as ``cap``, as nothing fits either way."""
+    batch, out = 0, []
+    for t in tokens:
+        if held and held + t > cap:
+            batch, held = batch + 1, 0
+        held = min(cap, held + t)
+        out.append(batch)
+    return out, held
+
+
+def fill_steps(tokens: list[int], cap: int) -> list[tuple[int, int | None, int]]:
+    """(least held, held after, batches opened) of a range, as a step function of what the last
+    batch holds at its start: one step for each place at which that batch may end."""
+    after: list[tuple[int, int]] = [(0, 0)] * (len(tokens) + 1)  # batches opened and held, if one begins at a file
+    total = [0, *accumulate(tokens)]
+    for i in range(len(tokens) - 1, -1, -1):
+        j = max(i + 1, bisect_right(total, total[i] + cap) - 1)
+        after[i] = (0, min(cap, total[-1] - total[i])) if j >= len(tokens) else (after[j][0] + 1, after[j][1])
+    steps = [(0, after[0][1], after[0][0])]
+    for i, t in enumerate(tokens):  # the open batch takes files 0 to i - 1
+        if total[i] >= cap:
+            return steps
+        if t:
+            steps.append((max(1, cap - total[i + 1] + 1), after[i][1], after[i][0] + 1))
+    return [*steps, (1, None, 0)] if total[-1] < cap else steps  # it may take all of them
+
+
+def next_fit(files: DataFrame, cap: int, ranges: int | None = None) -> DataFrame:
+    """(file_id, batch_id, tokens) from ``files`` (file_id, tokens): see ``extraction_batches``."""
+    placed, n = positioned(files.select("file_id", F.col("tokens").cast("long").alias("tokens")), ["file_id"], "files")
+    size = max(1, -(-n // (ranges or max(1, -(-n // RANGE_FILES)))))
+    dealt = placed.withColumn("part", F.expr(f"pos div {size}"))
+
+    def ahead(rows: pd.DataFrame) -> pd.DataFrame:
+        tokens = rows.sort_values("pos")["tokens"].tolist()
+        steps = fill_steps(tokens, cap)
+        return pd.DataFrame({"part": int(rows["part"].iloc[0]), "least": [s[0] for s in steps], "after": [-1 if s[1] is None else s[1] for s in steps], "opened": [s[2] for s in steps], "total": sum(tokens)})
+
+    found: dict[int, list] = {}
+    for r in dealt.groupBy("part").applyInPandas(ahead, "part long, least long, after long, opened long, total long").collect():
+        found.setdefault(r["part"], []).append(r)
+    held, number, entry = 0, 0, {}
+    for part in sorted(found):
+        entry[part] = (held, number)
+        step = max((r for r in found[part] if r["least"] <= held), key=lambda r: r["least"])
+        number += step["opened"]
+        held = min(cap, held + step["total"]) if step["after"] < 0 else step["after"]
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = plain(rows).sort_values("file_id")
-        batch, held, out = 0, 0, []
-        for t in rows["tokens"]:
-            if held and held + t > cap_tokens:
-                batch, held = batch + 1, 0
-            held += t
-            out.append(batch)
-        names = [f"{b:06d}-{k:08d}" for b, k in zip(rows["block"], out, strict=True)]
-        return pd.DataFrame({"file_id": rows["file_id"], "batch_id": names, "tokens": rows["tokens"]})
-
-    return dealt.groupBy("block").applyInPandas(pack, "file_id string, batch_id string, tokens long")
+        rows = plain(rows).sort_values("pos")
+        before, first = entry[int(rows["part"].iloc[0])]
+        batch, _ = packed(rows["tokens"].tolist(), cap, before)
+        return pd.DataFrame({"file_id": rows["file_id"], "batch_id": [f"000000-{first + b:08d}" for b in batch], "tokens": rows["tokens"]})
+
+    return dealt.groupBy("part").applyInPandas(pack, "file_id string, batch_id string, tokens long")
 
 
 def offline_completion(prompts: list[str]) -> list[str]:

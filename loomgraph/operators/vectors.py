@@ -69,8 +69,9 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dims: int = 64) -> Dat
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     grams = F.when(F.length("low") > 2, F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3)))).when(F.length("low") > 0, F.array("low")).otherwise(F.array().cast("array<string>"))
     rows = df.select(F.col(id_col).alias("id"), low.alias("low")).select("id", F.explode(F.array_distinct(grams)).alias("g")).select("id", F.md5("g").alias("h"))
-    dim = (F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % dims).alias("dim")
-    sign = F.when(F.conv(F.substring("h", 3, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s")
+    digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring("h", k, 1)) - 1
+    dim = ((digit(1) * 16 + digit(2)) % dims).alias("dim")
+    sign = F.when(digit(4) % 2 == 0, 1.0).otherwise(-1.0).alias("s")
     # One partial sum a dimension inside one aggregate: the grams never leave their task unsummed.
     sums = rows.select("id", dim, sign).groupBy("id").agg(*[F.sum(F.when(F.col("dim") == k, F.col("s")).otherwise(0.0)).alias(f"d{k}") for k in range(dims)])
     norm = F.sqrt(sum((F.col(f"d{k}") * F.col(f"d{k}") for k in range(1, dims)), F.col("d0") * F.col("d0")))

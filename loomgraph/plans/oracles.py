@@ -117,6 +117,36 @@ JOIN (SELECT entity_id, list_filter(list_distinct(regexp_extract_all(lower(name)
 JOIN mentions m ON m.entity_id = e.entity_id"""
 PARTS["nodes"] = "SELECT q_id, node_key, max(score) AS score, row_number() OVER (PARTITION BY q_id ORDER BY max(score) DESC, node_key) AS pos FROM (SELECT * FROM tier_a UNION ALL SELECT * FROM tier_b) GROUP BY q_id, node_key QUALIFY pos <= 8"
 PARTS["best8"] = "SELECT src_key, dst_key, row_number() OVER (PARTITION BY src_key ORDER BY weight DESC, dst_key) AS e FROM edges QUALIFY e <= 8"
+PARTS["asked_grams"] = """
+SELECT q_id, unnest(CASE WHEN length(t) > 2 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda k: substring(t, k, 3))) ELSE [t] END) AS g FROM (SELECT q_id, lower(trim(replace(question, chr(10), ' '))) AS t FROM questions)"""
+PARTS["asked_vectors"] = """
+SELECT q_id, CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) ELSE v END AS embedding FROM (
+  SELECT q_id, list(s ORDER BY d) AS v, sqrt(sum(s * s)) AS n FROM (
+    SELECT k.q_id, r.d, coalesce(x.s, 0.0) AS s FROM (SELECT q_id FROM questions) k CROSS JOIN (SELECT unnest(range(64)) AS d) r
+    LEFT JOIN (SELECT q_id, CAST('0x' || substr(md5(g), 1, 2) AS INTEGER) % 64 AS d, CAST(sum(CASE WHEN CAST('0x' || substr(md5(g), 3, 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS s FROM asked_grams GROUP BY ALL) x ON x.q_id = k.q_id AND x.d = r.d) GROUP BY q_id)"""
+PARTS["cosine_places"] = """
+SELECT q_id, node_key, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, node_key) AS pos FROM (
+  SELECT q.q_id, s.node_key, round(list_dot_product(q.embedding, s.embedding), 4) AS score FROM asked_vectors q, vectors s)"""
+PARTS["spread"] = """
+SELECT q_id, node_key, row_number() OVER (PARTITION BY q_id ORDER BY level, r, node_key) AS pos FROM (
+  SELECT q_id, node_key, 0 AS level, pos AS r FROM nodes
+  UNION ALL SELECT n.q_id, b.dst_key, 1, min(n.pos * 1000 + b.e) FROM nodes n JOIN best8 b ON b.src_key = n.node_key
+    WHERE NOT EXISTS (SELECT 1 FROM nodes o WHERE o.q_id = n.q_id AND o.node_key = b.dst_key) GROUP BY n.q_id, b.dst_key)"""
+for _k in (3, 5):
+    PARTS[f"near{_k}"] = f"SELECT q_id, node_key, score, pos FROM cosine_places WHERE pos <= {_k}"
+    PARTS[f"alone{_k}"] = f"""
+SELECT q_id, node_key AS key FROM spread s WHERE NOT EXISTS (SELECT 1 FROM near{_k} n WHERE n.q_id = s.q_id AND n.node_key = s.node_key)
+QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY pos) <= {_k}"""
+    PARTS[f"placed{_k}"] = f"""
+SELECT q_id, node_key, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, node_key) AS pos FROM (
+  SELECT r.q_id, r.node_key, coalesce(n.score, 0.0) AS score FROM (
+    SELECT DISTINCT a.q_id, s.node_key FROM alone{_k} a JOIN secu s ON s.node_key = a.key
+    UNION SELECT a.q_id, s.node_key FROM alone{_k} a JOIN files f ON f.path = a.key OR f.path = a.key || '.md' OR ends_with(f.path, '/' || a.key) OR ends_with(f.path, '/' || a.key || '.md') JOIN secu s ON s.file_id = f.file_id
+      WHERE a.key NOT IN (SELECT node_key FROM secu)
+  ) r LEFT JOIN nodes n ON n.q_id = r.q_id AND n.node_key = r.node_key)"""
+    PARTS[f"hybrid{_k}"] = f"""
+SELECT q_id, node_key, m.score AS score, CAST(m.tier AS INTEGER) AS tier, CAST(row_number() OVER (PARTITION BY q_id ORDER BY m.tier, m.pos, node_key) AS INTEGER) AS rank FROM (
+  SELECT q_id, node_key, min({{'tier': tier, 'pos': pos, 'score': score}}) AS m FROM (SELECT *, 0 AS tier FROM near{_k} UNION ALL SELECT *, 1 FROM placed{_k}) GROUP BY q_id, node_key)"""
 PARTS["vec"] = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 PARTS["heads"] = "SELECT f.folder, s.node_key, s.heading_text FROM secu s JOIN files f USING (file_id) WHERE s.heading_text <> '' AND s.text <> '' QUALIFY row_number() OVER (PARTITION BY f.folder ORDER BY s.node_key) <= 3"
 PARTS["defaults"] = "SELECT DISTINCT folder, 'own' AS t FROM files WHERE folder LIKE '%/src1%' UNION ALL SELECT DISTINCT split_part(folder, '/', 1), 'top' FROM files WHERE folder <> '' AND split_part(folder, '/', 1) <> 'de'"
@@ -214,6 +244,15 @@ FINAL: dict[str, str] = {
     "v4_vector_topk": "SELECT q_id, item_id, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM (SELECT a.vec_id AS q_id, b.vec_id AS item_id, round(list_cosine_similarity(a.v, b.v), 4) AS score FROM vec a JOIN vec b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) QUALIFY rank <= 5",
     "v6_similar_pairs": "SELECT src, dst, score FROM (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 4) AS score FROM vec a JOIN vec b ON a.vec_id <> b.vec_id) WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 3",
     "v6_inferred_edges": "SELECT * FROM inferred",
+    "g11_hybrid_search": "SELECT q_id, node_key, score, tier, rank FROM hybrid5",
+    "g12_verify_batch": """WITH hits AS (SELECT h.q_id, h.node_key, h.rank, substring(s.text, 1, 200) AS snippet, row_number() OVER (ORDER BY h.q_id DESC, h.rank DESC) <= 6 AS evidence FROM hybrid3 h JOIN secu s USING (node_key) WHERE h.rank <= 3)
+        SELECT q.q_id, h.node_key, h.rank, h.snippet, coalesce(h.evidence, FALSE) AS evidence FROM questions q LEFT JOIN hits h ON h.q_id = q.q_id""",
+    "n9_extraction_batches": """WITH RECURSIVE sized AS (SELECT file_id, node_key, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tok FROM secu),
+        cut AS (SELECT *, sum(tok) OVER (PARTITION BY file_id ORDER BY node_key ROWS UNBOUNDED PRECEDING) AS run FROM sized),
+        filed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY file_id) AS i, CAST(sum(tok) AS BIGINT) AS t FROM cut WHERE run <= 3000 GROUP BY file_id),
+        walk AS (SELECT i, t, 0 AS b, t AS held FROM filed WHERE i = 1
+          UNION ALL SELECT f.i, f.t, CASE WHEN w.held + f.t > 3000 THEN w.b + 1 ELSE w.b END, CASE WHEN w.held + f.t > 3000 THEN f.t ELSE w.held + f.t END FROM walk w JOIN filed f ON f.i = w.i + 1)
+        SELECT '000000-' || lpad(CAST(b AS VARCHAR), 8, '0') AS batch_id, count(*) AS n_files, CAST(sum(t) AS BIGINT) AS tokens FROM walk GROUP BY b""",
     "v7_near_duplicates": """SELECT node_key AS item_id, twin, 1.0::DOUBLE AS score FROM (SELECT node_key, min(node_key) OVER (PARTITION BY embedding) AS twin FROM vectors) WHERE node_key <> twin
         UNION ALL SELECT a.node_key, b.node_key, round(list_dot_product(a.embedding, b.embedding), 4) FROM (SELECT * FROM vectors QUALIFY node_key = min(node_key) OVER (PARTITION BY embedding)) a JOIN (SELECT * FROM vectors QUALIFY node_key = min(node_key) OVER (PARTITION BY embedding)) b ON a.node_key <> b.node_key WHERE round(list_dot_product(a.embedding, b.embedding), 4) >= 0.97""",
     "g1_wikilink_edges": "SELECT * FROM links",
@@ -377,7 +416,9 @@ def sql() -> dict[str, str]:
                 todo |= _needs(PARTS[p]) - need - {p}
         used = [f"{p} AS ({PARTS[p].strip()})" for p in PARTS if p in need]
         body = text.strip()
-        if used and body.startswith("WITH "):
+        if used and body.startswith("WITH RECURSIVE "):
+            out[name] = "WITH RECURSIVE " + ",\n".join(used) + ",\n" + body[15:]
+        elif used and body.startswith("WITH "):
             out[name] = "WITH " + ",\n".join(used) + ",\n" + body[5:]
         else:
             out[name] = ("WITH " + ",\n".join(used) + "\n" if used else "") + body

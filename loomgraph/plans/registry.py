@@ -23,6 +23,7 @@ from ..operators import text as T
 from ..operators import triage as P
 from ..operators import vectors as M
 from ..sources import corpus as R
+from ..sources.scratch import written
 from . import oracles
 from .fixtures import Tables
 
@@ -203,7 +204,7 @@ def n8_sections_for_entities(t):
 
 @query
 def n9_extraction_batches(t):
-    return N.extraction_batches(t.sections(), 3000, 1).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("tokens").alias("tokens"))
+    return N.extraction_batches(t.sections(), 3000).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("tokens").alias("tokens"))
 
 
 @query
@@ -322,8 +323,12 @@ def g9_expand_neighbors(t):
 
 
 def _index(t: Tables) -> dict[str, DataFrame]:
-    entities, mentions = t.entities()
-    return {"files": t.files(), "sections": t.vectors(), "entities": entities, "section_entities": mentions, "edges": t.edges()}
+    """The tables that a search reads, each written once."""
+    sections = written(t.vectors(), "sections")
+    entities, mentions = N.entity_tables(N.extract_entities(sections))
+    links = G.wikilink_edges(sections, t.files())
+    index = {"files": t.files(), "entities": entities, "section_entities": mentions, "edges": links.unionByName(G.backlink_edges(links))}
+    return {"sections": sections} | {name: written(df, name) for name, df in index.items()}
 
 
 @query
@@ -366,7 +371,7 @@ def c3_assign_seeded(t):
 
 @query
 def c4_leader_cluster(t):
-    return C.leader_cluster(t.vectors(), 0.5, 1).groupBy("community_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return C.leader_cluster(t.vectors(), 0.5).groupBy("community_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _clusters(t: Tables) -> DataFrame:
