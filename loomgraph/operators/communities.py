@@ -14,7 +14,7 @@ from ..functions.frames import plain
 from ..functions.text import estimate_tokens, short_key, trimmed
 from ..sources.scratch import written
 from .entities import offline_completion, run_completions
-from .ranges import positioned
+from .ranges import positioned, within_budget
 from .vectors import PLACES, embed, hash_vectors, vector_topk
 
 GROUP_ROWS = 8192  # of a sequential fold
@@ -212,8 +212,7 @@ def membership_diff(before: DataFrame, after: DataFrame, reports: DataFrame) ->
 def context_pack(sections: DataFrame, group_col: str, cap_tokens: int = 3000) -> DataFrame:
     """(group, context, tokens, n_sections): texts in key order until the cap would be passed."""
     rows = sections.withColumn("_t", trimmed(F.coalesce("text", F.lit("")))).filter("_t <> ''").withColumn("_n", estimate_tokens(F.col("_t")))
-    run = F.sum("_n").over(W.partitionBy(group_col).orderBy("node_key").rowsBetween(W.unboundedPreceding, 0))
-    kept = rows.withColumn("_run", run).filter(F.col("_run") <= cap_tokens)
+    kept = within_budget(rows, group_col, "node_key", "_n", cap_tokens)
     block = F.concat(F.lit("### "), F.coalesce(F.nullif("heading_path", F.lit("")), F.col("node_key")), F.lit("\n"), "_t")
     packed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_key", block.alias("b")))), lambda x: x["b"]), "\n\n")
     return kept.groupBy(group_col).agg(packed.alias("context"), F.sum("_n").alias("tokens"), F.count(F.lit(1)).alias("n_sections"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import plain
 from ..functions.text import estimate_tokens, normalize_type, short_key, trimmed
 from ..sources.corpus import merge_ignore
-from .ranges import positioned
+from .ranges import positioned, within_budget
 
 RANGE_FILES = 100_000  # packed in one task
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
@@ -135,8 +135,7 @@ def extraction_batches(sections: DataFrame, cap_tokens: int = 3000, blocks: int
     the number of batches before it. ``blocks`` is the number of ranges (about ``RANGE_FILES``
     files each if it is not given); the driver sees one step function and two numbers a range."""
     texts = sections.filter("trim(text) <> ''").withColumn("tok", estimate_tokens(trimmed(F.col("text"))))
-    run = F.sum("tok").over(W.partitionBy("file_id").orderBy("node_key").rowsBetween(W.unboundedPreceding, 0))
-    files = texts.withColumn("run", run).filter(F.col("run") <= cap_tokens).groupBy("file_id").agg(F.sum("tok").alias("tokens"))
+    files = within_budget(texts, "file_id", "node_key", "tok", cap_tokens).groupBy("file_id").agg(F.sum("tok").alias("tokens"))
     return next_fit(files, cap_tokens, blocks)
 
 
