@@ -14,14 +14,17 @@ Defined results: a call without a result is kept with ``linked`` false and a nul
 result without a call is kept with name null and error ``no call``; of several calls (results)
 of one id the least text holds and ``copies`` tells how many there were; ``after`` that names no
 call, the call itself or a cycle is an error and counts as depth 0 (the cycle's calls: -1);
-arguments that are null, no JSON or no object are errors; null ids are rows of their own
-(never joined); empty tables give an empty result; extra columns are ignored.
+arguments that are null, no JSON, nested too deep or no object are errors; integers of any size
+are integers; half a surrogate pair is written as its escape; null ids are rows of their own
+(never joined); arguments and results may have any length; empty tables give an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from .ranks import ranked
 from .store import joined_by_weight, written
 
+LONE = re.compile("[\ud800-\udfff]")
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -39,7 +43,7 @@ def schema_error(value: Any, schema: dict, at: str = "$") -> str | None:
     """The first way in which ``value`` breaks ``schema``, in a fixed order; None if it fits."""
     kind = schema.get("type")
     number = isinstance(value, int | float) and not isinstance(value, bool)
-    if kind == "integer" and not (number and float(value).is_integer()) or kind == "number" and not number:
+    if kind == "integer" and not (number and (isinstance(value, int) or value.is_integer())) or kind == "number" and not number:
         return f"{at}: not {kind}"
     if kind in TYPES and not isinstance(value, TYPES[kind]):
         return f"{at}: not {kind}"
@@ -69,25 +73,36 @@ def canonical(value: Any) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def escaped(text: str) -> str:
+    """``text`` with halves of surrogate pairs as escapes, as no UTF-8 text can hold them."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def message(call_id: str | None, name: str | None, arguments: str | None, result: str | None, schema: dict | None) -> tuple[str, str | None]:
     """(canonical JSON of the linked call, error or None)."""
-    parsed: Any = None
+    parsed, raw = None, False
     try:
         parsed = json.loads(arguments) if arguments is not None else None
         error = "arguments: none" if parsed is None else "arguments: not an object" if not isinstance(parsed, dict) else None
     except ValueError:
-        error = "arguments: not JSON"
+        error, raw = "arguments: not JSON", True
+    except RecursionError:
+        error, raw = "arguments: nested too deep", True
     if name is None:
         error = "no call"
     elif schema is None:
         error = "unknown tool"
     elif error is None:
         error = schema_error(parsed, schema)
-    body = {"type": "tool_call", "id": call_id, "name": name, "arguments": parsed if error != "arguments: not JSON" else arguments, "result": result}
-    return canonical(body), error
+    body = {"type": "tool_call", "id": call_id, "name": name, "arguments": arguments if raw else parsed, "result": result}
+    try:
+        text = canonical(body)
+    except RecursionError:
+        text, error = canonical(body | {"arguments": arguments}), error or "arguments: nested too deep"
+    return text, error and escaped(error)
 
 
 def depths(calls: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -116,7 +131,7 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict])
     got = results.filter(real).groupBy(*key).agg(F.min("content").alias("result"), F.lit(True).alias("answered"))
     lost = calls.filter(~real).select(*key, "name", "arguments", F.lit(None).cast("string").alias("after"), F.lit(1).cast("long").alias("copies"), F.lit(None).cast("string").alias("result"), F.lit(False).alias("linked"), F.lit(0).cast("long").alias("depth"), F.lit("no id").alias("trouble"))
     rows = one.withColumn("called", F.lit(True)).join(got, key, "full").join(depths(one), key, "left")
-    dangling = rows.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("found")).filter("after IS NOT NULL")
+    dangling = one.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("found"))
     rows = rows.join(dangling, ["conv_id", "after"], "left")
     trouble = F.when(F.col("depth") < 0, "after: cycle").when(F.col("after").isNotNull() & F.col("found").isNull(), "after: no such call")
     rows = rows.select(*key, "name", "arguments", "after", F.coalesce("copies", F.lit(0)).alias("copies"), "result", F.coalesce(F.col("called") & F.col("answered"), F.lit(False)).alias("linked"), F.coalesce("depth", F.lit(0)).alias("depth"), trouble.alias("trouble"))
