@@ -67,13 +67,17 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dims: int = 64) -> Dat
     """(id, embedding) natively: distinct lower-case 3-grams, md5 byte 0 picks the dimension, the
     parity of byte 1 the sign; scaled to unit length."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    grams = F.when(F.length("low") > 2, F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3)))).when(F.length("low") > 0, F.array("low")).otherwise(F.array().cast("array<string>"))
-    rows = df.select(F.col(id_col).alias("id"), low.alias("low")).select("id", F.explode(F.array_distinct(grams)).alias("g")).select("id", F.md5("g").alias("h"))
+    # Characters once, then three neighbours each: a substring by position would count from the start each time.
+    three = F.transform(F.sequence(F.lit(0), F.size("chars") - 3), lambda i: F.concat(F.get("chars", i), F.get("chars", i + 1), F.get("chars", i + 2)))
+    grams = F.when(F.size("chars") > 2, three).when(F.length("low") > 0, F.array("low")).otherwise(F.array().cast("array<string>"))
+    rows = df.select(F.col(id_col).alias("id"), low.alias("low")).repartition("id").withColumn("chars", F.split("low", "")).select("id", F.explode(F.array_distinct(grams)).alias("g")).select("id", F.md5("g").alias("h"))
     digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring("h", k, 1)) - 1
     dim = ((digit(1) * 16 + digit(2)) % dims).alias("dim")
     sign = F.when(digit(4) % 2 == 0, 1.0).otherwise(-1.0).alias("s")
-    # One partial sum a dimension inside one aggregate: the grams never leave their task unsummed.
-    sums = rows.select("id", dim, sign).groupBy("id").agg(*[F.sum(F.when(F.col("dim") == k, F.col("s")).otherwise(0.0)).alias(f"d{k}") for k in range(dims)])
+    # Texts are dealt by id first: both sums then run where an id's grams are made, and the 64 sums
+    # see one row a dimension instead of one a gram.
+    by_dim = rows.select("id", dim, sign).groupBy("id", "dim").agg(F.sum("s").alias("s"))
+    sums = by_dim.groupBy("id").agg(*[F.sum(F.when(F.col("dim") == k, F.col("s")).otherwise(0.0)).alias(f"d{k}") for k in range(dims)])
     norm = F.sqrt(sum((F.col(f"d{k}") * F.col(f"d{k}") for k in range(1, dims)), F.col("d0") * F.col("d0")))
     vec = sums.select("id", F.array(*[F.col(f"d{k}") for k in range(dims)]).alias("v"), norm.alias("n"))
     vec = vec.select("id", F.when(F.col("n") > 0, F.transform("v", lambda x: x / F.col("n"))).otherwise(F.col("v")).alias("embedding"))
