@@ -203,7 +203,7 @@ class _Block:
             yield from self._compact(False)
 
     def _best(self, src: np.ndarray, of: np.ndarray, rooms: np.ndarray, dst: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
-        kept = _top(of, rooms, dst, score)
+        kept = best_places(of, rooms, dst, score)
         if len(kept):
             yield self._rows(src[kept], dst[kept], score[kept])
 
@@ -211,7 +211,7 @@ class _Block:
         if not self.found:
             return
         own, dst, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        kept = _top(own, self.rooms, dst, score)
+        kept = best_places(own, self.rooms, dst, score)
         own, dst, score = own[kept], dst[kept], score[kept]
         full = np.bincount(own, minlength=len(self.ids)) >= self.rooms
         worst = np.full(len(self.ids), np.inf)
@@ -233,7 +233,7 @@ class _Block:
         yield from self._compact(True)
 
 
-def _top(of: np.ndarray, rooms: np.ndarray, dst: np.ndarray, score: np.ndarray) -> np.ndarray:
+def best_places(of: np.ndarray, rooms: np.ndarray, dst: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Places of each row's best partners, at most its room: by score, ties by the partner."""
     if not len(of):
         return np.zeros(0, int)

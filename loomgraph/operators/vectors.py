@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import plain
 from ..sources.corpus import append_cache
 from ..sources.scratch import written
-from .cells import cell_pairs
+from .cells import best_places, cell_pairs
 
 PLACES = 4  # scores are rounded before they are ranked or compared
 QUERY_BLOCK = 2048  # query vectors broadcast at a time
@@ -96,8 +96,24 @@ def _unit(rows: list) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
-    """(q_id, item_id, score, rank): the k best items of each query by cosine, ties by item.
+def _items_with_skips(items: DataFrame, skip: DataFrame | None) -> DataFrame:
+    """Items with vectors, and with the queries (null: none) that must not find them."""
+    rows = items.select("item_id", "embedding").filter(F.size("embedding") > 0)
+    if skip is None:
+        return rows.withColumn("skips", F.lit(None).cast("array<string>"))
+    return rows.join(skip.select("q_id", "item_id").groupBy("item_id").agg(F.collect_set("q_id").alias("skips")), "item_id", "left")
+
+
+def _hide(score: np.ndarray, skips: list, at: dict) -> None:
+    """Scores of (item, query) pairs to be left out, below any cosine."""
+    for i, names in enumerate(skips):
+        if names is not None and len(names):
+            score[i, [at[q] for q in names if q in at]] = -9.0
+
+
+def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, exclude_self: bool = False, skip: DataFrame | None = None) -> DataFrame:
+    """(q_id, item_id, score, rank): the k best items of each query by cosine, ties by item; pairs in
+    ``skip`` (q_id, item_id) are left out where they are scored, so none of them takes a place.
 
     Queries are taken in blocks of a stated size, each broadcast against all items; every task
     keeps its own k best a query, so only those are shuffled."""
@@ -106,47 +122,62 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, exclude_self:
     blocks = max(1, -(-n // QUERY_BLOCK))
     kinds = {f.name: f.dataType.simpleString() for f in items.schema} | {f"q_{f.name}": f.dataType.simpleString() for f in queries.schema}
     schema = f"q_id {kinds['q_q_id']}, item_id {kinds['item_id']}, score double"
+    rows = _items_with_skips(items, skip)
     found: DataFrame | None = None
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) if blocks > 1 else queries
         shared = spark.sparkContext.broadcast([(r["q_id"], list(r["embedding"] or [])) for r in part.select("q_id", "embedding").collect()])
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names = [q for q, _ in shared.value]
+            names = np.array([q for q, _ in shared.value], dtype=object)
             q = _unit([v for _, v in shared.value])
-            held: list[pd.DataFrame] = []
-            for b in batches:
-                ids = b["item_id"].to_numpy()
-                v = _unit(b["embedding"].tolist())
-                if not len(names) or v.shape[1] != q.shape[1]:
-                    continue
-                score = np.round(v @ q.T, PLACES)
-                for j, name in enumerate(names):
-                    s = score[:, j]
-                    if len(s) > k:
-                        cut = np.partition(s, -k - int(exclude_self))[-k - int(exclude_self)] if len(s) > k + int(exclude_self) else s.min()
-                        near = np.flatnonzero(s >= cut)
-                    else:
-                        near = np.arange(len(s))
+            at = {x: j for j, x in enumerate(names.tolist())}
+            least, rooms = np.full(len(names), -1.5), np.full(len(names), k)
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def packed() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                of, dst, score = (np.concatenate(x) for x in zip(*held, strict=True))
+                kept = best_places(of, rooms, dst, score)
+                of, dst, score = of[kept], dst[kept], score[kept]
+                worst = np.full(len(names), np.inf)
+                np.minimum.at(worst, of, score)
+                full = np.bincount(of, minlength=len(names)) >= k
+                least[full] = worst[full]
+                return [(of, dst, score)]
+
+            for batch in batches:
+                for s in range(0, len(batch), 1024):
+                    b = batch.iloc[s : s + 1024]
+                    ids, v = b["item_id"].to_numpy(dtype=object), _unit(b["embedding"].tolist())
+                    if not len(names) or v.shape[1] != q.shape[1]:
+                        continue
+                    score = np.round(v @ q.T, PLACES)
+                    _hide(score, b["skips"].tolist(), at)
                     if exclude_self:
-                        near = near[ids[near] != name]
-                    held.append(pd.DataFrame({"q_id": name, "item_id": ids[near], "score": s[near]}))
+                        _hide(score, [[x] for x in ids], at)
+                    cut = np.maximum(least, np.partition(score, len(score) - k, axis=0)[len(score) - k]) if len(score) > k else least
+                    i, j = np.nonzero((score >= cut) & (score > -2))
+                    held.append((j, ids[i], score[i, j]))
+                    if sum(len(x[0]) for x in held) > 500_000:
+                        held[:] = packed()
             if held:
-                all_ = pd.concat(held).sort_values(["q_id", "score", "item_id"], ascending=[True, False, True])
-                yield plain(all_.groupby("q_id", sort=False).head(k))
+                of, dst, score = packed()[0]
+                yield plain(pd.DataFrame({"q_id": names[of], "item_id": dst, "score": score}))
 
-        part_found = items.select("item_id", "embedding").filter(F.size("embedding") > 0).mapInPandas(run, schema)
+        part_found = rows.mapInPandas(run, schema)
         found = part_found if found is None else found.unionByName(part_found)
     best = W.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("item_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def best_queries(queries: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
+def best_queries(queries: DataFrame, items: DataFrame, k: int, threshold: float, skip: DataFrame | None = None) -> DataFrame:
     """(item_id, q_id, score): the k best queries of each item at the threshold or above, ties by
-    query. Queries are broadcast in blocks of a stated size; an item is scored where it lies and
-    sends k rows a block at most."""
+    query; pairs in ``skip`` (q_id, item_id) are left out where they are scored. Queries are
+    broadcast in blocks of a stated size; an item is scored where it lies and sends k rows a
+    block at most."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     kinds = items.schema["item_id"].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()
+    rows = _items_with_skips(items, skip)
     found: DataFrame | None = None
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) if blocks > 1 else queries
@@ -156,17 +187,19 @@ def best_queries(queries: DataFrame, items: DataFrame, k: int, threshold: float)
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names = np.array([q for q, _ in shared.value], dtype=object)
             q = _unit([v for _, v in shared.value])
+            at = {x: j for j, x in enumerate(names.tolist())}
             for b in batches:
                 v = _unit(b["embedding"].tolist())
                 if not len(names) or v.shape[1] != q.shape[1]:
                     continue
                 score = np.round(v @ q.T, PLACES)
+                _hide(score, b["skips"].tolist(), at)
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # names are in order: so are ties
                 value = np.take_along_axis(score, top, 1)
-                i, j = np.nonzero(value >= threshold)
+                i, j = np.nonzero((value >= threshold) & (value > -2))
                 yield plain(pd.DataFrame({"item_id": b["item_id"].to_numpy()[i], "q_id": names[top[i, j]], "score": value[i, j]}))
 
-        part_found = items.select("item_id", "embedding").filter(F.size("embedding") > 0).mapInPandas(run, f"item_id {kinds[0]}, q_id {kinds[1]}, score double")
+        part_found = rows.mapInPandas(run, f"item_id {kinds[0]}, q_id {kinds[1]}, score double")
         found = part_found if found is None else found.unionByName(part_found)
     best = W.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("q_id"))
     return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
