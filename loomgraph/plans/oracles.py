@@ -169,6 +169,12 @@ PARTS["grams_flat"] = PARTS["grams"].replace("secu", f"(SELECT * REPLACE (replac
 PARTS["vectors_flat"] = PARTS["vectors"].replace("FROM grams", "FROM grams_flat")
 PARTS["inferred_flat"] = PARTS["inferred"].replace("FROM vectors", "FROM vectors_flat").replace("JOIN vectors", "JOIN vectors_flat")
 
+# The same over the second version of the notes.
+PARTS["backs2"] = PARTS["backs"].replace("FROM links", "FROM links2")
+PARTS["grams_flat2"] = PARTS["grams"].replace("secu", f"(SELECT * REPLACE (replace(text, {NL}, ' ') AS text) FROM secu2)")
+PARTS["vectors_flat2"] = PARTS["vectors"].replace("secu", "secu2").replace("FROM grams", "FROM grams_flat2")
+PARTS["inferred_flat2"] = PARTS["inferred"].replace("FROM vectors", "FROM vectors_flat2").replace("JOIN vectors", "JOIN vectors_flat2").replace("FROM links", "FROM links2")
+
 
 def _profile(target: int) -> str:
     """The notes of a profile with so many sampled ones, each with its number of excerpt words."""
@@ -352,6 +358,8 @@ FINAL |= {
     "f9_parse_purposes": "SELECT folder, 'notes of ' || folder AS purpose FROM asked_folders",
     "f10_match_folder_in_question": "SELECT q_id, folder FROM folder_hits",
     "f11_resolve_purposes": "SELECT folder, CASE WHEN length(q_id) % 2 = 0 THEN 'collected notes' ELSE 'plain x notes' END AS purpose FROM folder_hits QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(q_id) DESC) = 1",
+    "i5_update_edges": "SELECT * FROM links2 UNION ALL SELECT * FROM backs2 UNION ALL SELECT * FROM inferred_flat2",
+    "i7_index_edges": "SELECT * FROM edges UNION ALL SELECT * FROM inferred_flat",
     "i5_apply_update": "SELECT node_key, content_hash FROM secu2",
     "k7_profile_cache": """
         SELECT n.path, f.path IS NOT NULL AS hit, CAST(coalesce(f.n_words, len(list_filter(regexp_split_to_array(regexp_replace(n.content, '^---\\n[^\\n]*\\n---\\n', ''), '\\s+'), lambda w: w <> ''))) AS INTEGER) AS n_words

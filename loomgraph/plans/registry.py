@@ -546,6 +546,15 @@ def i5_apply_update(t):
     return apply_update(index, t.notes2().select("path", "content"))["sections"].select("node_key", "content_hash")
 
 
+@query
+def i5_update_edges(t):
+    """All edges of the updated index: those of an index of the second notes alone."""
+    from .build import apply_update, build_index
+
+    index = build_index(t.notes().select("path", "content"))
+    return apply_update(index, t.notes2().select("path", "content"))["edges"].select("src_key", "dst_key", "kind", "weight")
+
+
 @query
 def i6_apply_journal(t):
     from .build import apply_journal, build_index
@@ -557,6 +566,13 @@ def i6_apply_journal(t):
     return apply_journal(index, journal, t.notes2().select("path", "content"))["files"].select("file_id", "content_hash")
 
 
+@query
+def i7_index_edges(t):
+    from .build import build_index
+
+    return build_index(t.notes().select("path", "content"))["edges"].select("src_key", "dst_key", "kind", "weight")
+
+
 @query
 def i7_build_index(t):
     from .build import build_index
