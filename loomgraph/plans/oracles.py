@@ -176,6 +176,20 @@ PARTS["vectors_flat2"] = PARTS["vectors"].replace("secu", "secu2").replace("FROM
 PARTS["inferred_flat2"] = PARTS["inferred"].replace("FROM vectors", "FROM vectors_flat2").replace("JOIN vectors", "JOIN vectors_flat2").replace("FROM links", "FROM links2")
 
 
+PARTS["told"] = f"""
+SELECT community_id, string_agg('### ' || coalesce(nullif(heading_path, ''), node_key) || {NL} || text, {NL} || {NL} ORDER BY node_key) AS report FROM (
+  SELECT m.community_id, s.*, sum(ceil(length(s.text) / 4.0)) OVER (PARTITION BY m.community_id ORDER BY s.node_key ROWS UNBOUNDED PRECEDING) AS run FROM secu s JOIN members m ON m.section_key = s.node_key)
+WHERE run <= 300 GROUP BY community_id"""
+PARTS["told_grams"] = """
+SELECT community_id, unnest(list_distinct(list_transform(range(1, length(t) - 1), lambda k: substring(t, k, 3)))) AS g FROM (SELECT community_id, lower(trim(replace(report, chr(10), ' '))) AS t FROM told)"""
+PARTS["told_vectors"] = PARTS["asked_vectors"].replace("asked_grams", "told_grams").replace("questions", "told").replace("q_id", "community_id")
+
+PARTS["inbox_notes"] = "SELECT path AS unit_id, body FROM notes WHERE starts_with(path, 'en/src8/')"
+PARTS["inbox_grams"] = """
+SELECT unit_id, unnest(CASE WHEN length(t) > 2 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda k: substring(t, k, 3))) ELSE [t] END) AS g FROM (SELECT unit_id, lower(trim(replace(body, chr(10), ' '))) AS t FROM inbox_notes)"""
+PARTS["inbox_vectors"] = PARTS["asked_vectors"].replace("asked_grams", "inbox_grams").replace("questions", "inbox_notes").replace("q_id", "unit_id")
+
+
 def _profile(target: int) -> str:
     """The notes of a profile with so many sampled ones, each with its number of excerpt words."""
     return f"""
@@ -253,6 +267,14 @@ FINAL: dict[str, str] = {
     "g11_hybrid_search": "SELECT q_id, node_key, score, tier, rank FROM hybrid5",
     "g12_verify_batch": """WITH hits AS (SELECT h.q_id, h.node_key, h.rank, substring(s.text, 1, 200) AS snippet, row_number() OVER (ORDER BY h.q_id DESC, h.rank DESC) <= 6 AS evidence FROM hybrid3 h JOIN secu s USING (node_key) WHERE h.rank <= 3)
         SELECT q.q_id, h.node_key, h.rank, h.snippet, coalesce(h.evidence, FALSE) AS evidence FROM questions q LEFT JOIN hits h ON h.q_id = q.q_id""",
+    "p2_score_candidates": """SELECT unit_id, node_key, score, verdict FROM (
+          SELECT *, CASE WHEN split_part(node_key, '::', 1) = unit_id THEN 'self' WHEN score >= 0.97 THEN 'near_dup' ELSE 'eligible' END AS verdict FROM (
+            SELECT u.unit_id, v.node_key, round(list_dot_product(u.embedding, v.embedding), 4) AS score FROM inbox_vectors u, vectors v QUALIFY row_number() OVER (PARTITION BY u.unit_id ORDER BY score DESC, v.node_key) <= 15))
+        WHERE verdict <> 'self' QUALIFY verdict = 'near_dup' OR row_number() OVER (PARTITION BY unit_id, verdict ORDER BY score DESC, node_key) <= 5""",
+    "c12_global_search": f"""WITH routed AS (SELECT q_id, len(toks) = 0 OR {" OR ".join(f"contains(lower(question), '{m}')" for m in OVERVIEW_MARKERS)} AS overview FROM tokens),
+        best AS (SELECT q.q_id, t.community_id, row_number() OVER (PARTITION BY q.q_id ORDER BY round(list_dot_product(a.embedding, t.embedding), 4) DESC, t.community_id) AS r FROM routed q JOIN asked_vectors a USING (q_id), told_vectors t WHERE q.overview QUALIFY r <= 3),
+        packed AS (SELECT b.q_id, string_agg('## ' || l.label || {NL} || t.report, {NL} || {NL} ORDER BY b.r) AS context, count(*) AS n FROM best b JOIN told t USING (community_id) JOIN (SELECT community_id, min(section_key) AS label FROM members GROUP BY community_id) l USING (community_id) GROUP BY b.q_id)
+        SELECT q.q_id, CASE WHEN q.overview AND p.context IS NOT NULL THEN 'global' ELSE 'local' END AS mode, sha1(coalesce(p.context, '')) AS context_hash, coalesce(p.n, 0) AS n_reports FROM routed q LEFT JOIN packed p USING (q_id)""",
     "n9_extraction_batches": """WITH RECURSIVE sized AS (SELECT file_id, node_key, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tok FROM secu),
         cut AS (SELECT *, sum(tok) OVER (PARTITION BY file_id ORDER BY node_key ROWS UNBOUNDED PRECEDING) AS run FROM sized),
         filed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY file_id) AS i, CAST(sum(tok) AS BIGINT) AS t FROM cut WHERE run <= 3000 GROUP BY file_id),
