@@ -110,7 +110,8 @@ def ground_extractions(parsed: tuple[DataFrame, DataFrame], sections: DataFrame)
     kept = mentions.select("name").distinct().join(kinds, "name")
     rows = kept.select(short_key(F.col("name")).alias("entity_id"), "name", F.concat(F.lit("llm:"), normalize_type(F.col("type"))).alias("type"))
     pairs = mentions.join(kept.select("name"), "name", "left_semi").select("section_key", short_key(F.col("name")).alias("entity_id")).distinct()
-    return rows.dropDuplicates(["entity_id"]), pairs, mentions
+    one = rows.groupBy("entity_id").agg(F.min(F.struct("name", "type")).alias("m")).select("entity_id", "m.name", "m.type")  # names that differ by case
+    return one, pairs, mentions
 
 
 def refresh_mentions(entities: DataFrame, changed: DataFrame, existing: DataFrame) -> DataFrame:

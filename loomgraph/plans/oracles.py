@@ -189,6 +189,17 @@ PARTS["inbox_grams"] = """
 SELECT unit_id, unnest(CASE WHEN length(t) > 2 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda k: substring(t, k, 3))) ELSE [t] END) AS g FROM (SELECT unit_id, lower(trim(replace(body, chr(10), ' '))) AS t FROM inbox_notes)"""
 PARTS["inbox_vectors"] = PARTS["asked_vectors"].replace("asked_grams", "inbox_grams").replace("questions", "inbox_notes").replace("q_id", "unit_id")
 
+# Extractions that the fixtures make of assistant turns, the sections that mention their names, and the entities kept.
+PARTS["llm_words"] = "SELECT conv_id || '-' || turn AS batch_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) > 3) AS w FROM conversations WHERE role = 'assistant'"
+PARTS["llm_names"] = "SELECT batch_id, name FROM (SELECT DISTINCT batch_id, unnest(w) AS name FROM llm_words) QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY name) <= 30"
+PARTS["llm_ends"] = """
+SELECT batch_id, src, dst FROM (SELECT DISTINCT batch_id, w[i] AS src, coalesce(w[i + 1], w[i]) AS dst FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM llm_words)) WHERE src <> dst
+QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY src, dst) <= 30"""
+PARTS["llm_asked"] = "SELECT DISTINCT name, lower(name) AS needle FROM (SELECT name FROM llm_names UNION ALL SELECT src FROM llm_ends UNION ALL SELECT dst FROM llm_ends)"
+PARTS["llm_met"] = "SELECT n.name, s.node_key AS section_key FROM llm_asked n JOIN secu s ON contains(lower(s.heading_path || ' ' || s.text), n.needle)"
+PARTS["llm_kept"] = "SELECT substr(md5(lower(name)), 1, 16) AS entity_id, min(name) AS name FROM (SELECT DISTINCT name FROM llm_names WHERE name IN (SELECT name FROM llm_met)) GROUP BY 1"
+PARTS["llm_near"] = "SELECT name, list_slice(list(section_key ORDER BY section_key), 1, 5) AS ks FROM llm_met GROUP BY name"
+
 
 def _profile(target: int) -> str:
     """The notes of a profile with so many sampled ones, each with its number of excerpt words."""
@@ -267,6 +278,12 @@ FINAL: dict[str, str] = {
     "g11_hybrid_search": "SELECT q_id, node_key, score, tier, rank FROM hybrid5",
     "g12_verify_batch": """WITH hits AS (SELECT h.q_id, h.node_key, h.rank, substring(s.text, 1, 200) AS snippet, row_number() OVER (ORDER BY h.q_id DESC, h.rank DESC) <= 6 AS evidence FROM hybrid3 h JOIN secu s USING (node_key) WHERE h.rank <= 3)
         SELECT q.q_id, h.node_key, h.rank, h.snippet, coalesce(h.evidence, FALSE) AS evidence FROM questions q LEFT JOIN hits h ON h.q_id = q.q_id""",
+    "n6_ground_extractions": "SELECT entity_id, name, 'llm:term_kind' AS type FROM llm_kept",
+    "n7_refresh_mentions": """SELECT DISTINCT section_key, substr(md5(lower(name)), 1, 16) AS entity_id FROM llm_met WHERE name IN (SELECT name FROM llm_names)
+        UNION SELECT s.node_key, k.entity_id FROM llm_kept k JOIN secu2 s ON contains(lower(s.heading_path || ' ' || s.text), lower(k.name))""",
+    "g5_semantic_edges": """SELECT DISTINCT src_key, dst_key, 'semantic:next_to' AS kind, 1.0::DOUBLE AS weight FROM (
+          SELECT * FROM (SELECT src, dst, src_key, unnest(ks) AS dst_key FROM (SELECT r.src, r.dst, unnest(a.ks) AS src_key, b.ks FROM (SELECT DISTINCT src, dst FROM llm_ends) r JOIN llm_near a ON a.name = r.src JOIN llm_near b ON b.name = r.dst)) WHERE src_key <> dst_key
+          QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY src_key, dst_key) <= 4)""",
     "p2_score_candidates": """SELECT unit_id, node_key, score, verdict FROM (
           SELECT *, CASE WHEN split_part(node_key, '::', 1) = unit_id THEN 'self' WHEN score >= 0.97 THEN 'near_dup' ELSE 'eligible' END AS verdict FROM (
             SELECT u.unit_id, v.node_key, round(list_dot_product(u.embedding, v.embedding), 4) AS score FROM inbox_vectors u, vectors v QUALIFY row_number() OVER (PARTITION BY u.unit_id ORDER BY score DESC, v.node_key) <= 15))
