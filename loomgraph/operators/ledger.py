@@ -2,25 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+UNIT = 10_000  # scores are kept in whole steps of their fourth decimal
+RUN = 12  # bits of the position in a task's sorted rows that one merge takes together
+
+
+def _clamped(x: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(UNIT), x)).cast("long")
+
+
+def _then(a: Column, b: Column, fields: list[str]) -> Column:
+    """What ``a`` and after it ``b`` do. Each is a stretch of steps: the score after it is the score
+    before, shifted and held between two bounds; so is that of the two together. A stretch with a
+    delete forgets what was before it."""
+    held = lambda x: F.greatest(b["low"], F.least(b["high"], x + b["shift"]))
+    both = {
+        "deleted": a["deleted"],
+        "n": a["n"] + b["n"],
+        "low": held(a["low"]),
+        "high": held(a["high"]),
+        "shift": a["shift"] + b["shift"],
+        "evidence": F.concat(a["evidence"], b["evidence"]),
+        "contradicts": F.array_union(a["contradicts"], b["contradicts"]),
+        "assumption": F.coalesce(a["assumption"], b["assumption"]),
+        "created_at": F.when(a["n"] > 0, a["created_at"]).otherwise(b["created_at"]),
+    }
+    return F.when(b["deleted"], b).otherwise(F.struct(*[both[f].alias(f) for f in fields]))
+
+
 def fold_ledger(events: DataFrame, confirm: float = 0.8, refute: float = 0.0) -> DataFrame:
-    """(run_id, id, assumption, score, status, evidence, contradicts, created_at) from events
+    """(run_id, id, score, evidence, contradicts, assumption, created_at, status) from events
     (run_id, id, seq, op add/score/delete, amount, assumption, evidence, contradicts, ts). The
-    score is clamped to 0..1 and rounded to 4 places after each step, so it is a fold in ``seq``
-    order; an id lives from its last ``add`` and not at all after a ``delete``."""
-    cut = F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(W.partitionBy("run_id", "id"))
-    live = events.withColumn("cut", cut).filter("cut IS NULL OR seq > cut")
-    step = F.struct("seq", "op", F.coalesce("amount", F.lit(0.0)).alias("amount"), "evidence", "contradicts", "assumption", "ts")
-    rows = live.groupBy("run_id", "id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(x, 4)))
-    score = F.aggregate("steps", F.lit(0.5), lambda s, e: F.when(e["op"] == "add", clamp(F.coalesce(e["amount"], F.lit(0.5)))).otherwise(clamp(s + e["amount"])))
+    score is clamped to 0..1 and rounded to 4 places after each step, in ``seq`` order, from 0.5; an
+    ``add`` sets it, and an id lives from after its last ``delete``. Steps with the same ``seq`` of an id
+    follow in the order of op, amount and the rest. A null or NaN amount
+    is 0 (0.5 for ``add``).
+
+    A step is (low, high, shift) in whole ten-thousandths, and so is any stretch of steps, so stretches
+    are merged without their steps: rows are ranged by id and order, an id with a third of all
+    rows over many tasks, and at most 4,096 stretches meet in one group until the last merge,
+    which has one or two a task. Evidence, being a list in the result, is carried in full."""
+    adds, dead = F.col("op").eqNullSafe("add"), F.col("op").eqNullSafe("delete")
+    told = F.nanvl(F.col("amount").cast("double"), F.lit(None).cast("double"))
+    given = F.coalesce(told, F.when(adds, 0.5).otherwise(0.0))
+    # a shift of twice the whole range says as much as any larger one
+    shift = F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("amount"))).cast("decimal(28,12)") * UNIT + F.lit("0.5").cast("decimal(2,1)")).cast("long")
+    step = events.select("run_id", "id", "seq", "op", given.alias("amount"), "assumption", "evidence", F.col("contradicts").cast("array<string>").alias("contradicts"), "ts")
+    order = ["run_id", "id", "seq", "op", "amount", "assumption", "evidence", "contradicts", "ts"]
+    rows = step.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    none = F.array().cast("array<string>")
+    listed = lambda when, value: F.when(when, value).otherwise(none)
+    part = {
+        "deleted": dead,
+        "n": F.when(dead, 0).otherwise(1).cast("long"),
+        "low": F.when(dead, 0).when(adds, _clamped(shift)).otherwise(0).cast("long"),
+        "high": F.when(dead, UNIT).when(adds, _clamped(shift)).otherwise(UNIT).cast("long"),
+        "shift": F.when(dead | adds, 0).otherwise(shift).cast("long"),
+        "evidence": listed(~dead & F.col("evidence").isNotNull(), F.array("evidence")),
+        "contradicts": listed(~dead & F.col("contradicts").isNotNull(), F.array_distinct("contradicts")),
+        "assumption": F.when(~dead, F.col("assumption")),
+        "created_at": F.when(~dead, F.col("ts")),
+    }
+    fields = list(part)
+    start = F.struct(
+        F.lit(False).alias("deleted"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("low"), F.lit(UNIT).cast("long").alias("high"), F.lit(0).cast("long").alias("shift"),
+        none.alias("evidence"), none.alias("contradicts"), F.lit(None).cast("string").alias("assumption"), F.lit(None).cast(events.schema["ts"].dataType).alias("created_at"),
+    )
+    merged = rows.select("run_id", "id", "at", F.struct(*[c.alias(f) for f, c in part.items()]).alias("part"))
+    for bits in (RUN, RUN, None):
+        keys = ["run_id", "id"] if bits is None else ["run_id", "id", F.shiftright("at", bits).alias("run")]
+        listing = F.array_sort(F.collect_list(F.struct("at", "part")))
+        grouped = merged.groupBy(*keys).agg(listing.alias("parts"))
+        whole = F.aggregate("parts", start, lambda a, x: _then(a, x["part"], fields)).alias("part")
+        merged = grouped.select("run_id", "id", whole) if bits is None else grouped.select("run_id", "id", F.col("run").alias("at"), whole)
+    p = lambda f: F.col("part")[f]
+    # from 0.5; the bounds of the whole have the last word
+    score = (F.greatest(p("low"), F.least(p("high"), p("shift") + UNIT // 2)) / F.lit(float(UNIT))).alias("score")
+    out = merged.filter(p("n") > 0).select("run_id", "id", score, *[p(f).alias(f) for f in ("evidence", "contradicts", "assumption", "created_at")])
     status = F.when(F.col("score") >= confirm, "confirmed").when(F.col("score") <= refute, "refuted").otherwise("open")
-    present = lambda name: F.filter(F.transform("steps", lambda e: e[name]), lambda v: v.isNotNull())
-    out = rows.select("run_id", "id", score.alias("score"), present("evidence").alias("evidence"), F.array_distinct(F.flatten(present("contradicts"))).alias("contradicts"), F.get(present("assumption"), F.lit(0)).alias("assumption"), F.col("steps")[0]["ts"].alias("created_at"))
     return out.withColumn("status", status)
 
 

@@ -244,6 +244,12 @@ def _lost(pattern: str) -> str:
     return f"list_sort(list_filter(list_distinct(regexp_extract_all(old, {pattern})), lambda x: NOT list_contains(regexp_extract_all(new, {pattern}), x)))"
 
 
+# Each file's latest verdict, which is the remainder of the event's number: 3 drops it, the others build it anew.
+_JUDGED = """
+    SELECT f.file_id, CASE WHEN v.seq IS NULL THEN f.content_hash ELSE coalesce(g.content_hash, f.content_hash) END AS content_hash
+    FROM files f JOIN notes n ON n.path = f.file_id LEFT JOIN (SELECT user_id, max(event_id) AS seq FROM events GROUP BY user_id) v ON v.user_id = n.doc_id LEFT JOIN files2 g ON g.file_id = f.file_id
+    WHERE v.seq IS NULL OR v.seq % 5 <> 3"""
+
 FINAL: dict[str, str] = {
     "s2_ignore_filter": "SELECT path FROM notes WHERE NOT (starts_with(regexp_replace(path, '^.*/', ''), 'moc-') OR path = 'fr/src1' OR path LIKE 'fr/src1/%' OR path LIKE '%9.md' OR path LIKE 'moc-%')",
     "s3_corpus_from_table": "SELECT 'pages/' || page_id || '.md' AS path, CAST(page_id AS VARCHAR) AS title, 'pages' AS folder, sha1(coalesce(html, '')) AS content_hash, 1 AS version FROM pages",
@@ -397,6 +403,19 @@ FINAL |= {
     "f9_parse_purposes": "SELECT folder, 'notes of ' || folder AS purpose FROM asked_folders",
     "f10_match_folder_in_question": "SELECT q_id, folder FROM folder_hits",
     "f11_resolve_purposes": "SELECT folder, CASE WHEN length(q_id) % 2 = 0 THEN 'collected notes' ELSE 'plain x notes' END AS purpose FROM folder_hits QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(q_id) DESC) = 1",
+    "s4_read_index": "SELECT node_key, content_hash, true AS unset FROM secu",
+    "s7_reset_index": "SELECT unnest(['files', 'sections', 'entities', 'section_entities', 'edges', 'communities', 'community_sections', 'community_reports', 'index_meta']) AS name, CAST(0 AS BIGINT) AS n_rows",
+    "s8_append_meta": "SELECT CAST(count(*) AS VARCHAR) AS vault_version, coalesce(lang, 'None') AS manifest_hash FROM documents GROUP BY lang",
+    "s9_read_journal": "SELECT unit_id, idempotency_key, 'pending' AS state FROM units WHERE unit_id LIKE '%8.md'",
+    "s10_embedding_cache": "SELECT CAST(vec_id AS VARCHAR) AS content_hash, CAST(len(embedding) AS INTEGER) AS dims, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE len(embedding) > 0",
+    "i6_apply_journal": _JUDGED,
+    "z1_stream_index": "SELECT * FROM links2 UNION ALL SELECT * FROM backs2 UNION ALL SELECT * FROM inferred_flat2",
+    "z2_stream_journal": _JUDGED,
+    "z3_stream_ledger": """
+        SELECT 'h' || user_id AS id, list_reduce(list_prepend(CAST(0.5 AS DOUBLE), list(amount ORDER BY ts, event_id)), lambda s, x: greatest(0.0, least(1.0, round(s + x, 4)))) AS score, count(*) AS n_steps
+        FROM (SELECT *, CAST(CASE event_type WHEN 'purchase' THEN 0.2 WHEN 'click' THEN 0.1 WHEN 'error' THEN -0.1 WHEN 'signup' THEN -0.3 ELSE 0 END AS DOUBLE) AS amount FROM events)
+        WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events) GROUP BY user_id""",
+    "z4_stream_pending_ttl": """SELECT event_type AS file_id, CAST(user_id AS VARCHAR) AS "user", max(epoch_us(ts)) // 1000 AS created_ms FROM events GROUP BY ALL HAVING max(epoch_us(ts)) // 1000 + 86400000 < (SELECT max(epoch_us(ts)) // 1000 - 60000 FROM events)""",
     "i5_update_edges": "SELECT * FROM links2 UNION ALL SELECT * FROM backs2 UNION ALL SELECT * FROM inferred_flat2",
     "i7_index_edges": "SELECT * FROM edges UNION ALL SELECT * FROM inferred_flat",
     "i5_apply_update": "SELECT node_key, content_hash FROM secu2",

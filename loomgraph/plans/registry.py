@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ..operators import text as T
 from ..operators import triage as P
 from ..operators import vectors as M
 from ..sources import corpus as R
-from ..sources.scratch import written
+from ..sources.scratch import scratch_path, written
 from . import oracles
 from .fixtures import Tables
 
@@ -51,6 +52,55 @@ def s3_corpus_from_table(t):
     return rows.select("path", "title", "folder", "content_hash", "version")
 
 
+@query
+def s4_read_index(t):
+    """A table of a written snapshot, which has all columns of its schema."""
+    folder = scratch_path(t.spark, "snapshot")
+    R.reset_index(t.spark, folder)
+    R.write_index(t.sections(), folder, "sections")
+    return R.read_index(t.spark, folder, "sections").select("node_key", "content_hash", F.col("embedding").isNull().alias("unset"))
+
+
+@query
+def s7_reset_index(t):
+    """Rows of each table once a snapshot that held the files was emptied."""
+    folder = scratch_path(t.spark, "snapshot")
+    R.write_index(t.files(), folder, "files")
+    R.reset_index(t.spark, folder)
+    counts = [R.read_index(t.spark, folder, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n in R.SCHEMAS]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def s8_append_meta(t):
+    """A stamp a language of the documents, its version the number of documents."""
+    folder = scratch_path(t.spark, "snapshot")
+    R.reset_index(t.spark, folder)
+    for r in t["documents"].groupBy("lang").count().collect():
+        R.append_meta(t.spark, folder, str(r["count"]), str(r["lang"]))
+    return R.read_index(t.spark, folder, "index_meta").select("vault_version", "manifest_hash")
+
+
+@query
+def s9_read_journal(t):
+    """Units of the inbox that are pending in a journal written in two parts."""
+    folder = scratch_path(t.spark, "journal")
+    units = P.units(t.notes(), t.inbox()).select("unit_id", "idempotency_key", F.when(F.col("unit_id").endswith("8.md"), "pending").otherwise("placed").alias("state"))
+    R.append_journal(units.filter("unit_id LIKE '%8.md'"), folder)
+    R.append_journal(units.filter("unit_id NOT LIKE '%8.md'"), folder)
+    return R.pending_units(R.read_journal(t.spark, folder)).select("unit_id", "idempotency_key", "state")
+
+
+@query
+def s10_embedding_cache(t):
+    """Vectors found under one of two stamps of a cache."""
+    folder = scratch_path(t.spark, "cache")
+    rows = t["embeddings"].select(F.col("vec_id").cast("string").alias("content_hash"), "embedding")
+    R.append_cache(rows, folder, "m", 64)
+    R.append_cache(rows.limit(0), folder, "other", 64)
+    return R.load_cache(t.spark, folder, "m", 64).select("content_hash", F.size("embedding").alias("dims"), F.col("embedding")[0].alias("first"))
+
+
 @query
 def s5_merge_replace(t):
     rows = t["events"].select("user_id", "event_type", F.col("event_id").alias("seq"), "value")
@@ -249,7 +299,7 @@ def v4_vector_topk(t):
 def v5_cached_embed(t):
     rows = t.sections()
     cache = M.embed(rows.filter("length(content_hash) > 0 AND content_hash < '8'").select("content_hash", "text").distinct(), "text").select("content_hash", "embedding")
-    return M.cached_embed(rows, cache).select("node_key", "content_hash", F.size("embedding").alias("dims"))
+    return M.cached_embed(rows, cache).select("node_key", "content_hash", F.col("embedding").isNull().alias("unset"))
 
 
 @query
@@ -555,15 +605,18 @@ def i5_update_edges(t):
     return apply_update(index, t.notes2().select("path", "content"))["edges"].select("src_key", "dst_key", "kind", "weight")
 
 
+def _verdicts(t: Tables) -> DataFrame:
+    verdict = F.element_at(F.array(*[F.lit(v) for v in ("append", "revise", "cleaned", "move", "new")]), (F.col("event_id") % 5 + 1).cast("int"))
+    files = t.notes().select("doc_id", F.col("path").alias("file_id"))
+    return t["events"].select(F.col("event_id").alias("seq"), F.col("user_id").alias("doc_id"), verdict.alias("verdict")).join(files, "doc_id")
+
+
 @query
 def i6_apply_journal(t):
     from .build import apply_journal, build_index
 
     index = build_index(t.notes().select("path", "content"))
-    verdict = F.element_at(F.array(*[F.lit(v) for v in ("append", "revise", "cleaned", "move", "new")]), (F.col("event_id") % 5 + 1).cast("int"))
-    files = t.notes().select("doc_id", F.col("path").alias("file_id"))
-    journal = t["events"].select(F.col("event_id").alias("seq"), F.col("user_id").alias("doc_id"), verdict.alias("verdict")).join(files, "doc_id")
-    return apply_journal(index, journal, t.notes2().select("path", "content"))["files"].select("file_id", "content_hash")
+    return apply_journal(index, _verdicts(t), t.notes2().select("path", "content"))["files"].select("file_id", "content_hash")
 
 
 @query
@@ -581,6 +634,75 @@ def i7_build_index(t):
     return index["edges"].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- streams -----------------------------------------------------------------------------
+
+
+def _live(t: Tables, folder: str, second: bool) -> None:
+    """A live index of the notes, then brought up to the second notes as rows of what differs."""
+    from ..streaming.live import stream_index
+
+    def landed(rows: DataFrame) -> None:
+        rows.select("path", "content").write.mode("append").parquet(f"{folder}/feed")
+        stream_index(t.spark, f"{folder}/feed", f"{folder}/index", f"{folder}/mark").awaitTermination()
+
+    notes = t.notes()
+    landed(notes)
+    if second:
+        both = notes.select("path", F.col("content").alias("was")).join(t.notes2().select("path", "content"), "path", "full")
+        landed(both.filter("NOT was <=> content"))
+
+
+@query
+def z1_stream_index(t):
+    """All edges of a live index after a second batch: those of an index of the second notes alone."""
+    from ..streaming.buckets import live_tables
+
+    folder = scratch_path(t.spark, "live")
+    _live(t, folder, True)
+    return live_tables(t.spark, f"{folder}/index")["edges"].select("src_key", "dst_key", "kind", "weight")
+
+
+@query
+def z2_stream_journal(t):
+    """The files of a live index after all verdicts of the journal, which land as JSON lines."""
+    from ..streaming.buckets import live_tables
+    from ..streaming.live import stream_journal
+
+    folder = scratch_path(t.spark, "live")
+    _live(t, folder, False)
+    entries = _verdicts(t).withColumn("idempotency_key", F.col("seq").cast("string")).withColumn("ts", F.lit("2024-01-01T00:00:00.000Z"))
+    entries.select("file_id", "verdict", "seq", "idempotency_key", "ts").write.json(f"{folder}/journal")
+    notes = t.notes2().select("path", "content")
+    stream_journal(t.spark, f"{folder}/journal", notes, f"{folder}/index", f"{folder}/mark2").awaitTermination()
+    return live_tables(t.spark, f"{folder}/index")["files"].select("file_id", "content_hash")
+
+
+def _event_stream(t: Tables, *columns) -> DataFrame:
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = t.spark.readStream.schema(t["events"].schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    return stream.select(*columns)
+
+
+@query
+def z3_stream_ledger(t):
+    """Each id's score over the events that the watermark has passed."""
+    from ..streaming.live import kept, stream_ledger
+
+    amount = F.when(F.col("event_type") == "purchase", 0.2).when(F.col("event_type") == "click", 0.1).when(F.col("event_type") == "error", -0.1).when(F.col("event_type") == "signup", -0.3).otherwise(0.0)
+    steps = _event_stream(t, F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("seq"), amount.alias("amount"))
+    rows = kept(stream_ledger(steps), scratch_path(t.spark, "scores"))
+    return rows.groupBy("id").agg(F.max_by("score", "total").alias("score"), F.max("total").alias("n_steps"))
+
+
+@query
+def z4_stream_pending_ttl(t):
+    """Proposals that expired: the newest of each kind and user, a day old at the watermark."""
+    from ..streaming.live import kept, stream_pending_ttl
+
+    rows = _event_stream(t, F.col("event_type").alias("file_id"), F.col("user_id").cast("string").alias("user"), F.col("ts").cast("timestamp").alias("created_at"))
+    return kept(stream_pending_ttl(rows, ttl_minutes=1440), scratch_path(t.spark, "expired"))
+
+
 # --- triage ------------------------------------------------------------------------------
 
 

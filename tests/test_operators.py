@@ -214,6 +214,44 @@ def test_ledger_clamps_each_step(spark):
     assert {r["run_id"]: r["action"] for r in L.clarification_trigger(status, runs, defer=True).collect()} == {"r": "mandatory", "s": "none"}
 
 
+def test_ledger_stretches_equal_a_plain_fold(spark):
+    """Random steps of many ids, one of which has half of all, in any partitioning."""
+    import math
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(5)
+    t = dt.datetime(2024, 1, 1)
+    amounts = [None, math.nan, 0.0, 0.1, -0.1, 0.25, -0.4, 0.00005, -0.00005, 3.0, -1e300]
+    rows, want = [], {}
+    for id_, n in [("hot", 9000), *((f"h{i}", rng.randrange(1, 60)) for i in range(150))]:
+        score, links, said, assumed, made = 5000, [], [], None, None
+        for seq in range(n):
+            op = rng.choices(["score", "add", "delete", None], [60, 2, 1, 1])[0]
+            amount = rng.choice(amounts)
+            link, word = ([f"h{rng.randrange(9)}"] if rng.random() < 0.1 else None), (f"e{seq}" if rng.random() < 0.1 else None)
+            rows.append(("r", id_, seq, op, amount, word, word, link, t + dt.timedelta(seconds=seq)))
+            if op == "delete":
+                score, links, said, assumed, made = 5000, [], [], None, None
+                continue
+            x = None if amount is None or math.isnan(amount) else amount
+            x = Decimal(repr((0.5 if op == "add" else 0.0) if x is None else max(-2.0, min(2.0, x)))) * 10000
+            score = max(0, min(10000, math.floor((0 if op == "add" else score) + x + Decimal("0.5"))))
+            links += [k for k in link or [] if k not in links]
+            said += [word] if word else []
+            assumed, made = assumed or word, made or rows[-1][-1]
+        if made:
+            want[id_] = (score / 10000, said, links, assumed, made)
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "run_id string, id string, seq int, op string, amount double, assumption string, evidence string, contradicts array<string>, ts timestamp")
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts == 1)  # the hot id in one task, then in several
+        got = {r["id"]: (r["score"], r["evidence"], r["contradicts"], r["assumption"], r["created_at"]) for r in L.fold_ledger(frame.repartition(parts)).collect()}
+        assert got == want
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert L.fold_ledger(frame.limit(0)).count() == 0
+
+
 def test_sources_round_trip(spark, tmp_path):
     (tmp_path / "v" / "a" / ".git").mkdir(parents=True)
     (tmp_path / "v" / "a" / "x.md").write_bytes(b"one\r\ntwo")
