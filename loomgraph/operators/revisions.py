@@ -164,86 +164,111 @@ def collapse_blank_runs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(kept, "\n").alias("content"))
 
 
-def _diff(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]]:
-    """Longest-common-subsequence line diff; deletions come first on ties."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, under = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            out.append(("same", i, j))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
-            out.append(("delete", i, None))
-            i += 1
-        else:
-            out.append(("insert", None, j))
-            j += 1
-    return out
-
-
-def _long_diff(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]]:
-    """The same steps as ``_diff``, with memory for some 2 * sqrt(len(a)) rows of its table: every
-    so many rows are kept, and those between are made again when the walk gets there."""
-    n, m = len(a), len(b)
-    every = max(1, int(n**0.5))
-
-    def above(i: int, under: list[int]) -> list[int]:
-        row = [0] * (m + 1)
-        for j in range(m - 1, -1, -1):
-            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
-        return row
-
-    row = [0] * (m + 1)
-    kept = {n: row}
-    for i in range(n - 1, -1, -1):
-        row = above(i, row)
-        if i % every == 0:
-            kept[i] = row
-    out, i, j, best, end = [], 0, 0, {}, 0
-    while i < n or j < m:
-        if i < n and i + 1 > end:
-            end = min(n, (i // every + 1) * every)
-            best = {end: kept[end]}
+class _Suffixes:
+    """Longest common subsequences of all suffixes of two lists of lines, a bit each: bit m - 1 - j
+    of row i is clear if line j adds one to what lines i.. of ``a`` share with lines j.. of ``b``.
+    A row follows from the one under it by a few operations on whole integers (bit-parallel
+    dynamic programming). Only every so many rows are kept, some sqrt(n); those between are made
+    again, a stretch at a time, as the walk comes down to them."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        self.a, self.n, self.m = a, len(a), len(b)
+        self.full = (1 << self.m) - 1
+        self.places: dict[str, list[int]] = {}
+        for j, x in enumerate(b):
+            self.places.setdefault(x, []).append(self.m - 1 - j)
+        self.masks: dict[str, int] = {}
+        self.every = max(1, int(self.n**0.5))
+        self.kept, row = {self.n: self.full}, self.full
+        for i in range(self.n - 1, -1, -1):
+            row = self._above(i, row)
+            if i % self.every == 0:
+                self.kept[i] = row
+        self.part: dict[int, int] = {}
+
+    def _mask(self, x: str) -> int:
+        at = self.places.get(x, ())
+        if len(at) < 64:  # few of these bits: set when asked for
+            return sum(1 << p for p in at)
+        if x not in self.masks:  # at most m / 64 lines are this frequent
+            digits = bytearray(self.m // 8 + 1)
+            for p in at:
+                digits[p >> 3] |= 1 << (p & 7)
+            self.masks[x] = int.from_bytes(digits, "little")
+        return self.masks[x]
+
+    def _above(self, i: int, row: int) -> int:
+        shared = row & self._mask(self.a[i])
+        return ((row + shared) | (row ^ shared)) & self.full
+
+    def rows(self, i: int) -> tuple[int, int]:
+        """Row i and the one under it."""
+        if i not in self.part or i + 1 not in self.part:
+            end = min(self.n, (i // self.every + 1) * self.every)
+            self.part = {end: self.kept[end]}
             for k in range(end - 1, i - 1, -1):
-                best[k] = above(k, best[k + 1])
-        if i < n and j < m and a[i] == b[j]:
+                self.part[k] = self._above(k, self.part[k + 1])
+        return self.part[i], self.part[i + 1]
+
+    def down(self, i: int, j: int) -> int:
+        """By how much the suffixes at (i, j) share more than those at (i + 1, j)."""
+        low = (1 << (self.m - j)) - 1
+        here, under = self.rows(i)
+        return (under & low).bit_count() - (here & low).bit_count()
+
+    def right(self, row: int, j: int) -> int:
+        return 1 - (row >> (self.m - 1 - j) & 1)
+
+
+def _diff(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]]:
+    """Line diff along a longest common subsequence: equal lines are taken wherever they meet, and
+    deletions come first on ties. Time is len(a) * len(b) bits, memory sqrt(len(a)) rows of
+    len(b) bits, for lists of any length."""
+    shared = _Suffixes(a, b)
+    out, i, j, gain = [], 0, 0, None
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
             out.append(("same", i, j))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
+            i, j, gain = i + 1, j + 1, None
+            continue
+        row, under = shared.rows(i)
+        gain = shared.down(i, j) if gain is None else gain
+        step = shared.right(row, j)
+        if gain <= step:
             out.append(("delete", i, None))
-            i += 1
+            i, gain = i + 1, None
         else:
             out.append(("insert", None, j))
-            j += 1
-    return out
+            j, gain = j + 1, gain - step + shared.right(under, j)
+    return out + [("delete", k, None) for k in range(i, len(a))] + [("insert", None, k) for k in range(j, len(b))]
+
+
+def _diff_lines(old: str | None, new: str | None) -> list[tuple[str, str]]:
+    a, b = ((t.split("\n") if t else []) for t in (old, new))
+    h, most = 0, min(len(a), len(b))
+    while h < most and a[h] == b[h]:
+        h += 1
+    x, y = a[h:], b[h:]
+    return [("same", s) for s in a[:h]] + [(o, x[i] if i is not None else y[j]) for o, i, j in _diff(x, y)]
 
 
-def line_diff(pairs: DataFrame, max_cells: int = 2_000_000) -> DataFrame:
-    """(doc_id, seq, op, line) of each pair (doc_id, old, new): equal ends are set aside, the rest
-    is diffed; where it exceeds ``max_cells`` the table is not held as a whole."""
+def line_diff(pairs: DataFrame, rows_out: int = 50_000) -> DataFrame:
+    """(doc_id, seq, op, line) of each pair (doc_id, old, new), one path for pairs of any length:
+    an equal begin is set aside (an equal end would change ties), the rest is diffed exactly. Some
+    ``rows_out`` lines are handed on together. A null or empty text has no lines."""
     kind = pairs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda out: pd.DataFrame(out, columns=["doc_id", "seq", "op", "line"])
+        out = []
         for rows in batches:
-            out = []
             for d, old, new in zip(rows["doc_id"], rows["old"], rows["new"], strict=True):
-                a, b = (old or "").split("\n"), (new or "").split("\n")
-                h = 0
-                while h < min(len(a), len(b)) and a[h] == b[h]:
-                    h += 1
-                t = 0
-                while t < min(len(a), len(b)) - h and a[-1 - t] == b[-1 - t]:
-                    t += 1
-                x, y = a[h : len(a) - t], b[h : len(b) - t]
-                steps = _diff(x, y) if len(x) * len(y) <= max_cells else _long_diff(x, y)
-                seq = [("same", s) for s in a[:h]] + [(o, x[i] if i is not None else y[j]) for o, i, j in steps] + [("same", s) for s in a[len(a) - t :]]
-                out += [(d, k, o, s) for k, (o, s) in enumerate(seq)]
-            yield pd.DataFrame(out, columns=["doc_id", "seq", "op", "line"])
+                out += [(d, k, o, s) for k, (o, s) in enumerate(_diff_lines(old, new))]
+                if len(out) >= rows_out:
+                    yield frame(out)
+                    out = []
+        if out:
+            yield frame(out)
 
     return pairs.select("doc_id", "old", "new").mapInPandas(run, f"doc_id {kind}, seq int, op string, line string")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import OVERVIEW_MARKERS, STOPWORDS
 
 NL = "chr(10)"
@@ -403,6 +405,10 @@ FINAL |= {
     "f9_parse_purposes": "SELECT folder, 'notes of ' || folder AS purpose FROM asked_folders",
     "f10_match_folder_in_question": "SELECT q_id, folder FROM folder_hits",
     "f11_resolve_purposes": "SELECT folder, CASE WHEN length(q_id) % 2 = 0 THEN 'collected notes' ELSE 'plain x notes' END AS purpose FROM folder_hits QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(q_id) DESC) = 1",
+    "s1_scan_corpus": "SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS title, sha1(front || body) AS content_hash, length(front || body) AS n_chars FROM notes",
+    "s1_notes_format": "SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS title, sha1(front || body) AS content_hash, length(front || body) AS n_chars FROM notes",
+    "s1_notes_stream": "SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS title, sha1(content) AS content_hash FROM (SELECT path, front || body AS content FROM notes UNION ALL SELECT path, content FROM notes2)",
+    "s11_render_sink": "SELECT 'of ' || folder AS part, count(*) AS n_lines, min(title) AS first, max(title) AS last FROM files GROUP BY folder",
     "s4_read_index": "SELECT node_key, content_hash, true AS unset FROM secu",
     "s7_reset_index": "SELECT unnest(['files', 'sections', 'entities', 'section_entities', 'edges', 'communities', 'community_sections', 'community_reports', 'index_meta']) AS name, CAST(0 AS BIGINT) AS n_rows",
     "s8_append_meta": "SELECT CAST(count(*) AS VARCHAR) AS vault_version, coalesce(lang, 'None') AS manifest_hash FROM documents GROUP BY lang",
@@ -463,10 +469,52 @@ FINAL |= {
         UNION ALL SELECT 1, path, path || ' [' || kind || ', ' || n_words || ' words]: ' || array_to_string(shown, ' ') FROM profile_long""",
 }
 
+# A document's edits by the ops of the queries: lines 5 and 6 joined, a header before line 4, blanks
+# of lines 5 and 6 as one, the same lines removed (on every third document; else of a wrong kind). On
+# every seventh the range is empty, so that the header alone is left.
+_STRIPPED = "'^\\s+|\\s+$', '', 'g'"
+PARTS["opened"] = f"""
+SELECT doc_id, old, l, e, bare, CASE WHEN bare THEN 0 ELSE 5 - e END AS moved,
+  CASE WHEN bare THEN l ELSE l[:4] || [array_to_string(list_transform(l[5:e], lambda x: regexp_replace(x, {_STRIPPED})), ' ')] || l[e + 1:] END AS joined
+FROM (SELECT doc_id, content AS old, string_split(content, {NL}) AS l, least(6, len(string_split(content, {NL}))) AS e, doc_id % 7 = 0 AS bare FROM (SELECT doc_id, front || body AS content FROM notes))"""
+PARTS["headed"] = """
+SELECT doc_id, old, bare, 6 + moved AS s, e + 1 + moved AS e, joined[:3 + moved] || ['## New part'] || joined[4 + moved:] AS l FROM opened"""
+PARTS["squeezed"] = """
+SELECT doc_id, old, bare, s, e, CASE WHEN bare OR len(list_filter(l[s:e], lambda x: regexp_matches(x, '^\\s*$'))) < 2 THEN l
+  ELSE l[:s - 1] || list_filter(list_transform(l[s:e], lambda x, k: CASE WHEN NOT regexp_matches(x, '^\\s*$') THEN x WHEN len(list_filter(l[s:s + k - 1], lambda y: regexp_matches(y, '^\\s*$'))) = 1 THEN '' END), lambda x: x IS NOT NULL) || l[e + 1:] END AS l
+FROM headed"""
+PARTS["edits"] = f"""
+SELECT doc_id, old, array_to_string(CASE WHEN bare OR doc_id % 3 <> 0 THEN l ELSE l[:s - 1] || l[e + 1:] END, {NL}) AS new, bare, CASE WHEN bare THEN 1 WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS n_applied FROM squeezed"""
+
+
+def _edit_check(name: str) -> str:
+    """The check of that query, on the edited documents."""
+    return re.sub(r"\bpairs\b", "edits", FINAL[name])
 
-def _needs(text: str) -> set[str]:
-    import re
 
+FINAL |= {
+    "e5_apply_edits": "SELECT doc_id, sha1(new) AS content_hash, CAST(n_applied AS INTEGER) AS n_applied FROM edits",
+    "e6_receipts": f"""
+        SELECT a.doc_id, substr(sha1(old), 1, 12) AS hash_before, substr(sha1(new), 1, 12) AS hash_after, w.ok AS words_ok, h.ok AS headers_ok, p.ok AS spans_ok, n_applied AS ops_applied, 4 - n_applied AS ops_rejected,
+          CASE WHEN bare THEN '{{"insert_header":1}}' WHEN n_applied = 3 THEN '{{"collapse_blanks":1,"insert_header":1,"join_lines":1}}' ELSE '{{"collapse_blanks":1,"insert_header":1,"join_lines":1,"remove_span":1}}' END AS diff_stat
+        FROM edits a JOIN (SELECT doc_id, ok OR (lost = 'tag' AND doc_id % 21 <> 0 AND doc_id % 3 = 0) AS ok FROM ({_edit_check('e1_words_conserved')})) w USING (doc_id)
+        JOIN ({_edit_check('e2_headers_preserved')}) h USING (doc_id) JOIN ({_edit_check('e3_protected_spans')}) p USING (doc_id)""",
+    # Of each pair the length of the longest common subsequence, a row of its table a step.
+    "e9_line_diff": f"""
+        WITH RECURSIVE sides AS (SELECT doc_id, string_split(old, {NL}) AS a, string_split(new, {NL}) AS b, old = new AS equal FROM pairs),
+        above AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS k FROM sides WHERE NOT equal),
+        walk AS (
+          SELECT doc_id, len(a) AS i, unnest(range(1, len(b) + 2)) AS j, unnest(b || [NULL]) AS y, 0 AS v FROM sides WHERE NOT equal
+          UNION ALL
+          SELECT doc_id, i, j, y, max(c) OVER (PARTITION BY doc_id ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS v FROM (
+            SELECT w.doc_id, w.i - 1 AS i, w.j, w.y, CASE WHEN a.x = w.y THEN 1 + lead(w.v) OVER (PARTITION BY w.doc_id ORDER BY w.j) ELSE w.v END AS c
+            FROM walk w JOIN above a ON a.doc_id = w.doc_id AND a.k = w.i)),
+        shared AS (SELECT s.doc_id, len(a) AS n, len(b) AS m, CASE WHEN equal THEN len(a) ELSE v END AS k FROM sides s LEFT JOIN walk w ON w.doc_id = s.doc_id AND w.i = 0 AND w.j = 1)
+        SELECT doc_id, op, n FROM (SELECT doc_id, 'same' AS op, k AS n FROM shared UNION ALL SELECT doc_id, 'delete', n - k FROM shared UNION ALL SELECT doc_id, 'insert', m - k FROM shared) WHERE n > 0""",
+}
+
+
+def _needs(text: str) -> set[str]:
     return {p for p in PARTS if re.search(rf"\b{p}\b", text)}
 
 

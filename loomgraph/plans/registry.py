@@ -24,6 +24,7 @@ from ..operators import text as T
 from ..operators import triage as P
 from ..operators import vectors as M
 from ..sources import corpus as R
+from ..sources.notes_format import register_notes
 from ..sources.scratch import scratch_path, written
 from . import oracles
 from .fixtures import Tables
@@ -52,6 +53,48 @@ def s3_corpus_from_table(t):
     return rows.select("path", "title", "folder", "content_hash", "version")
 
 
+def _note_folder(t: Tables) -> str:
+    """A folder of note files, written from the notes."""
+    register_notes(t.spark)
+    folder = scratch_path(t.spark, "notes")
+    t.notes().write.format("notes").mode("append").save(folder)
+    return folder
+
+
+@query
+def s1_scan_corpus(t):
+    """The note files of a folder, read by the scan."""
+    return R.scan_corpus(t.spark, _note_folder(t)).select("path", "title", "content_hash", F.length("content").alias("n_chars"))
+
+
+@query
+def s1_notes_format(t):
+    """The same folder, read by the name of the format."""
+    return t.spark.read.format("notes").load(_note_folder(t)).select("path", "title", "content_hash", F.length("content").alias("n_chars"))
+
+
+@query
+def s1_notes_stream(t):
+    """The same folder as a stream, which a second version of the notes reaches in a later run of
+    the query: both versions of each file that has two come, unchanged ones again."""
+    folder, out = _note_folder(t), scratch_path(t.spark, "streamed")
+    for second in (False, True):
+        if second:
+            t.notes2().write.format("notes").mode("append").save(folder)
+        rows = t.spark.readStream.format("notes").load(folder).select("path", "title", "content_hash")
+        rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("path string, title string, content_hash string").parquet(f"{out}/rows")
+
+
+@query
+def s11_render_sink(t):
+    """One text per folder, the titles of its notes, as the sink has written them."""
+    folder = scratch_path(t.spark, "rendered")
+    rows = t.files().groupBy("folder").agg(F.array_join(F.sort_array(F.collect_list("title")), "\n").alias("text"))
+    R.render_sink(rows.select(F.concat(F.lit("of "), "folder").alias("part"), "text"), "part", "text", folder)
+    return t.spark.read.schema("value string, part string").text(folder).groupBy("part").agg(F.count(F.lit(1)).alias("n_lines"), F.min("value").alias("first"), F.max("value").alias("last"))
+
+
 @query
 def s4_read_index(t):
     """A table of a written snapshot, which has all columns of its schema."""

@@ -28,10 +28,11 @@ CACHE = "content_hash string, model string, dims int, embedding array<double>"
 
 def scan_corpus(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """All ``*.md`` files under ``root``; hidden folders and ignored paths are skipped. Line ends
-    are normalised to LF."""
+    are normalised to LF. Files without a byte are not seen, as Spark's file scan leaves them out:
+    the ``notes`` format of ``notes_format`` has them, on mounted folders."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = re.sub(r"^file:/*", "/", root.rstrip("/"))
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace(F.replace("path", F.lit("+"), F.lit("%2B")), "^[a-z]+:/*", "/")), "^" + re.escape(base) + "/", "")
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
     files = raw.select(
         rel.alias("path"),
         F.col("modificationTime").alias("modified_date"),

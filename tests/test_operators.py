@@ -191,14 +191,51 @@ def test_line_diff_deletes_first(spark):
     assert [(r["op"], r["line"]) for r in rows] == [("same", "a"), ("delete", "b"), ("insert", "x"), ("same", "c")]
 
 
-def test_line_diff_of_long_pairs_is_the_same(spark):
+def plain_diff(a, b):
+    """The whole table of common subsequences, walked from its start."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append(("same", a[i]))
+            i, j = i + 1, j + 1
+        elif i < len(a) and (j == len(b) or best[i + 1][j] >= best[i][j + 1]):
+            out.append(("delete", a[i]))
+            i += 1
+        else:
+            out.append(("insert", b[j]))
+            j += 1
+    return out
+
+
+def test_line_diff_equals_the_whole_table(spark):
     import random
 
     rng = random.Random(3)
-    text = lambda n: "\n".join(rng.choice("abcd") for _ in range(n))
-    pairs = spark.createDataFrame([(str(i), text(i), text(rng.randrange(1, 40))) for i in range(1, 40)], "doc_id string, old string, new string")
-    steps = lambda cells: sorted(tuple(r) for r in E.line_diff(pairs, cells).collect())
-    assert steps(0) == steps(2_000_000)
+    text = lambda n, kinds: "\n".join(rng.choice("abcdefgh"[:kinds]) for _ in range(n))
+    rows = [(i, text(rng.randrange(60), k), text(rng.randrange(60), k)) for i in range(200) for k in [rng.randrange(1, 9)]]
+    rows += [(900, text(300, 3), text(400, 2)), (901, None, "a"), (902, "a\n", None), (903, "", "")]
+    got = {}
+    for r in E.line_diff(spark.createDataFrame(rows, "doc_id int, old string, new string"), rows_out=500).orderBy("seq").collect():
+        got.setdefault(r["doc_id"], []).append((r["op"], r["line"]))
+    assert got == {d: plain_diff(a.split("\n") if a else [], b.split("\n") if b else []) for d, a, b in rows if a or b}
+
+
+def test_line_diff_of_twenty_thousand_lines():
+    import random
+
+    rng = random.Random(4)
+    old = [str(rng.randrange(5000)) for _ in range(20_000)]
+    new = list(old)
+    for _ in range(500):
+        new[rng.randrange(len(new))] = "edited"
+    steps = E._diff(old, new)
+    assert [old[i] for o, i, _ in steps if o != "insert"] == old
+    assert [new[j] for o, _, j in steps if o != "delete"] == new
+    assert sum(o == "same" for o, _, _ in steps) >= 19_500
 
 
 def test_ledger_clamps_each_step(spark):

@@ -18,7 +18,8 @@ CHOSEN = [
     "x4_number_citations", "x6_compact_window", "q2_resolve_path", "l1_fold_ledger", "l4_evaluate_status", "l6_summary_card", "k5_sample_corpus",
     "k7_profile_cache", "n3_parse_extractions", "f1_manifest_table", "f11_resolve_purposes", "i4_edges_for_changed", "p6_destination_context",
     "e2_headers_preserved", "e4_join_punctuation", "f8_folder_digest", "s4_read_index", "s7_reset_index", "s8_append_meta", "s9_read_journal",
-    "s10_embedding_cache", "z3_stream_ledger", "z4_stream_pending_ttl",
+    "s10_embedding_cache", "z3_stream_ledger", "z4_stream_pending_ttl", "e5_apply_edits", "e6_receipts", "e9_line_diff",
+    "s1_scan_corpus", "s1_notes_format", "s1_notes_stream", "s11_render_sink",
 ]
 
 
