@@ -1,7 +1,9 @@
 """Operator 4 - benchmark decontamination by the q-gram lemma over diagonal bands.
 
-A benchmark item is covered by windows of ``window`` characters, half overlapping (one window
-if it is shorter). A document matches a window if some stretch of it is within ``budget`` edits
+A benchmark item is covered by windows of ``window`` characters that start every ``2 * budget``
+characters (one window if it is shorter): a verbatim excerpt of ``window`` characters or more lies
+at most ``budget`` characters off one of them, which are edits within the budget at its end, so
+wherever an excerpt is taken it is found. A document matches a window if some stretch of it is within ``budget`` edits
 of it. The q-gram lemma says that such a stretch shares at least
 ``len - q + 1 - q * budget`` q-grams with the window, on at most ``2 * budget + 1`` neighbouring
 diagonals: hits are counted in overlapping diagonal bands, regions that meet the bound are kept
@@ -84,7 +86,7 @@ class Index:
                     short.setdefault(len(c), []).append((item_id, c))
                 continue
             w = min(lim.window, len(c))
-            for s in sorted({*range(0, len(c) - w, max(1, lim.window // 2)), len(c) - w}):
+            for s in sorted({*range(0, len(c) - w, max(1, 2 * lim.budget)), len(c) - w}):
                 self.text.append(c[s : s + w])
                 self.item.append(item_id)
                 self.start.append(s)

@@ -238,6 +238,21 @@ def test_decontamination_names_the_text_with_the_match():
                 assert all(m[4] == cut and 0 <= m[2] < m[3] <= len(kept) for m in got)
 
 
+def test_decontamination_finds_excerpts_wherever_they_begin(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    item = words(80)
+    bench = spark.createDataFrame([(1, item), (2, words(60))], "item_id long, text string")
+    cuts = [(n, s) for n in (96, 97, 103, 110, 120, 135, 150) for s in range(0, len(item) - n, 3) if " " not in (item[s], item[s + n - 1])]
+    inside = [f"{words(9)} {item[s : s + n]} {words(9)}" for n, s in cuts]
+    bare = [item[s : s + n] for n, s in cuts]
+    clean = [words(40) for _ in range(50)]
+    rows = list(enumerate(inside + bare + clean))
+    got = decontaminate.benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, 1) for k in range(2 * len(cuts))]
+    assert all(r["edits"] <= 7 for r in got)
+
+
 def test_decontamination_rows(spark, docs, empty):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs far away from here"), (2, None), (3, "short")], "item_id long, text string")
     dirty = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(77_777, "x " * 50 + "The quick brown  fox jumps over the lazy cog and runs far away from here " + "y " * 99), (77_777, None)], "doc_id long, text string"))
