@@ -177,6 +177,10 @@ PARTS["grams_flat2"] = PARTS["grams"].replace("secu", f"(SELECT * REPLACE (repla
 PARTS["vectors_flat2"] = PARTS["vectors"].replace("secu", "secu2").replace("FROM grams", "FROM grams_flat2")
 PARTS["inferred_flat2"] = PARTS["inferred"].replace("FROM vectors", "FROM vectors_flat2").replace("JOIN vectors", "JOIN vectors_flat2").replace("FROM links", "FROM links2")
 
+# The seeds' texts as vectors.
+_SEEDED = "(SELECT substr(md5(lower(path)), 1, 16) AS node_key, text FROM seeds)"
+PARTS["seed_grams"] = PARTS["grams"].replace("secu", _SEEDED)
+PARTS["seed_vectors"] = PARTS["vectors"].replace("secu", _SEEDED).replace("FROM grams", "FROM seed_grams")
 
 PARTS["told"] = f"""
 SELECT community_id, string_agg('### ' || coalesce(nullif(heading_path, ''), node_key) || {NL} || text, {NL} || {NL} ORDER BY node_key) AS report FROM (
@@ -192,7 +196,7 @@ SELECT unit_id, unnest(CASE WHEN length(t) > 2 THEN list_distinct(list_transform
 PARTS["inbox_vectors"] = PARTS["asked_vectors"].replace("asked_grams", "inbox_grams").replace("questions", "inbox_notes").replace("q_id", "unit_id")
 
 # Extractions that the fixtures make of assistant turns, the sections that mention their names, and the entities kept.
-PARTS["llm_words"] = "SELECT conv_id || '-' || turn AS batch_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) > 3) AS w FROM conversations WHERE role = 'assistant'"
+PARTS["llm_words"] = "SELECT conv_id || '-' || turn AS batch_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) > 3) AS w FROM conversations"
 PARTS["llm_names"] = "SELECT batch_id, name FROM (SELECT DISTINCT batch_id, unnest(w) AS name FROM llm_words) QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY name) <= 30"
 PARTS["llm_ends"] = """
 SELECT batch_id, src, dst FROM (SELECT DISTINCT batch_id, w[i] AS src, coalesce(w[i + 1], w[i]) AS dst FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM llm_words)) WHERE src <> dst
@@ -317,15 +321,15 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT DISTINCT k.dst_key, s.node_key FROM (SELECT DISTINCT dst_key FROM links WHERE dst_key NOT IN (SELECT node_key FROM secu)) k JOIN files f ON f.path = k.dst_key OR f.path = k.dst_key || '.md' OR ends_with(f.path, '/' || k.dst_key) OR ends_with(f.path, '/' || k.dst_key || '.md') JOIN secu s ON s.file_id = f.file_id""",
     "g8_resolve_query_nodes": "SELECT q_id, node_key, score, CAST(pos AS INTEGER) AS pos FROM nodes",
     "g9_expand_neighbors": """WITH best AS (SELECT src_key, dst_key, row_number() OVER (PARTITION BY src_key ORDER BY weight DESC, dst_key) AS e FROM edges QUALIFY e <= 3),
-        l0 AS (SELECT file_id AS q_id, min(node_key) AS node_key FROM secu WHERE NOT contains(heading_path, '›') GROUP BY file_id),
+        l0 AS (SELECT node_key AS q_id, node_key FROM secu),
         l1 AS (SELECT l0.q_id, b.dst_key AS node_key, min(b.e) AS r1 FROM l0 JOIN best b ON b.src_key = l0.node_key WHERE b.dst_key <> l0.node_key GROUP BY ALL),
         l2 AS (SELECT q_id, node_key, min(r) AS r FROM (SELECT l1.q_id, b.dst_key AS node_key, [l1.r1, b.e] AS r FROM l1 JOIN best b ON b.src_key = l1.node_key) x
           WHERE NOT EXISTS (SELECT 1 FROM l0 WHERE l0.q_id = x.q_id AND l0.node_key = x.node_key) AND NOT EXISTS (SELECT 1 FROM l1 WHERE l1.q_id = x.q_id AND l1.node_key = x.node_key) GROUP BY ALL)
         SELECT q_id, node_key, level, CAST(row_number() OVER (PARTITION BY q_id ORDER BY level, r, node_key) AS INTEGER) AS pos FROM (
           SELECT q_id, node_key, 0 AS level, [1] AS r FROM l0 UNION ALL SELECT q_id, node_key, 1, [r1] FROM l1 UNION ALL SELECT q_id, node_key, 2, r FROM l2)""",
     "g10_hybrid_rank": """SELECT q_id, node_key, score, tier, CAST(row_number() OVER (PARTITION BY q_id ORDER BY tier, pos, node_key) AS INTEGER) AS rank FROM (
-        SELECT l_suppkey AS q_id, CAST(l_partkey AS VARCHAR) AS node_key, l_linenumber - 1 AS tier, l_orderkey AS pos, CAST(l_quantity AS DOUBLE) AS score FROM lineitem WHERE l_linenumber <= 2
-        QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_linenumber, l_orderkey, l_quantity) = 1)""",
+        SELECT l_suppkey AS q_id, CAST(l_partkey AS VARCHAR) AS node_key, CAST(1 - l_linenumber % 2 AS INTEGER) AS tier, l_orderkey AS pos, CAST(l_quantity AS DOUBLE) AS score FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY 1 - l_linenumber % 2, l_orderkey, l_quantity) = 1)""",
     "c1_seed_table": "SELECT substr(md5(lower(path)), 1, 16) AS community_id, path AS label, text FROM seeds",
     "c3_assign_seeded": "SELECT CAST(s.vec_id AS VARCHAR) AS section_key, 'label-' || q.label AS community_id, round(list_cosine_similarity(s.v, q.v), 4) AS score FROM vec s, (SELECT * FROM vec QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q QUALIFY row_number() OVER (PARTITION BY s.vec_id ORDER BY round(list_cosine_similarity(s.v, q.v), 4) DESC, q.vec_id) = 1",
     "c5_assign_auto": "SELECT CAST(e.vec_id AS VARCHAR) AS section_key, coalesce(c.community_id, (SELECT community_id FROM clusters GROUP BY community_id ORDER BY count(*) DESC, community_id LIMIT 1)) AS community_id FROM embeddings e LEFT JOIN clusters c ON c.section_key = CAST(e.vec_id AS VARCHAR)",
@@ -389,13 +393,14 @@ FINAL: dict[str, str] = {
 FINAL |= {
     "t14_note_view": "SELECT f.path, CAST(f.n_words AS INTEGER) AS n_words, array_to_string(f.tags, ',') AS tags, CAST(least(30, l.n) AS INTEGER) AS n_outline, array_to_string(list_slice(f.ws, 1, 200), ' ') AS excerpt FROM facts f JOIN (SELECT path, count(*) FILTER (regexp_matches(x, '^#{1,6}\\s+')) AS n FROM lines GROUP BY path) l USING (path)",
     "n3_parse_extractions": """
-        WITH said AS (SELECT conv_id || '-' || turn AS batch_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) > 3) AS w FROM conversations WHERE role = 'assistant'),
+        WITH said AS (SELECT conv_id || '-' || turn AS batch_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) > 3) AS w FROM conversations),
         pairs_said AS (SELECT DISTINCT batch_id, w[i] AS src, w[i + 1] AS dst, 'next to' AS relation FROM (SELECT batch_id, w, unnest(range(1, len(w))) AS i FROM said))
         SELECT * FROM pairs_said WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY src, dst, relation) <= 30""",
+    "n3_parsed_entities": "SELECT batch_id, name, 'Term Kind' AS type FROM llm_names",
     "n10_run_completions": f"SELECT item_id, coalesce(substring(list_filter(list_transform(string_split(text, {NL}), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1], 1, 200), '') AS completion, CAST(NULL AS VARCHAR) AS error FROM benchmark",
     "v1_embed": f"SELECT item_id, CAST(count(*) AS INTEGER) AS dims, round(sum(x * x), 4) AS norm FROM ({FINAL['v2_hash_embed']}) GROUP BY item_id",
     "v5_cached_embed": "SELECT node_key, content_hash, CAST(64 AS INTEGER) AS dims FROM secu",
-    "c2_embed_seeds": "SELECT substr(md5(lower(path)), 1, 16) AS community_id, CAST(64 AS INTEGER) AS dims FROM seeds",
+    "c2_embed_seeds": "SELECT node_key AS community_id, CAST(dim - 1 AS INTEGER) AS dim, round(embedding[dim], 6) AS x FROM (SELECT node_key, embedding, unnest(range(1, 65)) AS dim FROM seed_vectors)",
     "f1_manifest_table": """
         WITH langs AS (SELECT DISTINCT lang FROM documents)
         SELECT 0 AS ord, 'root' AS kind, 'vault' AS folder, 1 AS level, CAST(NULL AS VARCHAR) AS parent, '' AS purpose
@@ -405,8 +410,8 @@ FINAL |= {
     "f9_parse_purposes": "SELECT folder, 'notes of ' || folder AS purpose FROM asked_folders",
     "f10_match_folder_in_question": "SELECT q_id, folder FROM folder_hits",
     "f11_resolve_purposes": "SELECT folder, CASE WHEN length(q_id) % 2 = 0 THEN 'collected notes' ELSE 'plain x notes' END AS purpose FROM folder_hits QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(q_id) DESC) = 1",
-    "s1_scan_corpus": "SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS title, sha1(front || body) AS content_hash, length(front || body) AS n_chars FROM notes",
-    "s1_notes_format": "SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS title, sha1(front || body) AS content_hash, length(front || body) AS n_chars FROM notes",
+    "s1_scan_corpus": "SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS title, sha1(front || body) AS content_hash, CAST(length(front || body) AS INTEGER) AS n_chars FROM notes",
+    "s1_notes_format": "SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS title, sha1(front || body) AS content_hash, CAST(length(front || body) AS INTEGER) AS n_chars FROM notes",
     "s1_notes_stream": "SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS title, sha1(content) AS content_hash FROM (SELECT path, front || body AS content FROM notes UNION ALL SELECT path, content FROM notes2)",
     "s11_render_sink": "SELECT 'of ' || folder AS part, count(*) AS n_lines, min(title) AS first, max(title) AS last FROM files GROUP BY folder",
     "s4_read_index": "SELECT node_key, content_hash, true AS unset FROM secu",
@@ -495,7 +500,7 @@ def _edit_check(name: str) -> str:
 FINAL |= {
     "e5_apply_edits": "SELECT doc_id, sha1(new) AS content_hash, CAST(n_applied AS INTEGER) AS n_applied FROM edits",
     "e6_receipts": f"""
-        SELECT a.doc_id, substr(sha1(old), 1, 12) AS hash_before, substr(sha1(new), 1, 12) AS hash_after, w.ok AS words_ok, h.ok AS headers_ok, p.ok AS spans_ok, n_applied AS ops_applied, 4 - n_applied AS ops_rejected,
+        SELECT a.doc_id, substr(sha1(old), 1, 12) AS hash_before, substr(sha1(new), 1, 12) AS hash_after, w.ok AS words_ok, h.ok AS headers_ok, p.ok AS spans_ok, CAST(n_applied AS BIGINT) AS ops_applied, CAST(4 - n_applied AS BIGINT) AS ops_rejected,
           CASE WHEN bare THEN '{{"insert_header":1}}' WHEN n_applied = 3 THEN '{{"collapse_blanks":1,"insert_header":1,"join_lines":1}}' ELSE '{{"collapse_blanks":1,"insert_header":1,"join_lines":1,"remove_span":1}}' END AS diff_stat
         FROM edits a JOIN (SELECT doc_id, ok OR (lost = 'tag' AND doc_id % 21 <> 0 AND doc_id % 3 = 0) AS ok FROM ({_edit_check('e1_words_conserved')})) w USING (doc_id)
         JOIN ({_edit_check('e2_headers_preserved')}) h USING (doc_id) JOIN ({_edit_check('e3_protected_spans')}) p USING (doc_id)""",

@@ -254,10 +254,15 @@ def n3_parse_extractions(t):
     return N.parse_extractions(_completions(t))[1]
 
 
+@query
+def n3_parsed_entities(t):
+    return N.parse_extractions(_completions(t))[0]
+
+
 def _completions(t: Tables) -> DataFrame:
-    """Completions in the extraction format, made of each assistant turn's words."""
+    """Completions in the extraction format, made of each turn's words."""
     w = F.filter(F.split(F.col("text"), r"[^A-Za-z]+"), lambda x: F.length(x) > 3)
-    rows = t["conversations"].filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("batch_id"), w.alias("w"))
+    rows = t["conversations"].select(F.concat_ws("-", "conv_id", "turn").alias("batch_id"), w.alias("w"))
     ent = F.transform("w", lambda x: F.concat(F.lit("ENTITY|"), x, F.lit("|Term Kind")))
     rel = F.transform("w", lambda x, i: F.concat(F.lit("REL|"), x, F.lit("|"), F.coalesce(F.get("w", i + 1), x), F.lit("|next to")))
     return rows.select("batch_id", F.array_join(F.concat(ent, F.array(F.lit("junk line")), rel), "\n").alias("completion"))
@@ -410,8 +415,8 @@ def g8_resolve_query_nodes(t):
 
 @query
 def g9_expand_neighbors(t):
-    seeds = t.sections().filter("heading_path NOT LIKE '%›%'").groupBy("file_id").agg(F.min("node_key").alias("node_key"))
-    asked = seeds.select(F.col("file_id").alias("q_id"), "node_key", F.lit(1).alias("pos"))
+    """From every section, as a question of its own."""
+    asked = t.sections().select(F.col("node_key").alias("q_id"), "node_key", F.lit(1).alias("pos"))
     return G.expand_neighbors(asked, t.edges(), 2, 3)
 
 
@@ -426,9 +431,10 @@ def _index(t: Tables) -> dict[str, DataFrame]:
 
 @query
 def g10_hybrid_rank(t):
-    rows = t["lineitem"].select(F.col("l_suppkey").alias("q_id"), F.col("l_partkey").cast("string").alias("node_key"), F.col("l_quantity").cast("double").alias("score"), F.col("l_orderkey").alias("pos"), "l_linenumber")
-    first = rows.groupBy("q_id", "node_key", "l_linenumber").agg(F.min(F.struct("pos", "score")).alias("m")).select("q_id", "node_key", "l_linenumber", "m.*")
-    return S.hybrid_rank(first.filter("l_linenumber = 1"), first.filter("l_linenumber = 2"))
+    """Suppliers ask for parts: lines of odd number are what was found, those of even number what was reached."""
+    rows = t["lineitem"].select(F.col("l_suppkey").alias("q_id"), F.col("l_partkey").cast("string").alias("node_key"), F.col("l_quantity").cast("double").alias("score"), F.col("l_orderkey").alias("pos"), (F.col("l_linenumber") % 2 == 1).alias("found"))
+    first = rows.groupBy("q_id", "node_key", "found").agg(F.min(F.struct("pos", "score")).alias("m")).select("q_id", "node_key", "found", "m.*")
+    return S.hybrid_rank(first.filter("found"), first.filter("NOT found"))
 
 
 @query
@@ -451,7 +457,7 @@ def c1_seed_table(t):
 
 @query
 def c2_embed_seeds(t):
-    return C.embed_seeds(C.seed_table(t.manifest())).select("community_id", F.size("embedding").alias("dims"))
+    return C.embed_seeds(C.seed_table(t.manifest())).select("community_id", F.posexplode("embedding").alias("dim", "x")).select("community_id", "dim", F.round("x", 6).alias("x"))
 
 
 @query

@@ -20,6 +20,7 @@ CHOSEN = [
     "e2_headers_preserved", "e4_join_punctuation", "f8_folder_digest", "s4_read_index", "s7_reset_index", "s8_append_meta", "s9_read_journal",
     "s10_embedding_cache", "z3_stream_ledger", "z4_stream_pending_ttl", "e5_apply_edits", "e6_receipts", "e9_line_diff",
     "s1_scan_corpus", "s1_notes_format", "s1_notes_stream", "s11_render_sink",
+    "n3_parsed_entities", "g9_expand_neighbors", "c2_embed_seeds",
 ]
 
 
