@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def search_paths(queries: DataFrame, files: DataFrame, limit: int = 20) -> DataFrame:
     """(q_id, path): paths that contain the query in any case, the first ``limit`` by name. Paths
@@ -19,11 +21,49 @@ def search_paths(queries: DataFrame, files: DataFrame, limit: int = 20) -> DataF
     return met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
 
 
+VARIANT_CHARS = {2: 60, 4: 20}  # wanted names up to so long meet by what is left when characters go: a few thousand strings at most
+
+
+def _shortened(name: str, times: int) -> Column:
+    """Hashes of the strings that are left of a column when up to ``times`` characters are deleted."""
+    cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    found = [F.array(F.col(name))]
+    for _ in range(times):
+        found.append(F.array_distinct(F.flatten(F.transform(F.filter(found[-1], lambda s: s != ""), cut))))
+    return F.array_distinct(F.transform(F.flatten(F.array(*found)), lambda s: F.xxhash64(s)))
+
+
+def _pieces(want: DataFrame, bases: DataFrame, distance: int) -> DataFrame:
+    """(q_id, want, base) that share one of ``distance`` + 1 pieces of the wanted name."""
+    n = distance + 1
+    part = F.floor(F.length("want") / n).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(F.col("want"), k * part + 1, part))
+    asked = want.select("q_id", "want", F.explode(F.array_distinct(pieces)).alias("piece"), part.alias("size"))
+    # Lengths differ by the distance at most, so three sizes of pieces will do for a base name.
+    least, most = (F.greatest(F.floor((F.length("base") + d) / n), F.lit(1)).cast("int") for d in (-distance, distance))
+    sized = bases.withColumn("size", F.explode(F.sequence(least, most))).filter(F.length("base") >= F.col("size"))
+    have = sized.select("base", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("base") - F.col("size") + 1), lambda i: F.substring(F.col("base"), i, F.col("size"))))).alias("piece"))
+    return asked.join(have, ["piece", "size"]).select("q_id", "want", "base")
+
+
+def _near(want: DataFrame, bases: DataFrame, distance: int) -> DataFrame:
+    """(q_id, want, base, dist) within ``distance`` edits. Two names are only if both can be shortened
+    to one string by deleting as many characters, so short names are joined on these strings, which
+    few share by chance even if all have a stem and an ending in common; long ones on pieces."""
+    cut = VARIANT_CHARS.get(distance, 0)
+    short, long = want.filter(F.length("want") <= cut), want.filter(F.length("want") > cut)
+    left = short.select("q_id", "want", F.explode(_shortened("want", distance)).alias("h")) if cut else None
+    met = _pieces(long, bases.filter(F.length("base") > cut - distance), distance)
+    if cut:
+        met = met.unionByName(left.join(bases.filter(F.length("base") <= cut + distance).select("base", F.explode(_shortened("base", distance)).alias("h")), "h").select("q_id", "want", "base"))
+    return met.distinct().withColumn("dist", F.levenshtein("want", "base", distance)).filter("dist >= 0")
+
+
 def resolve_path(queries: DataFrame, files: DataFrame, max_distance: int = 4) -> DataFrame:
     """(q_id, path, how): exact, then any case, then the nearest base name within
-    ``max_distance`` edits (ties: distance, then path). Base names are blocked by length, and by
-    one of max_distance + 1 pieces that must survive unchanged somewhere near its place. A wanted
-    name with fewer characters than that meets the short base names that share one of them; of
+    ``max_distance`` edits (ties: distance, then path). Base names within two edits are looked for
+    first, and further ones only for wanted names that have none so near. A wanted
+    name with no more characters than ``max_distance`` meets the short base names that share one of them; of
     those that share none, which differ by all the longer one's characters, the first path of each
     length will do."""
     asked = queries.select("q_id", "query")
@@ -31,26 +71,26 @@ def resolve_path(queries: DataFrame, files: DataFrame, max_distance: int = 4) ->
     exact = asked.join(names.select(F.col("path").alias("query"), "path"), "query").select("q_id", "path", F.lit(0).alias("rank"), F.lit(0).alias("dist"))
     cased = asked.withColumn("low", F.lower("query")).join(names.select("low", "path"), "low").select("q_id", "path", F.lit(1).alias("rank"), F.lit(0).alias("dist"))
     left = asked.join(exact.select("q_id"), "q_id", "left_anti").join(cased.select("q_id"), "q_id", "left_anti")
-    left = left.withColumn("want", F.lower(F.element_at(F.split("query", "/"), -1)))
+    left = written(left.withColumn("want", F.lower(F.element_at(F.split("query", "/"), -1))), "wanted")
     n = max_distance + 1
-    # A base name within the distance keeps one of n pieces of the wanted name whole.
-    part = F.floor(F.length("want") / n).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(F.col("want"), k * part + 1, part))
-    want = left.filter(F.length("want") >= n).select("q_id", "want", F.explode(F.array_distinct(pieces)).alias("piece"), part.alias("size"))
     bases = names.select("base").distinct()
-    # Lengths differ by max_distance at most, so three sizes of pieces will do for a base name.
-    least, most = (F.greatest(F.floor((F.length("base") + d) / n), F.lit(1)).cast("int") for d in (-max_distance, max_distance))
-    sized = bases.withColumn("size", F.explode(F.sequence(least, most))).filter(F.length("base") >= F.col("size"))
-    have = sized.select("base", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("base") - F.col("size") + 1), lambda i: F.substring(F.col("base"), i, F.col("size"))))).alias("piece"))
-    near = want.join(have, ["piece", "size"]).select("q_id", "want", "base")
+    want = left.filter(F.length("want") >= n).select("q_id", "want")
+    met = None
+    for distance in sorted({min(2, max_distance), max_distance}):
+        if met is not None:
+            want = written(want.join(met.select("q_id"), "q_id", "left_anti"), "wanted")
+            if want.isEmpty():
+                break
+        found = written(_near(want, bases, distance), "near-names")
+        met = found if met is None else met.unionByName(found)
     few = left.filter(F.length("want") < n)
     letters = lambda c: F.explode(F.array_distinct(F.split(c, ""))).alias("letter")
     alike = few.select("q_id", "want", letters("want")).join(bases.filter(F.length("base") < n + max_distance).select("base", letters("base")), "letter").filter("letter <> ''")
     firsts = names.filter(F.length("base") < n).groupBy(F.length("base").alias("len")).agg(F.min_by("base", "path").alias("base"))
     other = few.select("q_id", "want", F.explode(F.sequence(F.lit(0), F.lit(max_distance))).alias("len")).join(firsts, "len")
-    near = near.unionByName(alike.select("q_id", "want", "base")).unionByName(other.select("q_id", "want", "base")).distinct()
-    near = near.withColumn("dist", F.levenshtein("want", "base", max_distance)).filter("dist >= 0")
-    fuzzy = near.join(names.select("base", "path"), "base").select("q_id", "path", F.lit(2).alias("rank"), "dist")
+    alike = alike.select("q_id", "want", "base").unionByName(other.select("q_id", "want", "base")).distinct()
+    alike = alike.withColumn("dist", F.levenshtein("want", "base", max_distance)).filter("dist >= 0")
+    fuzzy = met.unionByName(alike).join(names.select("base", "path"), "base").select("q_id", "path", F.lit(2).alias("rank"), "dist")
     best = exact.unionByName(cased).unionByName(fuzzy).groupBy("q_id").agg(F.min(F.struct("rank", "dist", "path")).alias("m"))
     how = F.element_at(F.array(F.lit("exact"), F.lit("case"), F.lit("fuzzy")), F.col("m.rank") + 1)
     return best.select("q_id", F.col("m.path").alias("path"), how.alias("how"))
