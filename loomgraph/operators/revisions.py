@@ -117,15 +117,17 @@ def apply_edits(docs: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edited docs with doc_id, content, n_applied; ops with their ``error``). All ops of a
     document are checked against its original lines; valid ones are applied in ``seq`` order."""
     checked = validate_ops(docs, ops)
-    valid = checked.filter("error IS NULL")
+    fields = ("seq", "op", "text", "reason", "start", "end", "before_line")
+    lists = checked.filter("error IS NULL").groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("ops"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = right.sort_values("seq").to_dict("records")
-        done = [("\n".join(_edited(c.split("\n"), rows)), d) for d, c in zip(left["doc_id"], left["content"], strict=True)]
-        return pd.DataFrame({"doc_id": [d for _, d in done], "content": [c for c, _ in done], "n_applied": len(rows)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            valid = [[] if o is None else sorted(o, key=lambda x: x["seq"]) for o in b["ops"]]
+            done = ["\n".join(_edited(c.split("\n"), o)) for c, o in zip(b["content"], valid, strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "content": done, "n_applied": [len(o) for o in valid]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    edited = docs.select("doc_id", "content").groupBy("doc_id").cogroup(valid.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, content string, n_applied int")
+    edited = docs.select("doc_id", "content").join(lists, "doc_id", "left").mapInPandas(run, f"doc_id {kind}, content string, n_applied int")
     return edited, checked
 
 
