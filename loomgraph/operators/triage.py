@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_frontmatter
 from ..sources.corpus import ignore_filter
+from ..sources.scratch import written
 from .vectors import embed, hash_vectors, vector_topk
 
 
@@ -24,7 +25,9 @@ def units(notes: DataFrame, inbox: str, journal: DataFrame | None = None) -> Dat
 def candidates(unit_rows: DataFrame, sections: DataFrame, k: int = 5, overscan: int = 3, embed_fn=hash_vectors) -> DataFrame:
     """(unit_id, node_key, file_id, heading_path, score, rank): k x overscan nearest sections."""
     texts = unit_rows.select("unit_id", strip_frontmatter(F.col("text")).alias("body"))
-    asked = embed(texts, "body", embed_fn).select(F.col("unit_id").alias("q_id"), "embedding")
+    # Both are read once a block of units, and the sections again for their paths: vectors are made once.
+    asked = written(embed(texts, "body", embed_fn).select(F.col("unit_id").alias("q_id"), "embedding"), "units")
+    sections = written(sections.select("node_key", "file_id", "heading_path", "embedding"), "sections")
     top = vector_topk(asked, sections.select(F.col("node_key").alias("item_id"), "embedding"), k * overscan)
     return top.withColumnRenamed("q_id", "unit_id").withColumnRenamed("item_id", "node_key").join(sections.select("node_key", "file_id", "heading_path"), "node_key").select("unit_id", "node_key", "file_id", "heading_path", "score", "rank")
 
