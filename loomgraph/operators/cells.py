@@ -31,7 +31,8 @@ BLOCK_ROWS = 65_536  # that a task holds: 32 MB of 64 numbers
 LANE_ROWS = 262_144  # that it reads past them
 PIVOTS = 256
 TABLE = 32  # pivots to which the range of angles of each cell is known
-STEP = 512  # visitors multiplied with a block at a time
+STEP = 512  # visitors multiplied with a block at a time, at most
+PAIRS = 1 << 22  # that are scored at a time, about
 
 
 def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -166,8 +167,9 @@ class _Block:
             yield from self._prepare()
             ids, rooms = np.array(part.column("item_id").to_pylist(), dtype=object), self._rooms(part)
             v = _vectors(part.column("v"), self.dims)
-            for s in range(0, len(ids), STEP):
-                yield from self._meet(ids[s : s + STEP], rooms[s : s + STEP], v[s : s + STEP])
+            for s in range(0, len(ids), self.step):
+                e = s + self.step
+                yield from self._meet(ids[s:e], rooms[s:e], v[s:e])
 
     @staticmethod
     def _rooms(part: pa.RecordBatch) -> np.ndarray:
@@ -181,14 +183,16 @@ class _Block:
         self.rooms = np.concatenate([self._rooms(p) for p in self.parts]) if self.parts else np.zeros(0, int)
         self.v = np.concatenate([_vectors(p.column("v"), self.dims) for p in self.parts]) if self.parts else np.zeros((0, self.dims))
         self.parts = []
+        self.step = max(1, min(STEP, PAIRS // max(1, len(self.ids))))
         self.single = np.ascontiguousarray(self.v.T, dtype=np.float32)
         self.least = np.full(len(self.ids), self.threshold)
         self.at = {x: i for i, x in enumerate(self.ids.tolist())} if self.out else {}
         if self.own_pairs:
             never = np.full(len(self.ids), np.inf)
-            for s in range(0, len(self.ids), STEP):
-                ids, rooms = self.ids[s : s + STEP], self.rooms[s : s + STEP]
-                i, j, score = self._scored(ids, rooms, self.v[s : s + STEP], s, never)
+            for s in range(0, len(self.ids), self.step):
+                e = s + self.step
+                ids, rooms = self.ids[s:e], self.rooms[s:e]
+                i, j, score = self._scored(ids, rooms, self.v[s:e], s, never)
                 yield from self._best(ids, i, rooms, j, score)
 
     def _scored(self, ids: np.ndarray, rooms: np.ndarray, v: np.ndarray, own: int | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
