@@ -68,7 +68,8 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no window of a benchmark item."""
     rows, n = numbered(docs, "numbered")
-    leaks = benchmark_matches(rows, table(spark, sf_dir, "benchmark"), id_col=n).select(F.col("doc_id").alias(n)).distinct()
+    # Written, so that their size is known before the join: while they are few, the texts are not shuffled.
+    leaks = written(benchmark_matches(rows, table(spark, sf_dir, "benchmark"), id_col=n).select(F.col("doc_id").alias(n)).distinct(), "leaks")
     return rows.join(leaks, n, "left_anti").select(*docs.columns)
 
 

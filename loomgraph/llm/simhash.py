@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import joined_by_weight, written
+from .store import condensed, joined_by_weight, written
 
 SEED = 42
 CHUNK = 100_000
@@ -116,7 +116,9 @@ def links(prints: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     cells = written(grid.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "cells")
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= 2
     pairs = cells.filter(F.col("n") == 2).filter(near).select(*by, F.col("lo").alias("a"), F.col("hi").alias("b"))
-    members = grid.join(cells.filter("n > 2").select(*by, "cell"), [*by, "cell"])
+    # The members of full cells, from the cells: their vectors lie one step from it at most, so the grid need not be dealt again.
+    full = cells.filter("n > 2").select(*by, "cell", F.explode(_cells(F.col("cell"))).alias("c")).select(*by, "cell", F.col("c.cell").alias("key"), (-F.col("c.step")).alias("step"))
+    members = keyed.join(full, [*by, "key"])
     # In a full cell: the fingerprints one flip away whose vector is the cell (its own at step 0).
     bits = [F.expr(f"shiftleft(1L, cast((abs(step) - 1) * 4 + {k} as int))") for k in range(4)]
     flips = [F.when((F.col("fp").bitwiseAND(b) != 0) == (F.col("step") < 0), F.col("fp").bitwiseXOR(b)) for b in bits]
@@ -128,6 +130,10 @@ def links(prints: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
+    return condensed("components", lambda: _components_of(docs, id_col, text_col, shingle))
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
     by_fp = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "by-fp")
     roots = components(links(prints))
@@ -144,6 +150,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``count`` - 1 further chances, while unrelated texts stay as far apart as with one. Ids must
     be unique and not null. Rows with equal fingerprints are one node; a fingerprint that several
     nodes share links each to the least of them, never all pairs."""
+    return condensed("groups", lambda: _groups_of(docs, id_col, text_col, shingle, count))
+
+
+def _groups_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: int) -> DataFrame:
     prints = written(fingerprints(docs, id_col, text_col, shingle, count), "prints")
     nodes = written(prints.groupBy("fps").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
     each = written(nodes.select("node", F.posexplode("fps").alias("k", "fp")), "each")

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -712,3 +713,35 @@ def test_joined_by_weight_equals_a_join(spark):
     for how in ("inner", "left"):
         want = collections.Counter(rows.join(table.drop("n"), "k", how).select("i", "k", "top").collect())
         assert collections.Counter(joined_by_weight(rows, table, ["k"], "n", how).select("i", "k", "top").collect()) == want
+
+
+def _folder(spark):
+    return spark.conf.get("spark.checkpoint.dir").split(":", 1)[1].replace("//", "/")
+
+
+def test_operators_leave_their_result_only(spark, docs):
+    """Tables written on the way are deleted when the result is: later stages share the disk."""
+    before = set(os.listdir(_folder(spark)))
+    found = simhash.simhash_groups(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    spans = repeats.repeated_spans(docs, repeats.Repeats(length=64, gram=32))
+    assert len(set(os.listdir(_folder(spark))) - before) == 2
+    assert found.count() and spans.count()
+
+
+def test_full_cells_are_not_found_by_a_second_grid(spark, monkeypatch):
+    """Members of full cells come from the cells, so the grid of all fingerprints is dealt once."""
+    made, plain = [], simhash._cells
+    monkeypatch.setattr(simhash, "_cells", lambda c: made.append(c) or plain(c))
+    rows = spark.createDataFrame([(1 << i,) for i in range(9)], "fp long")
+    assert simhash.links(rows).count() >= 8
+    assert len(made) == 2
+
+
+def test_frequent_stretches_stay_remembered():
+    """When the memory is full the older half goes, not what comes again and again."""
+    p = pieces.Pieces(queries.vocabulary_path(1))
+    p.ROOM, asked, plain = 6, [], p.first
+    p.first = lambda text: asked.append(text) or plain(text)
+    for k in range(40):
+        p.encode(f"again {k}x{k * 7}", 1)
+    assert asked.count(pieces.MARK + "again") + asked.count("again") == 1
