@@ -149,20 +149,24 @@ class NotesWriter(DataSourceWriter):
             if path.startswith(("/", "..")) or path == "." or not path.endswith(".md"):
                 raise ValueError(f"not the path of a note: {row['path']!r}")
             hidden = f"{attempt}/{k}"
-            with open(os.path.join(self.root, hidden), "wb") as f:
+            with open(f"{self.root}/{hidden}", "wb", buffering=0) as f:
                 f.write((row["content"] or "").encode("utf-8", "replace"))
             names.append((hidden, path))
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        placed = set()
+        # A few calls a file: each folder is made once, and the set of paths is kept only where it is needed.
+        placed, made, root = set(), set(), self.root
         for m in messages:
             for hidden, path in m.names if m else ():
-                target = os.path.join(self.root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                os.utime(os.path.join(self.root, hidden))
-                os.replace(os.path.join(self.root, hidden), target)
-                placed.add(path)
+                folder = path.rpartition("/")[0]
+                if folder not in made:
+                    os.makedirs(f"{root}/{folder}", exist_ok=True)
+                    made.add(folder)
+                os.utime(f"{root}/{hidden}")
+                os.replace(f"{root}/{hidden}", f"{root}/{path}")
+                if self.overwrite:
+                    placed.add(path)
         if self.overwrite:
             for _, path, _ in _listed(self.root):
                 if path not in placed:

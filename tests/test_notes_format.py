@@ -87,3 +87,22 @@ def test_stream_hands_on_new_and_changed_files(spark, tmp_path):
     (notes / "a.md").write_text("2")
     (notes / "c.md").write_text("3")
     assert run() == [("a.md", "1"), ("a.md", "2"), ("b.md", "1"), ("c.md", "3")]
+
+
+def test_commit_makes_each_folder_once(tmp_path, monkeypatch):
+    made, plain = [], os.makedirs
+    writer = N.NotesWriter({"path": str(tmp_path)}, ["path", "content"], False)
+    done = writer.write(iter([{"path": f"a/b{i % 2}/{i}.md", "content": f"text {i}"} for i in range(40)]))
+    monkeypatch.setattr(N.os, "makedirs", lambda *a, **b: made.append(a[0]) or plain(*a, **b))
+    writer.commit([done])
+    assert len([x for x in made if x.rsplit("/", 1)[-1] in ("b0", "b1")]) == 2
+    assert sorted(os.listdir(tmp_path)) == ["a"]
+    assert (tmp_path / "a/b1/7.md").read_text() == "text 7"
+
+
+def test_scan_reads_many_small_files_in_a_task(spark, tmp_path):
+    for i in range(2200):
+        (tmp_path / f"{i}.md").write_text(f"# {i}")
+    rows = R.scan_corpus(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism
+    assert rows.select("path", "content").distinct().count() == 2200
