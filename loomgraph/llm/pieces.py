@@ -47,7 +47,7 @@ Path = tuple[float, tuple[int, ...]]
 class Pieces:
     """The lattice of one SentencePiece model file."""
 
-    ROOM = 500_000  # stretches remembered
+    ROOM = 350_000  # stretches remembered, and as many of those before
 
     def __init__(self, path: str):
         import sentencepiece
@@ -62,6 +62,7 @@ class Pieces:
             for c in names[i]:
                 node = node.setdefault(c, {})
             node[0] = (i, own.get_score(i))
+        self.steps = self._steps(self.trie)
         self.longest = max((len(names[i]) for i in plain), default=1)
         self.unknown_score = min((own.get_score(i) for i in plain), default=0.0) - UNKNOWN_COST
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(size) if own.is_byte(i)}
@@ -69,8 +70,14 @@ class Pieces:
         self.bytes_of = [bytes([int(n[3:5], 16)]) if own.is_byte(i) else n.encode() if not (own.is_control(i) or own.is_unknown(i)) else b"" for i, n in enumerate(names)]
         self.cut = self._cuts([names[i] for i in plain])
         self.seen: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
         self.more: dict[tuple[str, int], list[Path]] = {}
 
+    @classmethod
+    def _steps(cls, node: dict) -> dict:
+        """The trie as (next ones, id or -1, score) by character, which ``first`` reads with one lookup a step."""
+        return {c: (cls._steps(after), *after.get(0, (-1, 0.0))) for c, after in node.items() if c}
+
     @staticmethod
     def _cuts(pieces: list[str]) -> re.Pattern | None:
         """Where no piece can lie across: before a word mark that follows another character, at
@@ -154,19 +161,18 @@ class Pieces:
         """(ids, score, gap to the second best): the search up to its first result. The state
         that would be taken up next is the second best way into some node of the best path, as
         the heuristic is exact, so the forward pass keeps just the two best ways into a node."""
-        size, root, longest = len(text), self.trie, self.longest
+        size, root, longest = len(text), self.steps, self.longest
         best, second = [LOW] * (size + 1), [LOW] * (size + 1)
         best[0] = 0.0
         back: list = [None] * (size + 1)
         for s in range(size):
-            here, node, e, single = best[s], root, s, False
+            here, steps, e, single = best[s], root, s, False
             for c in text[s : s + longest]:
-                node = node.get(c)
-                if node is None:
+                if c not in steps:
                     break
+                steps, piece, score = steps[c]
                 e += 1
-                if 0 in node:
-                    piece, score = node[0]
+                if piece >= 0:
                     score += here
                     if score > best[e]:
                         second[e], best[e], back[e] = best[e], score, (s, piece)
@@ -199,11 +205,11 @@ class Pieces:
         parts = self.stretches(self.own.normalize(text or ""))
         if not parts:
             return b"", 0.0, []
-        seen = self.seen
-        if len(seen) > self.ROOM:
-            seen.clear()
+        if len(self.seen) > self.ROOM:
+            self.seen, self.older = {}, self.seen  # what comes again is taken over, so frequent stretches stay
+        seen, older = self.seen, self.older
         for p in set(parts).difference(seen):
-            seen[p] = self.first(p)
+            seen[p] = older.get(p) or self.first(p)
         rows = list(map(seen.__getitem__, parts))
         bits, scores, gaps = zip(*rows, strict=True)
         score = float(sum(scores))
