@@ -108,17 +108,28 @@ def _cells(key: Column) -> Column:
     return F.filter(F.array(*out), lambda c: c.isNotNull())
 
 
+def _bit(step: Column) -> Column:
+    """A step as one of 33 bits."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (step + F.lit(16)).cast("int"))
+
+
+def _ways_back(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(cell, key, step): the vectors from which members came to ``cells``, by the ``steps`` that
+    they took. They lie one step away at most, so the grid need not be dealt again, and there are
+    no more of them than members."""
+    back = F.filter(_cells(F.col("cell")), lambda c: F.col("steps").bitwiseAND(_bit(-c["step"])) != 0)
+    return cells.select(*by, "cell", F.explode(back).alias("c")).select(*by, "cell", F.col("c.cell").alias("key"), (-F.col("c.step")).alias("step"))
+
+
 def links(prints: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges (a, b) that connect all distinct ``fp`` values at Hamming distance 2 or less; with
     columns ``by`` only fingerprints that agree in them."""
     keyed = prints.select(*by, "fp").distinct().withColumn("key", popcount_vector(F.col("fp")))
     grid = keyed.select(*by, "fp", F.explode(_cells(F.col("key"))).alias("c")).select(*by, "fp", "c.cell", "c.step")
-    cells = written(grid.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "cells")
+    cells = written(grid.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_or(_bit(F.col("step"))).alias("steps")).filter("n > 1"), "cells")
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= 2
     pairs = cells.filter(F.col("n") == 2).filter(near).select(*by, F.col("lo").alias("a"), F.col("hi").alias("b"))
-    # The members of full cells, from the cells: their vectors lie one step from it at most, so the grid need not be dealt again.
-    full = cells.filter("n > 2").select(*by, "cell", F.explode(_cells(F.col("cell"))).alias("c")).select(*by, "cell", F.col("c.cell").alias("key"), (-F.col("c.step")).alias("step"))
-    members = keyed.join(full, [*by, "key"])
+    members = keyed.join(_ways_back(cells.filter("n > 2"), by), [*by, "key"])
     # In a full cell: the fingerprints one flip away whose vector is the cell (its own at step 0).
     bits = [F.expr(f"shiftleft(1L, cast((abs(step) - 1) * 4 + {k} as int))") for k in range(4)]
     flips = [F.when((F.col("fp").bitwiseAND(b) != 0) == (F.col("step") < 0), F.col("fp").bitwiseXOR(b)) for b in bits]

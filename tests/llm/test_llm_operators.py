@@ -737,6 +737,16 @@ def test_full_cells_are_not_found_by_a_second_grid(spark, monkeypatch):
     assert len(made) == 2
 
 
+def test_full_cells_go_back_to_their_members_only(spark):
+    """A cell leads to the vectors that members came from, not to all 33 around it."""
+    rows = spark.createDataFrame([(1 << i,) for i in (0, 1, 2, 9)] + [(3,)], "fp long").withColumn("key", simhash.popcount_vector(F.col("fp")))
+    grid = rows.select("fp", "key", F.explode(simhash._cells(F.col("key"))).alias("c")).select("fp", "key", "c.*")
+    cells = grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bit_or(simhash._bit(F.col("step"))).alias("steps")).filter("n > 2")
+    want = {tuple(r) for r in grid.join(cells, "cell").select("cell", "key", "step").collect()}
+    got = [tuple(r) for r in simhash._ways_back(cells).select("cell", "key", "step").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_frequent_stretches_stay_remembered():
     """When the memory is full the older half goes, not what comes again and again."""
     p = pieces.Pieces(queries.vocabulary_path(1))
