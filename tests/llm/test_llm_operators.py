@@ -747,6 +747,20 @@ def test_full_cells_go_back_to_their_members_only(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_texts_are_shuffled_once(spark, texts):
+    """What repeats is joined to texts that lie in buckets: only the spans are shuffled for it."""
+    frame = spark.createDataFrame([(i, t) for i, t in texts if len(t or "") < 20_000], "doc_id long, text string").repartition(3)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = repeats.without_repeats(frame, repeats.Repeats(length=64, gram=32))
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert found.count() == frame.count()
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_frequent_stretches_stay_remembered():
     """When the memory is full the older half goes, not what comes again and again."""
     p = pieces.Pieces(queries.vocabulary_path(1))
