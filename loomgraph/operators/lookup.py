@@ -21,7 +21,7 @@ def search_paths(queries: DataFrame, files: DataFrame, limit: int = 20) -> DataF
     return met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
 
 
-VARIANT_CHARS = {2: 60, 4: 20}  # wanted names up to so long meet by what is left when characters go: a few thousand strings at most
+VARIANT_CHARS = {1: 1000, 2: 60, 4: 20}  # wanted names up to so long meet by what is left when characters go: a few thousand strings at most
 
 
 def _shortened(name: str, times: int) -> Column:
@@ -61,8 +61,9 @@ def _near(want: DataFrame, bases: DataFrame, distance: int) -> DataFrame:
 
 def resolve_path(queries: DataFrame, files: DataFrame, max_distance: int = 4) -> DataFrame:
     """(q_id, path, how): exact, then any case, then the nearest base name within
-    ``max_distance`` edits (ties: distance, then path). Base names within two edits are looked for
-    first, and further ones only for wanted names that have none so near. A wanted
+    ``max_distance`` edits (ties: distance, then path). Equal base names are looked for first, then
+    those within one edit and within two, and each time only for wanted names that have none nearer:
+    among numbered names over a thousand lie within two edits of any. A wanted
     name with no more characters than ``max_distance`` meets the short base names that share one of them; of
     those that share none, which differ by all the longer one's characters, the first path of each
     length will do."""
@@ -76,7 +77,7 @@ def resolve_path(queries: DataFrame, files: DataFrame, max_distance: int = 4) ->
     bases = names.select("base").distinct()
     want = left.filter(F.length("want") >= n).select("q_id", "want")
     met = None
-    for distance in sorted({min(2, max_distance), max_distance}):
+    for distance in sorted({min(d, max_distance) for d in (0, 1, 2, max_distance)}):
         if met is not None:
             want = written(want.join(met.select("q_id"), "q_id", "left_anti"), "wanted")
             if want.isEmpty():
