@@ -43,7 +43,7 @@ def _pieces(want: DataFrame, bases: DataFrame, distance: int) -> DataFrame:
     least, most = (F.greatest(F.floor((F.length("base") + d) / n), F.lit(1)).cast("int") for d in (-distance, distance))
     sized = bases.withColumn("size", F.explode(F.sequence(least, most))).filter(F.length("base") >= F.col("size"))
     have = sized.select("base", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("base") - F.col("size") + 1), lambda i: F.substring(F.col("base"), i, F.col("size"))))).alias("piece"))
-    return asked.join(have, ["piece", "size"]).select("q_id", "want", "base")
+    return asked.hint("merge").join(have, ["piece", "size"]).select("q_id", "want", "base")
 
 
 def _near(want: DataFrame, bases: DataFrame, distance: int) -> DataFrame:
@@ -55,7 +55,8 @@ def _near(want: DataFrame, bases: DataFrame, distance: int) -> DataFrame:
     left = short.select("q_id", "want", F.explode(_shortened("want", distance)).alias("h")) if cut else None
     met = _pieces(long, bases.filter(F.length("base") > cut - distance), distance)
     if cut:
-        met = met.unionByName(left.join(bases.filter(F.length("base") <= cut + distance).select("base", F.explode(_shortened("base", distance)).alias("h")), "h").select("q_id", "want", "base"))
+        # Spark takes a table for as small as its file, however many rows it is exploded to: not to be broadcast.
+        met = met.unionByName(left.hint("merge").join(bases.filter(F.length("base") <= cut + distance).select("base", F.explode(_shortened("base", distance)).alias("h")), "h").select("q_id", "want", "base"))
     return met.distinct().withColumn("dist", F.levenshtein("want", "base", distance)).filter("dist >= 0")
 
 
@@ -86,7 +87,7 @@ def resolve_path(queries: DataFrame, files: DataFrame, max_distance: int = 4) ->
         met = found if met is None else met.unionByName(found)
     few = left.filter(F.length("want") < n)
     letters = lambda c: F.explode(F.array_distinct(F.split(c, ""))).alias("letter")
-    alike = few.select("q_id", "want", letters("want")).join(bases.filter(F.length("base") < n + max_distance).select("base", letters("base")), "letter").filter("letter <> ''")
+    alike = few.select("q_id", "want", letters("want")).hint("merge").join(bases.filter(F.length("base") < n + max_distance).select("base", letters("base")), "letter").filter("letter <> ''")
     firsts = names.filter(F.length("base") < n).groupBy(F.length("base").alias("len")).agg(F.min_by("base", "path").alias("base"))
     other = few.select("q_id", "want", F.explode(F.sequence(F.lit(0), F.lit(max_distance))).alias("len")).join(firsts, "len")
     alike = alike.select("q_id", "want", "base").unionByName(other.select("q_id", "want", "base")).distinct()
