@@ -75,7 +75,8 @@ def resolve_path(queries: DataFrame, files: DataFrame, max_distance: int = 4) ->
     left = asked.join(exact.select("q_id"), "q_id", "left_anti").join(cased.select("q_id"), "q_id", "left_anti")
     left = written(left.withColumn("want", F.lower(F.element_at(F.split("query", "/"), -1))), "wanted")
     n = max_distance + 1
-    bases = names.select("base").distinct()
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bases = names.select("base").repartition(parts, "base").distinct()  # small as they lie, but each becomes many strings
     want = left.filter(F.length("want") >= n).select("q_id", "want")
     met = None
     for distance in sorted({min(d, max_distance) for d in (0, 1, 2, max_distance)}):
